@@ -1,0 +1 @@
+"""Part of the library; see the modules."""
