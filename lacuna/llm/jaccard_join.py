@@ -7,7 +7,7 @@ bound on the whole overlap leaves few of them. For those, each further fragment
 and the sum per pair decides.
 
 Equal sets are one class from the start. Only links that join different components are looked for: first every set is
-held against the head of the prefix lists it is in, then what is in different components still is paired in full. So
+held against the most central set of the prefix lists it is in, then what is in different components still is paired in full. So
 a group of n copies costs about n rows, never n * n, and no component is missed.
 """
 
@@ -29,9 +29,12 @@ from lacuna.llm.decontamination import small
 from lacuna.llm.shingles import mixed, shingle_sets
 
 #: Buckets of the table of how common shingles are, and the parts in which it is summed. Fixed, so it can be sent to every task.
-BUCKETS, SLICES = 1 << 20, 64
+BUCKETS, SLICES = 1 << 22, 64
+_SHIFT = np.uint64(42)
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 4
+#: Turns in which components are joined through their lists' central sets, before the rest is paired in full.
+STAR_TURNS = 2
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,7 +53,7 @@ def common_classes(texts: DataFrame) -> np.ndarray:
         for batch in batches:
             held = [s for _, s in shingle_sets(batch.column(0))]
             if held:
-                table += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+                table += np.bincount((np.concatenate(held) >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
         task = TaskContext.get().partitionId() % 1024
         parts = [zlib.compress(table[k * width : (k + 1) * width].tobytes(), 1) for k in range(SLICES)] if table.any() else []
         yield pa.RecordBatch.from_pydict({"slice": pa.array(range(len(parts)), pa.int32()), "task": pa.array([task] * len(parts), pa.int32()), "counts": pa.array(parts, pa.binary())})
@@ -74,7 +77,7 @@ def common_classes(texts: DataFrame) -> np.ndarray:
 
 def ordered(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The set in the global order; hashes ascend."""
-    return hashes[np.argsort(classes[(hashes >> np.uint64(44)).astype(np.int64)], kind="stable")]
+    return hashes[np.argsort(classes[(hashes >> _SHIFT).astype(np.int64)], kind="stable")]
 
 
 def set_keys(hashes: np.ndarray) -> tuple[int, int]:
@@ -112,7 +115,7 @@ def segments(texts: DataFrame, wanted: DataFrame, classes: np.ndarray) -> DataFr
             for i, s in shingle_sets(batch.column(1)):
                 if set_keys(s) != (k1[i], k2[i]):
                     continue
-                common = classes[(s >> np.uint64(44)).astype(np.int64)] > 0
+                common = classes[(s >> _SHIFT).astype(np.int64)] > 0
                 cut = np.where(common, rare, ((s >> np.uint64(32)) * np.uint64(rare) >> np.uint64(32)).astype(np.int64))
                 for f in range(FRAGMENTS):
                     out[0].append(ids[i])
@@ -149,6 +152,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     links, the others through equal texts alone; a null doc_id takes part through equal texts alone. Other columns are
     ignored; an empty table gives no rows.
     """
+    ratio = F.lit(100 + percent)
+    tail = lambda n: F.floor((F.lit(percent) * n + F.lit(99)) / 100) - 1  # noqa: E731  what of a set lies beyond its prefix
+
     texts = texts_of(docs, id_col, text_col)
     classes = common_classes(texts)
     rows = stored(sketched(texts, classes, percent), "prefixes")
@@ -158,11 +164,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     own = rows.select(F.col("doc_id").alias("v"), "k1", "k2", "n", "prefix").join(heads, ["v", "k1", "k2", "n"]).select("v", "n", F.explode("prefix").alias("token"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = own.repartition(tasks, "token")
-    lists = own.groupBy("token").agg(F.min(F.struct("n", "v")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stored(own.join(lists.select("token", "head"), "token"), "shared-prefixes")  # only shingles that several sets have
-
-    ratio = F.lit(100 + percent)
-    tail = lambda n: F.floor((F.lit(percent) * n + F.lit(99)) / 100) - 1  # noqa: E731  what of a set lies beyond its prefix
+    lists = own.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stored(own.join(lists, "token"), "shared-prefixes")  # only shingles that several sets have
+    # How much a set has in common with others: the original of many altered copies stands out.
+    central = shared.groupBy("v").agg((F.sum("size") / F.max(F.col("n") - tail(F.col("n")))).alias("pull"))
+    shared = stored(shared.drop("size").join(central, "v"), "weighted-prefixes")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and prefix overlap allow the similarity."""
@@ -179,16 +185,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         ids = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
         return stored(segments(texts, stored(keyed.join(ids, "v", "left_semi"), label + "-ids"), classes), label + "-segments")
 
-    # First, each set against the head of its lists that it shares most with.
-    star = shared.where("v <> head.v").groupBy("v", "n", "head").agg(F.count(F.lit(1)).alias("c"))
-    star = star.select(F.col("v").alias("a"), F.col("head.v").alias("b"), F.col("n").alias("na"), F.col("head.n").alias("nb"), "c")
-    star = possible(star).groupBy("a").agg(F.max_by(F.struct("b", "na", "nb", "c"), F.struct("c", "b")).alias("s")).select("a", "s.*")
-    star = stored(star, "star-pairs")
-    links = stored(verified(star, fetched(star, "star")), "star-links")
-    reached = components(links)
+    def in_components(links: DataFrame | None) -> DataFrame:
+        """The lists with each set's component."""
+        if links is None:
+            return shared.withColumn("c", F.col("v"))
+        return shared.join(components(links), "v", "left").withColumn("c", F.coalesce("c", "v"))
+
+    # First, in each list every component's most central set is held against the list's; of several lists, the one that shares most.
+    links = None
+    for turn in range(STAR_TURNS):
+        ones = in_components(links).groupBy("token", "c").agg(F.max(F.struct("pull", "n", "v")).alias("r"))
+        ones = stored(ones, "list-members")
+        heads_of = ones.groupBy("token").agg(F.max("r").alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "h")
+        star = ones.join(heads_of, "token").where("r.v <> h.v").groupBy(F.col("r.v").alias("a"), F.col("h.v").alias("b"), F.col("r.n").alias("na"), F.col("h.n").alias("nb"))
+        star = possible(star.agg(F.count(F.lit(1)).alias("c"))).groupBy("a").agg(F.max_by(F.struct("b", "na", "nb", "c"), F.struct("c", "b")).alias("s")).select("a", "s.*")
+        star = stored(star, "star-pairs")
+        found = stored(verified(star, fetched(star, "star")), "star-links")
+        links = found if links is None else links.unionByName(found)
 
     # Then, in lists that hold several components still, all pairs across them.
-    marked = shared.select("token", "v", "n").join(reached, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    marked = in_components(links)
     mixed_lists = marked.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     marked = stored(marked.join(mixed_lists, "token", "left_semi"), "open-lists")
     inside = marked.select("token", "c").distinct()
