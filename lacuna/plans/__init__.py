@@ -1,8 +1,5 @@
-"""Registered queries of the library, by name."""
+"""Registered queries of the library and the SQL that says the same, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lacuna.plans.registry import ORACLES, QUERIES, flagship
 
-
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+__all__ = ["ORACLES", "QUERIES", "flagship"]
