@@ -381,9 +381,9 @@ def _(spark, d):
 _LN = ", ln AS (SELECT app_id, name FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY t DESC, source, name) AS rn FROM name_history) WHERE rn = 1)"
 
 
-@query("f01_search_catalog", _LN + " SELECT app_id, name FROM ln WHERE contains(lower(name), 'part 1') OR app_id::VARCHAR = 'Part 1'")
+@query("f01_search_catalog", _LN + " SELECT app_id, name FROM ln WHERE contains(lower(name), 'blue') OR app_id::VARCHAR = 'Blue'")
 def _(spark, d):
-    return S.search_catalog(C.latest_names(V.name_history(spark, d)), "Part 1").select("app_id", "name")
+    return S.search_catalog(C.latest_names(V.name_history(spark, d)), "Blue").select("app_id", "name")
 
 
 @query("f02_page", _LN + " SELECT app_id, name FROM ln ORDER BY lower(name), app_id LIMIT 25 OFFSET 50")
