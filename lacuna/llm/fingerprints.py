@@ -109,12 +109,15 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     descending doc_id. Only that beginning and the sketch travel to the neighbour, and both joins read one exchange of
     the texts. Rows that repeat a doc_id are kept; as a successor, the one with the greatest beginning stands for them.
     """
+    # The keys of the joins are never null, and those of the aggregation between, so that its exchange serves the join too.
+    key = lambda c, name: (F.coalesce(F.col(c), F.lit(0)).alias(name), F.isnull(c).alias(f"{name}_null"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
     ids = docs.select("doc_id", F.char_length("text").alias("n_chars")).groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
-    wanted = next_ids(ids).select(F.col("next_id"), F.col("doc_id").alias("target"), F.expr("n_chars div 3").cast("int").alias("need"))
-    sent = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["next_id"])).select("target", F.expr("left(text, need)").alias("beginning"), "text")
-    sent = with_sketch(sent, "text", "next_sketch").drop("text").groupBy("target").agg(F.max(F.struct("beginning", "next_sketch")).alias("next"))
-    both = docs.join(sent, docs["doc_id"].eqNullSafe(sent["target"]), "left").withColumn("n_chars", F.char_length("text").cast("long"))
+    docs = docs.select("doc_id", "text", *key("doc_id", "k"))
+    wanted = next_ids(ids).select(*key("next_id", "k"), *key("doc_id", "t"), F.expr("n_chars div 3").cast("int").alias("need"))
+    sent = docs.join(wanted, ["k", "k_null"]).select("t", "t_null", F.expr("left(text, need)").alias("beginning"), "text")
+    sent = with_sketch(sent, "text", "next_sketch").drop("text").groupBy("t", "t_null").agg(F.max(F.struct("beginning", "next_sketch")).alias("next"))
+    both = docs.join(sent, (docs["k"] == sent["t"]) & (docs["k_null"] == sent["t_null"]), "left").withColumn("n_chars", F.char_length("text").cast("long"))
     return both.select(
         "doc_id",
         "text",
