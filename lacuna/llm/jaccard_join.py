@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     sets = stored(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("v")), "classes")
     heads = stored(sets.where("v is not null").groupBy("v").agg(F.max(F.struct("k1", "k2", "n")).alias("s")).select("v", "s.*"), "heads")
 
-    own = rows.select(F.col("doc_id").alias("v"), "k1", "k2", "n", "prefix").join(heads, ["v", "k1", "k2", "n"]).select("v", "n", F.explode("prefix").alias("token"))
+    own = rows.select(F.col("doc_id").alias("v"), "k1", "k2", "n", "prefix").join(heads, ["v", "k1", "k2", "n"]).select("v", "n", F.posexplode("prefix").alias("i", "token"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = own.repartition(tasks, "token")
     lists = own.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -207,12 +207,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     marked = in_components(links)
     mixed_lists = marked.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     marked = stored(marked.join(mixed_lists, "token", "left_semi"), "open-lists")
-    inside = marked.select("token", "c").distinct()
-    across = inside.join(inside.withColumnRenamed("c", "d"), "token").where("c < d")
-    x, y = (marked.select("token", F.col("c").alias(g), F.col("v").alias(v), F.col("n").alias(n)) for g, v, n in (("c", "a", "na"), ("d", "b", "nb")))
-    sizes = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-    pairs = across.join(x, ["token", "c"]).join(y, ["token", "d"]).where(sizes).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    pairs = stored(possible(pairs), "cross-pairs")
+    # Two sets that share o shingles share one among the first n - o + 1 of each: for the smaller, that is a shorter prefix.
+    least = lambda n: F.floor((F.lit(percent) * n + F.lit(99 + percent)) / F.lit(100 + percent))  # noqa: E731  o, of both sizes together
+    x = marked.select("token", F.col("v").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("c").alias("ca")).where(F.col("ia") <= F.col("na") - least(2 * F.col("na")))
+    y = marked.select("token", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("c").alias("cb"))
+    smaller = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
+    near = (F.lit(100) * F.col("na") >= F.lit(percent) * F.col("nb")) & (F.col("ia") <= F.col("na") - least(F.col("na") + F.col("nb"))) & (F.col("ib") <= F.col("nb") - least(F.col("na") + F.col("nb")))
+    pairs = stored(x.join(y, "token").where((F.col("ca") != F.col("cb")) & smaller & near).select("a", "b", "na", "nb").distinct(), "candidates")
+    prefixes = rows.select(F.col("doc_id").alias("v"), "k1", "k2", "n", "prefix").join(heads, ["v", "k1", "k2", "n"]).dropDuplicates(["v"]).select("v", "prefix")
+    pairs = pairs.join(prefixes.select(F.col("v").alias("a"), F.col("prefix").alias("pa")), "a").join(prefixes.select(F.col("v").alias("b"), F.col("prefix").alias("pb")), "b")
+    pairs = stored(possible(pairs.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("c"))), "cross-pairs")
     more = stored(verified(pairs, fetched(pairs, "cross")), "cross-links")
     final = components(links.unionByName(more))
 
