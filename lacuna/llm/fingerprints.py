@@ -113,13 +113,13 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = lambda c, name: (F.coalesce(F.col(c), F.lit(0)).alias(name), F.isnull(c).alias(f"{name}_null"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
     ids = docs.select("doc_id", F.char_length("text").alias("n_chars")).groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
-    docs = docs.select("doc_id", "text", *key("doc_id", "k"))
+    docs = docs.select("text", *key("doc_id", "k"))  # the same columns for both joins, or their exchanges would differ
     wanted = next_ids(ids).select(*key("next_id", "k"), *key("doc_id", "t"), F.expr("n_chars div 3").cast("int").alias("need"))
     sent = docs.join(wanted, ["k", "k_null"]).select("t", "t_null", F.expr("left(text, need)").alias("beginning"), "text")
     sent = with_sketch(sent, "text", "next_sketch").drop("text").groupBy("t", "t_null").agg(F.max(F.struct("beginning", "next_sketch")).alias("next"))
     both = docs.join(sent, (docs["k"] == sent["t"]) & (docs["k_null"] == sent["t_null"]), "left").withColumn("n_chars", F.char_length("text").cast("long"))
     return both.select(
-        "doc_id",
+        F.when(~F.col("k_null"), F.col("k")).alias("doc_id"),
         "text",
         "n_chars",
         F.concat(F.expr("left(text, cast(n_chars - n_chars div 3 as int))"), F.expr("left(next.beginning, cast(n_chars div 3 as int))")).alias("edited"),
