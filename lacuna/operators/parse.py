@@ -26,11 +26,15 @@ def parse_player_counts(captures: DataFrame) -> DataFrame:
     return parsed.withColumn("code", code).select("capture_id", "app_id", "t", F.when(F.col("code").isNull(), count).alias("player_count"), "code")
 
 
+#: The markup tags that news may hold, as a pattern.
+NEWS_TAGS = r"(?i)\[/?(?:url|b|i|u|h[1-6]|list|olist|quote|code|spoiler|img|previewyoutube|table|tr|td|th)(?:=[^\]]*)?\]|\[\*\]"
+
+
 def clean_news_markup(text: Column) -> Column:
-    """Text without images, clan-image tokens and markup tags."""
+    """Text without images, clan-image tokens and markup tags, and without white space around it."""
     text = F.regexp_replace(text, r"(?is)\[img\].*?\[/img\]", "")
-    text = F.regexp_replace(text, r"(?i)\{STEAM_CLAN_IMAGE\}\S*", "")
-    return F.trim(F.regexp_replace(text, r"(?i)\[/?(?:h[1-6]|b|i|u|url|list|\*|quote|code|p|strike)(?:=[^\]]*)?\]", ""))
+    text = F.regexp_replace(text, r"\{STEAM_CLAN_IMAGE\}[^ \t\n\r\f\[]*", "")
+    return F.regexp_replace(F.regexp_replace(text, NEWS_TAGS, ""), r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")
 
 
 def safe_url(url: Column, hosts: list[str] | None = None) -> Column:

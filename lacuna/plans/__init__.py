@@ -1,5 +1,6 @@
 """Registered queries of the library and the SQL that says the same, by name."""
 
+from lacuna.plans import documents  # noqa: F401  registers its queries
 from lacuna.plans.registry import ORACLES, QUERIES, flagship
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
