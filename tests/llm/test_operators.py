@@ -80,6 +80,17 @@ def test_packing(spark, odd, none):
     assert all(a <= 1024 and b <= 4 and c <= 150 for a, b, c in loads.values())
 
 
+def test_packing_of_mixed_white_space():
+    from tokenizers import Tokenizer
+
+    model, encode = Tokenizer.from_file(BYTES), packing.ByteEncoder(BYTES)
+    space = " \t\n\r\x0b\x0c\x1c\x1f\x85\u00a0\u1680\u2003\u2028\u202f\u3000"
+    texts = ["one\t two", "one\u00a0 two", "a \u00a0b", "a\u3000 b", "a  b\tc", "a\r\nb", "a b\r\n\r\nc d", "x ", " x", ""]
+    texts += [f"one{a}two{b}{c}three{b}" for a in space for b in space for c in ("", *space)]
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(3)
     for k in range(60):
