@@ -8,6 +8,8 @@ array, by induced sorting, and permuted common prefixes tell which windows occur
 
 Equal fragments are one class, of which two copies enter the suffix array at most; what is found holds for all. A
 line or phrase that is common but shorter than half a window shares no anchor, so no anchor gathers all its places.
+Where a longer one lies in many differing surroundings, its anchor's fragments are too much for one array: their
+windows are dealt by a 128-bit BLAKE2 digest of their bytes and counted, so equal windows meet and no task holds an anchor.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import stored, whole
@@ -27,8 +29,10 @@ from lacuna.llm.suffixes import common_prefixes, suffix_array
 
 #: Bytes of the rolling hash.
 GRAM = 32
-#: Bytes that one suffix array covers, but for larger groups of one anchor; and bytes of text that anchors are sought in at once.
+#: Bytes that one suffix array covers, and bytes of text that anchors are sought in at once.
 BLOCK, STRETCH = 1 << 21, 1 << 19
+#: Bytes of one anchor's fragments that enter a suffix array, at most; above, their windows are counted one by one.
+HOT = 1 << 18
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _A1, _B1 = (pow(x, -1, 1 << 64) for x in (_A, _B))
 _PLACE = np.uint64((1 << 24) - 1)
@@ -139,6 +143,33 @@ def repeats_in(bodies: list[bytes], twice: list[bool], length: int) -> list[np.n
     return [np.flatnonzero(marked[b : b + len(x) - length + 1]) for b, x in zip(begins, bodies)]
 
 
+def hot_anchors(classes: DataFrame, most: int) -> DataFrame:
+    """anchor of those whose classes (anchor, d1, d2, twice, one) have more than `most` bytes."""
+    taken = F.sum(F.col("one.size") * (F.lit(1) + F.col("twice").cast("int")))
+    return classes.groupBy("anchor").agg(taken.alias("taken")).where(F.col("taken") > most).select("anchor")
+
+
+def counted_windows(fragments: DataFrame, length: int) -> DataFrame:
+    """anchor, d1, d2, from, to: what repeated_windows finds, by counting each window's digest; no two fragments have to meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["anchor", "d1", "d2", "n", "at", "window"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        for batch in batches:
+            for a, d1, d2, two, body in zip(*(c.to_pylist() for c in batch.columns)):
+                for low in range(0, len(body) - length + 1, 1 << 14):
+                    places = range(low, min(low + (1 << 14), len(body) - length + 1))
+                    digests = [hashlib.blake2b(body[k : k + length], digest_size=16).digest() for k in places]
+                    columns = [[a] * len(places), [d1] * len(places), [d2] * len(places), [1 + two] * len(places), places, digests]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=names)
+
+    windows = stored(fragments.mapInArrow(run, "anchor long, d1 long, d2 long, n int, at long, window binary"), "hot-windows")
+    again = small(stored(windows.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window"), "hot-again"))
+    own = Window.partitionBy("anchor", "d1", "d2").orderBy("at")
+    runs = windows.join(again, "window", "left_semi").select("anchor", "d1", "d2", "at", (F.col("at") - F.row_number().over(own)).alias("run"))
+    runs = runs.groupBy("anchor", "d1", "d2", "run").agg(F.min("at").alias("from"), (F.max("at") + 1).alias("to"))
+    return runs.select("anchor", "d1", "d2", "from", "to")
+
+
 def repeated_windows(fragments: DataFrame, length: int, tasks: int) -> DataFrame:
     """anchor, d1, d2, spans: for each fragment with repeats, the runs (from, to) of window starts that repeat, ends exclusive."""
 
@@ -174,18 +205,23 @@ def repeated_windows(fragments: DataFrame, length: int, tasks: int) -> DataFrame
     return dealt.mapInArrow(run, "anchor long, d1 long, d2 long, spans array<struct<from:long, to:long>>")
 
 
-def removed_spans(docs: DataFrame, length: int) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int, most: int = HOT) -> DataFrame:
     """dk, spans: for each text (keyed by dk) with repeats, its byte ranges to remove, not merged yet."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = stored(find_fragments(docs, length), "fragments").repartition(tasks, "anchor")
+    found = stored(find_fragments(docs, length), "fragments")
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("anchor")
     found = stored(found.join(again, "anchor", "left_semi"), "anchored-again")
     classes = found.groupBy("anchor", "d1", "d2").agg(F.min(F.struct("dk", "start", "size")).alias("one"), (F.count(F.lit(1)) > 1).alias("twice"))
-    bodies = slice_fragments(docs, classes.select("anchor", "d1", "d2", "twice", "one.*")).dropDuplicates(["anchor", "d1", "d2"])
-    repeats = stored(repeated_windows(bodies, length, tasks), "repeats")
-    spans = found.join(repeats, ["anchor", "d1", "d2"]).select("dk", "start", F.explode("spans").alias("s"))
-    spans = spans.select("dk", (F.col("start") + F.col("s.from")).alias("from"), (F.col("start") + F.col("s.to") + F.lit(length - 1)).alias("to")).distinct()
+    classes = stored(classes, "fragment-classes")
+    hot = stored(hot_anchors(classes, most), "hot-anchors")
+    bodies = lambda c: slice_fragments(docs, c.select("anchor", "d1", "d2", "twice", "one.*")).dropDuplicates(["anchor", "d1", "d2"])
+    repeats = repeated_windows(bodies(classes.join(small(hot), "anchor", "left_anti")), length, tasks).select("anchor", "d1", "d2", F.explode("spans").alias("s")).select("anchor", "d1", "d2", "s.*")
+    if hot.limit(1).count():
+        repeats = repeats.unionByName(counted_windows(bodies(classes.join(small(hot), "anchor", "left_semi")), length))
+    repeats = stored(repeats, "repeats")
+    spans = found.join(repeats, ["anchor", "d1", "d2"])
+    spans = spans.select("dk", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to") + F.lit(length - 1)).alias("to")).distinct()
     return spans.groupBy("dk").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("spans"))
 
 

@@ -123,6 +123,24 @@ def test_substring_dedup(odd, none):
     assert substring_dedup.without_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_a_hot_anchor(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    line, passage = noise(390), noise(430)
+    rows = [(i, noise(300) + (passage if i % 5 == 0 else line) + noise(300)) for i in range(60)] + [(i, noise(80) * 12) for i in range(60, 64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fed, real, groups = [], substring_dedup.repeated_windows, Counter()
+    monkeypatch.setattr(substring_dedup, "repeated_windows", lambda f, n, t: fed.append(f) or real(f, n, t))
+    got = {r.dk: r.spans for r in substring_dedup.removed_spans(docs.selectExpr("doc_id dk", "text"), 400, 4096).collect()}
+    for r in fed[0].collect():
+        groups[r.anchor] += len(r.body) * (1 + r.twice)
+    assert groups and max(groups.values()) <= 4096
+    seen = Counter(t[k : k + 400] for _, t in rows for k in range(len(t) - 399))
+    for i, t in rows:
+        want = {k + j for k in range(len(t) - 399) if seen[t[k : k + 400]] > 1 for j in range(400)}
+        assert {x for s in got.get(i, ()) for x in range(s["from"], s["to"])} == want
+
+
 def test_personal_data(odd, none):
     got = {r.doc_id: r for r in personal_data.find_personal_data(odd).collect()}
     assert (got[11].n_email, got[11].n_ip, got[11].n_card, got[11].n_phone) == (1, 1, 1, 1)
