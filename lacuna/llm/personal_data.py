@@ -97,11 +97,14 @@ def near_terms(matches: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, matches: DataFrame, near: DataFrame, share: float = 0.8, support: int = 3) -> DataFrame:
     """kind, value, term, pmi, ic of the pairs that disclose: pmi >= share * ic, in at least `support` different texts.
 
-    n_tv and n_v count different texts, so copies of one text are no evidence; n_t and N count documents.
+    n_tv, n_v, n_t and N count documents, each copy of a text too; the support alone counts different texts.
     """
-    pairs = near.select("kind", "value", "term", "key").distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_tv")).where(F.col("n_tv") >= support)
+    copies = docs.select("key").join(matches.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    copies = stored(copies, "copies")
+    pairs = near.select("kind", "value", "term", "key").distinct().join(copies, "key").groupBy("kind", "value", "term")
+    pairs = pairs.agg(F.sum("copies").alias("n_tv"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
     pairs = stored(pairs, "term-pairs")
-    values = matches.select("kind", F.lower("value").alias("value"), "key").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_v"))
+    values = matches.select("kind", F.lower("value").alias("value"), "key").distinct().join(copies, "key").groupBy("kind", "value").agg(F.sum("copies").alias("n_v"))
     wanted = small(stored(pairs.select("term").distinct(), "terms"))
     seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
     terms = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")  # counted in the tasks first: one row for each term meets the join

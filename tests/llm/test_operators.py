@@ -150,6 +150,39 @@ def test_personal_data(odd, none):
     assert got[4].spans == "" and personal_data.find_personal_data(none).count() == 0
 
 
+def _disclosed(rows, share=0.8, support=3):
+    """Brute force over (doc_id, text): the terms' places by doc_id and text, with emails as the only values."""
+    email = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    blank = lambda t: email.sub(lambda m: " " * len(m[0]), t)
+    words = lambda t: [(m[0].lower(), m.span()) for m in re.finditer(r"[^\W\d_]+", blank(t))]
+    values, terms, n = defaultdict(list), defaultdict(list), len(rows)
+    for _, t in rows:
+        for v in {x.lower() for x in email.findall(t)}:
+            values[v].append(t)
+        for w in {w for w, _ in words(t)}:
+            terms[w].append(t)
+    out = set()
+    for v, has in values.items():
+        for w, there in terms.items():
+            both = [t for t in has if t in set(there)]
+            if len(set(both)) >= support and len(has) < n and np.log2(len(both) * n / (len(there) * len(has))) >= share * np.log2(n / len(has)) - 1e-12:
+                out.add(w)
+    return {(i, t): sorted(p for w, p in words(t) if w in out) for i, t in rows}
+
+
+def _term_spans(rows, found):
+    text = dict(rows)
+    return {(r.doc_id, text[r.doc_id]): sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in r.spans.split(",") if x.startswith("term:")) for r in found}
+
+
+def test_terms_in_copied_groups(spark):
+    texts = [f"Quillfeather wrote number{k} to ann@host.org about it" for k in range(3)]
+    rows = [(c * 3 + k, t) for c in range(12) for k, t in enumerate(texts)] + [(1000 + k, f"nothing here to see {'abcdefghij'[k % 10]} about it") for k in range(400)]
+    found = personal_data.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert _term_spans(rows, found) == _disclosed(rows)
+    assert all(r.n_term >= 1 for r in found if r.doc_id < 36)
+
+
 def test_secrets(odd, none):
     field = secrets.train_field(odd)
     got = {r.doc_id: r for r in secrets.scan_secrets(odd, field).collect()}
