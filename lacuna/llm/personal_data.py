@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and terms whose co-occurrence in the corpus discloses a protected value.
 
 Information-theoretic sanitisation: a value v that the patterns find has the information IC(v) = log2(N / n_v); a term
-t near it discloses PMI(t; v) = log2(n_tv * N / (n_t * n_v)) of that. Terms that disclose at least a given share of
-IC(v), seen beside v in enough different texts, are marked too. Counts are over all documents. DataFrame functions alone.
+t in the same text discloses PMI(t; v) = log2(n_tv * N / (n_t * n_v)) of that. Terms that disclose at least a given
+share of IC(v), seen with v in enough different texts, are marked too, wherever they occur in any document. All four
+counts are of documents, copies included. DataFrame functions alone.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ PATTERNS = {
 #: A cheap condition that every text with a valid match meets.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": "+"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_TERM = r"\p{L}{4,}"
+_TERM = r"\p{L}+"
 
 
 def _guard(kind: str, text: Column) -> Column:
@@ -50,8 +51,8 @@ def _valid(kind: Column, value: Column) -> Column:
     )
 
 
-def base_matches(docs: DataFrame, context: int = 64) -> DataFrame:
-    """For docs (doc_id, key, text): doc_id, key, kind, value, start, end, before, after of each valid match.
+def base_matches(docs: DataFrame) -> DataFrame:
+    """For docs (doc_id, key, text): doc_id, key, kind, value, start, end of each valid match.
 
     The text between matches and the matches alternate; places are running sums of their lengths, as a window over the
     few rows of one text and kind. Equal rows count once.
@@ -70,61 +71,86 @@ def base_matches(docs: DataFrame, context: int = 64) -> DataFrame:
             "i",
             "value",
             F.char_length(F.get("gaps", F.col("i"))).alias("gap"),
-            F.expr(f"right(get(gaps, i), {context})").alias("before"),
-            F.expr(f"left(get(gaps, i + 1), {context})").alias("after"),
         )
         parts = own if parts is None else parts.unionByName(own)
     parts = parts.dropDuplicates(["doc_id", "key", "kind", "i"])
     running = Window.partitionBy("doc_id", "key", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = parts.withColumn("end", F.sum(F.col("gap") + F.char_length("value")).over(running).cast("int")).withColumn("start", F.col("end") - F.char_length("value"))
-    return placed.where(_valid(F.col("kind"), F.col("value"))).select("doc_id", "key", "kind", "value", "start", "end", "before", "after")
+    return placed.where(_valid(F.col("kind"), F.col("value"))).select("doc_id", "key", "kind", "value", "start", "end")
 
 
-def _terms(text: Column, at: Column) -> Column:
-    """Array of (term, start, end) in a short text that begins at `at`."""
-    gaps, found = F.split(text, _TERM, -1), F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
-    total = lambda parts: F.aggregate(parts, F.lit(0), lambda s, x: s + F.char_length(x))
-    start = lambda i: at + total(F.slice(gaps, 1, i + 1)) + total(F.slice(found, 1, i))
-    return F.transform(found, lambda t, i: F.struct(F.lower(t).alias("term"), start(i).alias("start"), (start(i) + F.char_length(t)).alias("end")))
+def _unnamed(text: Column) -> Column:
+    """The text with blanks in place of its emails, the only values that hold letters; places stay as they are."""
+    parts = F.arrays_zip(F.split(text, PATTERNS["email"], -1).alias("gap"), F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0)).alias("found"))
+    blank = lambda x: F.concat(x["gap"], F.repeat(F.lit(" "), F.coalesce(F.char_length(x["found"]), F.lit(0))))
+    return F.when(_guard("email", text), F.array_join(F.transform(parts, blank), "")).otherwise(text)
 
 
-def near_terms(matches: DataFrame) -> DataFrame:
-    """kind, value, term, doc_id, key, start, end of every term of four letters or more beside a match."""
-    both = F.concat(_terms(F.col("before"), F.col("start") - F.char_length("before")), _terms(F.col("after"), F.col("end")))
-    return matches.select("kind", F.lower("value").alias("value"), "doc_id", "key", F.explode(both).alias("t")).select("kind", "value", "doc_id", "key", "t.term", F.col("t.start"), F.col("t.end"))
+def _found_terms(text: Column) -> Column:
+    return F.regexp_extract_all(_unnamed(text), F.lit(_TERM), F.lit(0))
 
 
-def disclosing_terms(docs: DataFrame, matches: DataFrame, near: DataFrame, share: float = 0.8, support: int = 3) -> DataFrame:
+def terms_of(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns and each different term of the text beside its values, in lower case."""
+    return docs.select(*columns, F.explode(F.array_distinct(F.transform(_found_terms(F.col("text")), F.lower))).alias("term"))
+
+
+def disclosing_terms(docs: DataFrame, matches: DataFrame, share: float = 0.8, support: int = 3) -> DataFrame:
     """kind, value, term, pmi, ic of the pairs that disclose: pmi >= share * ic, in at least `support` different texts.
 
-    n_tv, n_v, n_t and N count documents, each copy of a text too; the support alone counts different texts.
+    n_tv, n_v, n_t and N count documents, each copy of a text too; the support alone counts different texts. No pair is
+    sought that can't disclose: as n_tv <= n_v, a term in more than N ** (1 - share) * n_v ** share documents doesn't.
     """
-    copies = docs.select("key").join(matches.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    copies = stored(copies, "copies")
-    pairs = near.select("kind", "value", "term", "key").distinct().join(copies, "key").groupBy("kind", "value", "term")
-    pairs = pairs.agg(F.sum("copies").alias("n_tv"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    pairs = stored(pairs, "term-pairs")
-    values = matches.select("kind", F.lower("value").alias("value"), "key").distinct().join(copies, "key").groupBy("kind", "value").agg(F.sum("copies").alias("n_v"))
-    wanted = small(stored(pairs.select("term").distinct(), "terms"))
-    seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    terms = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")  # counted in the tasks first: one row for each term meets the join
     total = docs.agg(F.count(F.lit(1)).alias("n"))
-    scored = pairs.join(values, ["kind", "value"]).join(terms, "term").crossJoin(F.broadcast(total))  # total is one row
-    scored = scored.withColumn("ic", F.log2(F.col("n") / F.col("n_v"))).withColumn("pmi", F.log2(F.col("n_tv") * F.col("n") / (F.col("n_t") * F.col("n_v"))))
+    copies = docs.select("key").join(matches.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    held = stored(matches.select("kind", F.lower("value").alias("value"), "key").distinct().join(copies, "key"), "values")
+    values = held.groupBy("kind", "value").agg(F.sum("copies").alias("n_v"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+    values = values.crossJoin(F.broadcast(total)).where("n_v < n")  # total is one row
+    values = values.withColumn("most", F.pow("n", F.lit(1 - share)) * F.pow("n_v", F.lit(share)) * 1.000001)
+    held = stored(held.join(small(stored(values.select("kind", "value", "n", "n_v", "most"), "frequent-values")), ["kind", "value"]), "frequent-places")
+    keys = stored(held.groupBy("key").agg(F.max("most").alias("most_here")), "frequent-keys")
+    terms = terms_of(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # counted in the tasks first
+    terms = stored(terms.where(F.col("n_t") >= support).crossJoin(F.broadcast(keys.agg(F.max("most_here").alias("top")))).where("n_t <= top").select("term", "n_t"), "terms")
+    beside = terms_of(docs.join(small(keys), "key"), "key", "most_here").distinct()
+    beside = beside.join(small(terms), (beside["term"] == terms["term"]) & (terms["n_t"] <= beside["most_here"])).select("key", beside["term"], "n_t")
+    pairs = held.join(beside, "key").where("n_t <= most")
+    pairs = pairs.groupBy("kind", "value", "term").agg(F.sum("copies").alias("n_tv"), F.count(F.lit(1)).alias("texts"), *(F.first(c).alias(c) for c in ("n", "n_v", "n_t")))
+    scored = pairs.where(F.col("texts") >= support).withColumn("ic", F.log2(F.col("n") / F.col("n_v")))
+    scored = scored.withColumn("pmi", F.log2(F.col("n_tv") * F.col("n") / (F.col("n_t") * F.col("n_v"))))
     return scored.where((F.col("ic") > 0) & (F.col("pmi") >= F.lit(share) * F.col("ic"))).select("kind", "value", "term", "pmi", "ic")
 
 
-def find_personal_data(docs: DataFrame, share: float = 0.8, support: int = 3, context: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def places_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, key, start, end of every occurrence of the terms (term) in docs (doc_id, key, text); equal rows count once.
+
+    Only texts that hold one are taken apart, and only the places of those terms leave them.
+    """
+    wanted = small(stored(terms.select("term").distinct(), "disclosing"))
+    here = small(stored(terms_of(docs, "key").join(wanted, "term", "left_semi").groupBy("key").agg(F.collect_set("term").alias("here")), "disclosing-texts"))
+    text = F.col("text")
+    parts = F.arrays_zip(F.split(_unnamed(text), _TERM, -1).alias("gap"), _found_terms(text).alias("found"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.char_length(x["gap"])
+        end = start + F.coalesce(F.char_length(x["found"]), F.lit(0))
+        hit = F.coalesce(F.array_contains("here", F.lower(x["found"])), F.lit(False))
+        return F.struct(end.alias("at"), F.when(hit, F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["out"]).alias("out"))
+
+    placed = docs.join(here, "key").select("doc_id", "key", F.explode(F.aggregate(parts, begin, step, lambda acc: acc["out"])).alias("x"))
+    return placed.select("doc_id", "key", "x.start", "x.end").distinct()
+
+
+def find_personal_data(docs: DataFrame, share: float = 0.8, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
 
-    Places count code points, ends are exclusive. Disclosing terms are spans of kind term. Null and empty texts have no
+    Places count code points, ends are exclusive. Disclosing terms are spans of kind term, in every document. Null and empty texts have no
     spans; equal rows have equal results; an empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"), F.xxhash64(whole(F.col(text_col))).alias("key"))
-    matches = stored(base_matches(docs, context), "matches")
-    near = near_terms(matches)
-    pairs = disclosing_terms(docs, matches, near, share, support)
-    marked = near.join(pairs, ["kind", "value", "term"], "left_semi").select("doc_id", "key", F.lit("term").alias("kind"), "start", "end").distinct()
+    matches = stored(base_matches(docs), "matches")
+    pairs = disclosing_terms(docs, matches, share, support)
+    marked = places_of(docs, pairs).withColumn("kind", F.lit("term")).select("doc_id", "key", "kind", "start", "end")
     order = F.when(F.col("kind") == "email", 0).when(F.col("kind") == "ip", 1).when(F.col("kind") == "card", 2).when(F.col("kind") == "phone", 3).otherwise(4)
     spans = matches.select("doc_id", "key", "kind", "start", "end").unionByName(marked).withColumn("k", order)
     spans = spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("k", "start", "end", "kind"))).alias("s"))

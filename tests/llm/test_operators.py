@@ -183,6 +183,18 @@ def test_terms_in_copied_groups(spark):
     assert all(r.n_term >= 1 for r in found if r.doc_id < 36)
 
 
+def test_terms_everywhere(spark):
+    far = "the calm sea was over there and " * 6
+    rows = [(k, f"李明 {far} Quillfeather {far} no{k} mail ann@host.org and {far} Ng quillfeather x{k}") for k in range(4)]
+    rows += [(10, f"{far} then QUILLFEATHER came with Ng, not 李明."), (11, far), (12, None), (13, "")] + [(100 + k, far + f"and mail {k}") for k in range(300)]
+    found = personal_data.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rows = [(i, t or "") for i, t in rows]
+    assert _term_spans(rows, found) == _disclosed(rows)
+    text = dict(rows)
+    got = {i: [text[i][a:b] for a, b in p] for (i, _), p in _term_spans(rows, found).items()}
+    assert {"李明", "Quillfeather", "Ng", "quillfeather"} <= set(got[0]) and set(got[10]) == {"QUILLFEATHER", "Ng", "李明"} and got[11] == []
+
+
 def test_secrets(odd, none):
     field = secrets.train_field(odd)
     got = {r.doc_id: r for r in secrets.scan_secrets(odd, field).collect()}
