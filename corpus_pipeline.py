@@ -18,10 +18,18 @@ from lacuna.llm.secrets import train_field, without_secrets
 from lacuna.llm.toxicity import toxicity_score, train
 
 
-def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    """docs without the rows whose doc_id is in ids (doc_id); null is an id like any other."""
-    gone = small(stored(ids.select(F.col("doc_id").alias("gone")).distinct(), label))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of doc_id and text, so that rows without an id, or with another's, are told apart."""
+    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+
+
+def _without(keyed: DataFrame, keys: DataFrame, label: str) -> DataFrame:
+    """The keyed docs without the rows whose key is in keys (doc_id, as the operators name what they were given)."""
+    gone = small(stored(keys.select(F.col("doc_id").alias(KEY)).distinct(), label))
+    return keyed.join(gone, KEY, "left_anti").drop(KEY)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +39,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links connect, the one with the smallest doc_id stays, once."""
-    found = near_duplicates(docs)
-    return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-duplicates").dropDuplicates(["doc_id", "text"])
+    """Of each group of documents that links connect, the one with the smallest doc_id stays, once; one without an id only if none has any."""
+    keyed = _keyed(docs)
+    found = near_duplicates(keyed, id_col=KEY).select("doc_id", "component_id").distinct()
+    ids = keyed.select(F.col(KEY).alias("doc_id"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(KEY).alias("key")).alias("rank")).distinct()
+    found = stored(found.join(ids, "doc_id"), "near-components")
+    first = small(stored(found.groupBy("component_id").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", "first.key"), "near-first"))
+    return _without(keyed, found.join(first, "component_id").where("doc_id <> key"), "near-duplicates").select(docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"), "contaminated")
+    keyed = _keyed(docs)
+    hit = contamination(keyed, table(spark, sf_dir, "benchmark"), id_col=KEY).where("contaminated")
+    return _without(keyed, hit, "contaminated").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +68,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicate), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]
 
-#: Trained models and tokenizers can't be said in SQL; the tests hold the stages against brute-force versions.
+#: Trained models and tokenizers can't be said in SQL; the tests hold near_duplicates and decontamination against brute force.
 ORACLE_SQL = None
 
 

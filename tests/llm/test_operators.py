@@ -274,3 +274,38 @@ def test_pipeline_stages(spark):
             assert out.dtypes == docs.dtypes and out.count() <= docs.count()
         docs = out
     assert docs.count() > 0
+
+
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    near = line("same", 80)
+    rows = [(5, near), (None, near), (9, near.replace("same79", "other")), (9, line("nine", 30)), (9, line("nine", 30)), (None, line("single", 30)), (None, line("lone", 30))]
+    rows += [(None, "x " + line("leak", 10)), (7, line("leak", 12)), (7, line("seven", 30)), (8, None), (None, None), (None, ""), (None, line("pair", 40)), (None, line("pair", 40) + " end")]
+    docs = spark.createDataFrame([(i, t, "kept") for i, t in rows], "doc_id long, text string, lang string")
+    spark.createDataFrame([(1, line("leak", 10))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    clean = pipeline.decontamination(spark, docs, str(tmp_path))
+    assert clean.dtypes == docs.dtypes
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter((i, t) for i, t in rows if line("leak", 10) not in (t or ""))
+
+    def shingles(t):
+        w = (t or "").split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    distinct, group = sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")), {}
+    for x in distinct:
+        group[x] = x
+    for _ in distinct:
+        for x in distinct:
+            for y in distinct:
+                a, b = shingles(x[1]), shingles(y[1])
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    group[x] = min(group[x], group[y], key=distinct.index)
+    got = pipeline.near_duplicate(spark, docs, str(tmp_path))
+    assert got.dtypes == docs.dtypes
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    pair = {(None, line("pair", 40)), (None, line("pair", 40) + " end")}  # no ids: either may stay
+    assert max(kept.values()) == 1 and len(pair & kept.keys()) == 1
+    assert kept.keys() - pair == {x for x in distinct if group[x] == x} - pair
