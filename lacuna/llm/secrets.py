@@ -38,8 +38,7 @@ def base_spans(text: str) -> list[tuple[str, int, int, int]]:
         found += [("assign", *m.span(), m.start(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [("access", *m.span(), m.start()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
-    if any(map(text.__contains__, "0123456789")) or "a" in low:
-        found += [("hex", *m.span(), m.start()) for m in _HEX.finditer(text)]
+    found += [("hex", *m.span(), m.start()) for m in _HEX.finditer(text)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -287,6 +286,7 @@ def train_field(docs: DataFrame, sample_rows: int = 12_000, id_col: str = "doc_i
     """A field trained on at most `sample_rows` rows: those whose hash of id and text is smallest, so that the same table gives the same field.
 
     Only windows of at most 24 tokens leave the tasks: around secrets, and for every sixteenth row its beginning and other tokens with digits.
+    The field is fitted to the first 4 * sample_rows of them, in order of the rows' hashes.
     """
     rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), whole(F.col(text_col))).alias("h"), whole(F.col(text_col)).alias("text"))
     last = [r.h for r in rows.select("h").orderBy("h").limit(sample_rows).agg(F.max("h").alias("h")).collect()][0]
@@ -295,12 +295,12 @@ def train_field(docs: DataFrame, sample_rows: int = 12_000, id_col: str = "doc_i
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = [(h, w) for h, text in zip(part["h"], part["text"]) for w in windows(text, negatives=h % 16 == 0)]
-            yield pd.DataFrame({"h": [h for h, _ in found], "tokens": [w[0] for _, w in found], "tags": [w[1] for _, w in found], "file": [w[2] for _, w in found]})
+            found = [(h, w) for h, text in zip(part["h"], part["text"]) for w in enumerate(windows(text, negatives=h % 16 == 0))]
+            yield pd.DataFrame({"h": [h for h, _ in found], "i": [i for _, (i, _) in found], "tokens": [w[0] for _, (_, w) in found], "tags": [w[1] for _, (_, w) in found], "file": [w[2] for _, (_, w) in found]})
 
-    schema = "h long, tokens array<string>, tags array<int>, file array<int>"
-    pieces = rows.where(F.col("h") <= F.lit(last)).limit(sample_rows).mapInPandas(cut, schema).limit(4 * sample_rows).toPandas()
-    pieces = pieces.sort_values("h", kind="stable")
+    schema = "h long, i int, tokens array<string>, tags array<int>, file array<int>"
+    pieces = rows.where(F.col("h") <= F.lit(last)).orderBy("h").limit(sample_rows).mapInPandas(cut, schema).orderBy("h", "i").limit(4 * sample_rows).toPandas()
+    pieces = pieces.sort_values(["h", "i"], kind="stable")
     return Field.fit([(list(t), list(g), list(f)) for t, g, f in zip(pieces["tokens"], pieces["tags"], pieces["file"])])
 
 

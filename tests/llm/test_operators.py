@@ -210,6 +210,16 @@ def test_secrets(odd, none):
     assert tuple(best.viterbi(e)) == max(product(range(3), repeat=5), key=score)
 
 
+def test_hex_without_digits():
+    assert secrets.base_spans("ключ " + "f" * 24) == [("hex", 5, 29, 5)]
+
+
+def test_field_of_dense_secrets_is_the_same_in_any_order(spark):
+    rows = [(k, " ".join(f"password = hunter{k}x{j}abc" for j in range(8))) for k in range(60)]
+    made = [secrets.train_field(spark.createDataFrame(r, "doc_id long, text string").repartition(n), 20) for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert np.array_equal(made[0].weights, made[1].weights)
+
+
 def test_toxicity(spark, none):
     rows = [(i, ("you are a total fool and idiot " if i % 3 == 0 else "the sun is over the calm sea today ") * (1 + i % 4)) for i in range(300)]
     docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
