@@ -6,8 +6,10 @@ fragment, the necessary prefix, so pairs and their partial overlaps there come f
 bound on the whole overlap leaves few of them. For those, each further fragment counts its partial overlap separately,
 and the sum per pair decides.
 
-Equal sets are one class from the start. Only links that join different components are looked for: first every set is
-held against the most central set of the prefix lists it is in, then what is in different components still is paired in full. So
+Equal sets are one class, whatever their rows' ids. Only links that join different components are looked for: first
+every set is held against the most central set of the prefix lists it is in, then what is in different components still
+is paired in full. Pairs of the last kind leave their join only if bit signatures of both sets, whose difference is at
+most that of the sets, allow the similarity: a dense group of n texts just below it costs comparisons, but no rows. So
 a group of n copies costs about n rows, never n * n, and no component is missed.
 """
 
@@ -35,10 +37,13 @@ _SHIFT = np.uint64(42)
 FRAGMENTS = 4
 #: Turns in which components are joined through their lists' central sets, before the rest is paired in full.
 STAR_TURNS = 2
+#: 64-bit words of a set's signature: each bit is the parity of how many shingles fall on it.
+SIGNATURE = 8
+BITS = [f"b{k}" for k in range(SIGNATURE)]
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole(F.col(text_col))).alias("tk"), whole(F.col(text_col)).alias("text"))
 
 
 def common_classes(texts: DataFrame) -> np.ndarray:
@@ -86,45 +91,54 @@ def set_keys(hashes: np.ndarray) -> tuple[int, int]:
     return int(hashes.sum(dtype=np.uint64).astype(np.int64)), int(other.sum(dtype=np.uint64).astype(np.int64))
 
 
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Two sets differ in at least as many shingles as their signatures differ in bits."""
+    odd = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=64 * SIGNATURE).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def sketched(texts: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, n, k1, k2, prefix of every row: set size, the set's keys, and the necessary prefix in the global order."""
+    """doc_id, tk, n, k1, k2, prefix, b0 ... of every row: set size, the set's keys, the necessary prefix in the global order, and the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = len(batch)
-            n, k1, k2, prefix = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64), [np.zeros(0, np.int64)] * m
-            for i, s in shingle_sets(batch.column(1)):
+            n, k1, k2, prefix, bits = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64), [np.zeros(0, np.int64)] * m, np.zeros((SIGNATURE, m), np.int64)
+            for i, s in shingle_sets(batch.column(2)):
                 n[i] = len(s)
                 k1[i], k2[i] = set_keys(s)
                 prefix[i] = ordered(s, classes)[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64)
+                bits[:, i] = signature(s)
             sizes = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(prefix) if m else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(k1), pa.array(k2), lists], names=["doc_id", "n", "k1", "k2", "prefix"])
+            columns = [*batch.columns[:2], pa.array(n), pa.array(k1), pa.array(k2), lists, *map(pa.array, bits)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tk", "n", "k1", "k2", "prefix", *BITS])
 
-    return texts.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, tk long, n long, k1 long, k2 long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def segments(texts: DataFrame, wanted: DataFrame, classes: np.ndarray) -> DataFrame:
-    """doc_id, fragment, segment of the wanted (v, k1, k2): each set cut at the fragments' bounds, its hashes as bytes."""
+    """v, fragment, segment of the wanted (v, k2, one: the row that stands for it): each set cut at the fragments' bounds, its hashes as bytes."""
     rare = FRAGMENTS - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, k1, k2 = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            k1, k2 = (batch.column(k).to_pylist() for k in (0, 1))
             out: tuple[list, list, list] = ([], [], [])
-            for i, s in shingle_sets(batch.column(1)):
+            for i, s in shingle_sets(batch.column(2)):
                 if set_keys(s) != (k1[i], k2[i]):
                     continue
                 common = classes[(s >> _SHIFT).astype(np.int64)] > 0
                 cut = np.where(common, rare, ((s >> np.uint64(32)) * np.uint64(rare) >> np.uint64(32)).astype(np.int64))
                 for f in range(FRAGMENTS):
-                    out[0].append(ids[i])
+                    out[0].append(k1[i])
                     out[1].append(f)
                     out[2].append(s[cut == f].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["doc_id", "fragment", "segment"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["v", "fragment", "segment"])
 
-    found = texts.join(small(wanted), texts["doc_id"] == wanted["v"]).select("doc_id", "text", "k1", "k2")
-    return found.mapInArrow(run, "doc_id long, fragment int, segment binary").dropDuplicates(["doc_id", "fragment"])
+    wanted = small(wanted.select("v", "k2", F.col("one.tk").alias("t"), F.col("one.id").alias("id")))
+    found = texts.join(wanted, (texts["tk"] == wanted["t"]) & texts["doc_id"].eqNullSafe(wanted["id"])).select("v", "k2", "text")
+    return found.mapInArrow(run, "v long, fragment int, segment binary").dropDuplicates(["v", "fragment"])
 
 
 def overlaps(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -138,8 +152,8 @@ def overlaps(pairs: DataFrame, held: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())], names=["a", "b", "na", "nb", "shared"])
 
-    x = held.select(F.col("doc_id").alias("a"), "fragment", F.col("segment").alias("sa"))
-    y = held.select(F.col("doc_id").alias("b"), "fragment", F.col("segment").alias("sb"))
+    x = held.select(F.col("v").alias("a"), "fragment", F.col("segment").alias("sa"))
+    y = held.select(F.col("v").alias("b"), "fragment", F.col("segment").alias("sb"))
     both = pairs.select("a", "b", "na", "nb").join(x, "a").join(y, ["b", "fragment"]).select("a", "b", "na", "nb", "sa", "sb")
     return both.mapInArrow(count, "a long, b long, na long, nb long, shared long").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("common"))
 
@@ -148,78 +162,90 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included).
 
     Two sets link when 100 * common >= percent * union. Null and empty texts have no shingles and link with nothing.
-    Equal rows are in one component. Of different texts under one doc_id, the one with the greatest key takes part in
-    links, the others through equal texts alone; a null doc_id takes part through equal texts alone. Other columns are
-    ignored; an empty table gives no rows.
+    Every different text takes part in links by itself, whether its doc_id is null or another text's too; where no row of
+    a component has an id, component_id is null. Other columns are ignored; an empty table gives no rows. Shingles and
+    sets are told apart by 64-bit hashes.
     """
     ratio = F.lit(100 + percent)
     tail = lambda n: F.floor((F.lit(percent) * n + F.lit(99)) / 100) - 1  # noqa: E731  what of a set lies beyond its prefix
+    like_sizes = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
 
     texts = texts_of(docs, id_col, text_col)
     classes = common_classes(texts)
     rows = stored(sketched(texts, classes, percent), "prefixes")
-    sets = stored(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("v")), "classes")
-    heads = stored(sets.where("v is not null").groupBy("v").agg(F.max(F.struct("k1", "k2", "n")).alias("s")).select("v", "s.*"), "heads")
+    kinds = rows.where("n > 0").groupBy(F.col("k1").alias("v"), "k2", "n")
+    standing = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), "tk")
+    sets = stored(kinds.agg(F.min(standing).alias("one"), *(F.min(b).alias(b) for b in BITS)), "classes")
 
-    own = rows.select(F.col("doc_id").alias("v"), "k1", "k2", "n", "prefix").join(heads, ["v", "k1", "k2", "n"]).select("v", "n", F.posexplode("prefix").alias("i", "token"))
+    own = kinds.agg(F.first("prefix").alias("prefix")).select("v", "n", F.posexplode("prefix").alias("i", "token"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = own.repartition(tasks, "token")
     lists = own.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(own.join(lists, "token"), "shared-prefixes")  # only shingles that several sets have
     # How much a set has in common with others: the original of many altered copies stands out.
-    central = shared.groupBy("v").agg((F.sum("size") / F.max(F.col("n") - tail(F.col("n")))).alias("pull"))
-    shared = stored(shared.drop("size").join(central, "v"), "weighted-prefixes")
+    central = stored(shared.groupBy("v").agg(F.max("n").alias("n"), (F.sum("size") / F.max(F.col("n") - tail(F.col("n")))).alias("pull")), "vertices")
+    shared = shared.select("token", "v", "i")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and prefix overlap allow the similarity."""
-        sizes = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-        return pairs.where(sizes & (ratio * (F.col("c") + F.greatest(tail(F.col("na")), tail(F.col("nb")))) >= F.lit(percent) * (F.col("na") + F.col("nb"))))
+        return pairs.where(like_sizes & (ratio * (F.col("c") + F.greatest(tail(F.col("na")), tail(F.col("nb")))) >= F.lit(percent) * (F.col("na") + F.col("nb"))))
 
-    def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-        found = overlaps(pairs, held)
-        return found.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    def screened(pairs: DataFrame) -> DataFrame:
+        """Pairs whose signatures allow the similarity."""
+        bits = small(sets.select("v", *BITS))
+        for side in "ab":
+            pairs = pairs.join(bits.select(F.col("v").alias(side), *(F.col(b).alias(f"{side}_{b}") for b in BITS)), side)
+        return pairs.where(close).select("a", "b", "na", "nb")
 
-    keyed = heads.select("v", "k1", "k2")
+    close = ratio * sum(F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITS) <= F.lit(100 - percent) * (F.col("na") + F.col("nb"))
 
-    def fetched(pairs: DataFrame, label: str) -> DataFrame:
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs (a, b) that link, by their overlaps in every fragment."""
         ids = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-        return stored(segments(texts, stored(keyed.join(ids, "v", "left_semi"), label + "-ids"), classes), label + "-segments")
-
-    def in_components(links: DataFrame | None) -> DataFrame:
-        """The lists with each set's component."""
-        if links is None:
-            return shared.withColumn("c", F.col("v"))
-        return shared.join(components(links), "v", "left").withColumn("c", F.coalesce("c", "v"))
-
-    # First, in each list every component's most central set is held against the list's; of several lists, the one that shares most.
-    links = None
+        wanted = stored(sets.select("v", "k2", "one").join(ids, "v", "left_semi"), label + "-ids")
+        found = overlaps(pairs, stored(segments(texts, wanted, classes), label + "-segments"))
+        return stored(found.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), label + "-links")
+
+    def in_components(links: DataFrame) -> DataFrame:
+        """The lists that hold several components: token, v, i, n, pull, c."""
+        placed = central.join(small(components(links)), "v", "left").withColumn("c", F.coalesce("c", "v"))
+        marked = shared.join(small(stored(placed, "placed")), "v")
+        several = marked.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+        return stored(marked.join(several, "token", "left_semi"), "open-lists")
+
+    # In each list every component's most central set is held against the list's. At first, of several lists the one that shares most.
+    links, marked = None, shared.join(small(central), "v").withColumn("c", F.col("v"))
     for turn in range(STAR_TURNS):
-        ones = in_components(links).groupBy("token", "c").agg(F.max(F.struct("pull", "n", "v")).alias("r"))
-        ones = stored(ones, "list-members")
-        heads_of = ones.groupBy("token").agg(F.max("r").alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "h")
-        star = ones.join(heads_of, "token").where("r.v <> h.v").groupBy(F.col("r.v").alias("a"), F.col("h.v").alias("b"), F.col("r.n").alias("na"), F.col("h.n").alias("nb"))
-        star = possible(star.agg(F.count(F.lit(1)).alias("c"))).groupBy("a").agg(F.max_by(F.struct("b", "na", "nb", "c"), F.struct("c", "b")).alias("s")).select("a", "s.*")
-        star = stored(star, "star-pairs")
-        found = stored(verified(star, fetched(star, "star")), "star-links")
+        ones = marked.groupBy("token", "c").agg(F.max(F.struct("pull", "n", "v")).alias("r")) if turn else marked.select("token", F.struct("pull", "n", "v").alias("r"))
+        heads = ones.groupBy("token").agg(F.max("r").alias("h"))
+        star = ones.join(heads, "token").where("r.v <> h.v").groupBy(F.col("r.v").alias("a"), F.col("h.v").alias("b"), F.col("r.n").alias("na"), F.col("h.n").alias("nb"))
+        star = star.agg(F.count(F.lit(1)).alias("c"))
+        if turn:
+            star = star.where(like_sizes)
+        else:
+            star = possible(star).groupBy("a").agg(F.max_by(F.struct("b", "na", "nb"), F.struct("c", "b")).alias("s")).select("a", "s.*")
+        found = verified(stored(screened(star), f"star-pairs-{turn}"), f"star-{turn}")
         links = found if links is None else links.unionByName(found)
+        marked = in_components(links)
 
-    # Then, in lists that hold several components still, all pairs across them.
-    marked = in_components(links)
-    mixed_lists = marked.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    marked = stored(marked.join(mixed_lists, "token", "left_semi"), "open-lists")
-    # Two sets that share o shingles share one among the first n - o + 1 of each: for the smaller, that is a shorter prefix.
+    # Then all pairs across the components of a list. Two sets that share o shingles share one among the first n - o + 1
+    # of each: for the smaller, that is a shorter prefix.
     least = lambda n: F.floor((F.lit(percent) * n + F.lit(99 + percent)) / F.lit(100 + percent))  # noqa: E731  o, of both sizes together
-    x = marked.select("token", F.col("v").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("c").alias("ca")).where(F.col("ia") <= F.col("na") - least(2 * F.col("na")))
-    y = marked.select("token", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("c").alias("cb"))
+    marked = marked.join(small(sets.select("v", *BITS)), "v")
+    side = lambda s: marked.select("token", F.col("v").alias(s), *(F.col(x).alias(f"{x}{s}") for x in "nic"), *(F.col(b).alias(f"{s}_{b}") for b in BITS))
+    x, y = side("a").where(F.col("ia") <= F.col("na") - least(2 * F.col("na"))), side("b")
     smaller = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
     near = (F.lit(100) * F.col("na") >= F.lit(percent) * F.col("nb")) & (F.col("ia") <= F.col("na") - least(F.col("na") + F.col("nb"))) & (F.col("ib") <= F.col("nb") - least(F.col("na") + F.col("nb")))
-    pairs = stored(x.join(y, "token").where((F.col("ca") != F.col("cb")) & smaller & near).select("a", "b", "na", "nb").distinct(), "candidates")
-    prefixes = rows.select(F.col("doc_id").alias("v"), "k1", "k2", "n", "prefix").join(heads, ["v", "k1", "k2", "n"]).dropDuplicates(["v"]).select("v", "prefix")
-    pairs = pairs.join(prefixes.select(F.col("v").alias("a"), F.col("prefix").alias("pa")), "a").join(prefixes.select(F.col("v").alias("b"), F.col("prefix").alias("pb")), "b")
+    across = (x["token"] == y["token"]) & (F.col("ca") != F.col("cb")) & smaller & near & close
+    pairs = stored(x.join(y, across).select("a", "b", "na", "nb").distinct(), "candidates")
+    ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
+    prefixes = rows.select(F.col("k1").alias("v"), "prefix").join(ends, "v", "left_semi").groupBy("v").agg(F.first("prefix").alias("prefix"))
+    for s in "ab":
+        pairs = pairs.join(prefixes.select(F.col("v").alias(s), F.col("prefix").alias(f"p{s}")), s)
     pairs = stored(possible(pairs.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("c"))), "cross-pairs")
-    more = stored(verified(pairs, fetched(pairs, "cross")), "cross-links")
-    final = components(links.unionByName(more))
+    final = components(links.unionByName(verified(pairs, "cross")))
 
-    where = rows.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(sets.select("k1", "k2", "v"), ["k1", "k2"], "left").join(final, "v", "left")
-    own_id = F.when(F.col("n_shingles") > 0, F.coalesce("c", "v")).otherwise(F.col("doc_id"))
-    return where.select("doc_id", "n_shingles", own_id.alias("component_id"))
+    placed = stored(sets.select("v", "k2", F.col("one.id").alias("id")).join(final, "v", "left").withColumn("c", F.coalesce("c", "v")), "placed-classes")
+    named = placed.join(stored(placed.groupBy("c").agg(F.min("id").alias("component_id")), "named"), "c").select(F.col("v").alias("k1"), "k2", "component_id")
+    where = rows.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(named, ["k1", "k2"], "left")
+    return where.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -274,6 +274,60 @@ def test_jaccard_join(odd, none):
     assert jaccard_join.near_duplicates(none).count() == 0
 
 
+def _shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def _components(rows):
+    """Brute force: for each (doc_id, text) its set size and the smallest doc_id that links reach."""
+    sets = {t: _shingles(t) for _, t in rows}
+    distinct = [s for s in dict.fromkeys(sets.values()) if s]
+    root = {s: s for s in distinct}
+
+    def top(s):
+        while root[s] is not s:
+            root[s] = s = root[root[s]]
+        return s
+
+    for k, x in enumerate(distinct):
+        for y in distinct[:k]:
+            if 4 * max(len(x), len(y)) <= 5 * min(len(x), len(y)) and 100 * (n := len(x & y)) >= 80 * (len(x) + len(y) - n):
+                root[top(x)] = top(y)
+    least = {}
+    for i, t in rows:
+        if i is not None and sets[t]:
+            r = top(sets[t])
+            least[r] = min(i, least.get(r, i))
+    return Counter((i, len(sets[t]), least.get(top(sets[t])) if sets[t] else i) for i, t in rows)
+
+
+def test_jaccard_join_of_a_dense_group(spark):
+    rng = np.random.default_rng(11)
+    line = [f"w{k}" for k in rng.integers(0, 400, 130)]
+
+    def altered(edits):
+        words = list(line)
+        for k in rng.integers(0, len(words), edits):
+            words[k] = f"other{rng.integers(0, 3)}"
+        return " ".join(words)
+
+    rows = [(k, altered(int(rng.integers(1, 6)))) for k in range(900)]
+    rows += [(None, altered(2)), (None, altered(1)), (7, "seven is the id of two texts here"), (7, altered(1)), (7, altered(1)), (None, None), (None, ""), (901, None)]
+    rows += [(None, "texts without any id that are alike in all but the end of it x"), (None, "texts without any id that are alike in all but the end of it")] + [(950, altered(9))] * 3
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == _components(rows)
+
+
+def test_components_of_a_hub_and_a_chain(spark, monkeypatch):
+    from lacuna.llm import components
+
+    monkeypatch.setattr(components, "small", lambda df: df)  # as if there were too many labels to send
+    links = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1060)] + [(1060, 399)]
+    found = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r.v: r.c for r in found.collect()} == {k: 0 for k in [*range(400), *range(1000, 1061)]}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 
