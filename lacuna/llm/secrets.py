@@ -2,8 +2,9 @@
 
 Tokens are tagged begin, inside or outside. Emissions are sums of weights of a token's own shape, of the shapes of the
 two tokens before and the one after, and of features of the whole file; the best tag sequence is found by Viterbi. The
-field is trained here, on a bounded sample of rows whose tags come from the fixed patterns: what those matched teaches
-the shapes and neighbourhoods in which others are found.
+field is trained here, on a bounded sample of rows: on what the fixed patterns match there, and on the rows' own words
+with made-up secrets set between them, announced in many ways or not at all, and with things that look like secrets and
+are none. So it learns shapes and neighbourhoods that the patterns don't have.
 """
 
 from __future__ import annotations
@@ -47,14 +48,17 @@ def base_spans(text: str) -> list[tuple[str, int, int, int]]:
 _LENGTHS = (4, 8, 12, 16, 24)
 _DELIMITERS = "\"'`:=<>(){}[],;|"
 _N_LENGTH, _N_KIND = len(_LENGTHS) + 1, 9
-_BASE = {"length": 0, "kind": _N_LENGTH, "digits": _N_LENGTH + _N_KIND}
-_OTHER = _N_LENGTH + _N_KIND + 4
-HEXLIKE, SYMBOL, VARIED, KEYWORD, NAME_END, DELIMITER = range(_OTHER, _OTHER + 6)
+_BASE = {"length": 0, "kind": _N_LENGTH, "digits": _N_LENGTH + _N_KIND, "turns": _N_LENGTH + _N_KIND + 4}
+_OTHER = _N_LENGTH + _N_KIND + 4 + 4
+HEXLIKE, JOINED, PATH, DOTTED, VARIED, KEYWORD, NAME_END, LINKING, MAIL, WORDY, DELIMITER = range(_OTHER, _OTHER + 11)
 SHAPES = DELIMITER + len(_DELIMITERS)
 PLACES = 4
 FILE = 4
-#: Parts of words that announce a secret.
-_KEYS = ("passw", "secret", "token", "apikey", "api_key", "credential", "private", "auth", "pwd")
+#: Parts of words that announce a secret, and words between those and the secret.
+_KEYS = ("passw", "passphrase", "secret", "token", "apikey", "api_key", "access_key", "credential", "private", "auth", "bearer", "pwd")
+_LINKS = frozenset(("is", "was", "to", "of", "as", "est", "es", "ist", "set"))
+_RUNS = re.compile("[a-z]+")
+_TURNS = re.compile(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[a-z])")
 
 
 def _names_secret(lower: str) -> bool:
@@ -66,7 +70,8 @@ def shape(token: str) -> tuple[int, ...]:
     n = len(token)
     length = bisect_right(_LENGTHS, n)
     if token.isalpha() and token.islower() and n < 24:
-        return (length, _BASE["kind"], _BASE["digits"], KEYWORD) if _names_secret(token) else (length, _BASE["kind"], _BASE["digits"])
+        more = (KEYWORD,) if _names_secret(token) else (LINKING,) if token in _LINKS else ()
+        return (length, _BASE["kind"], _BASE["digits"], *more)
     if token[-1] == "." and (word := token[:-1]).isalpha() and word.islower() and n < 24 and not _names_secret(word):
         return (length, _BASE["kind"], _BASE["digits"], NAME_END)
     digits = sum(c.isdigit() for c in token)
@@ -82,8 +87,13 @@ def shape(token: str) -> tuple[int, ...]:
     out = [length, _BASE["kind"] + kind, _BASE["digits"] + (0 if not digits else 1 if share <= 0.2 else 2 if share <= 0.5 else 3)]
     if n >= 12 and re.fullmatch("[0-9a-fA-F]+", token):
         out.append(HEXLIKE)
-    if n >= 8 and re.search(r"[+/_=-]", token):
-        out.append(SYMBOL)
+    if n >= 8 and letters and digits:
+        turns = len(_TURNS.findall(token)) / n
+        out.append(_BASE["turns"] + (0 if turns <= 0.1 else 1 if turns <= 0.25 else 2 if turns <= 0.4 else 3))
+    if n >= 8:
+        out += [f for f, signs in ((JOINED, "_-"), (PATH, "/+"), (DOTTED, "."), (MAIL, "@")) if any(c in token[:-1] for c in signs)]
+        if max(map(len, _RUNS.findall(token)), default=0) * 4 > n:
+            out.append(WORDY)
     if n >= 12 and len(set(token)) >= 8 and digits:
         out.append(VARIED)
     if _names_secret(token.lower()):
@@ -116,27 +126,69 @@ def tags_of(text: str) -> tuple[list[str], list[int], list[tuple[int, int]]]:
     return tokens, tags, places
 
 
-def windows(text: str, around: int = 12, negatives: bool = True) -> list[tuple[list[str], list[int], list[int]]]:
-    """Training pieces of one text: the neighbourhoods of its secrets, of other tokens with digits, and its beginning.
-
-    For each neighbourhood of a secret there are two variants with other characters in the secret's place, and other
-    words for what announces it, so that the field learns the neighbourhood and not these patterns alone.
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_MIXED = _LOWER + _UPPER + _DIGITS
+
+
+def _letters(chance: random.Random, alphabet: str, low: int, high: int) -> str:
+    """Random signs, with a digit among them at least."""
+    got = chance.choices(alphabet, k=chance.randint(low, high))
+    for k in chance.sample(range(len(got)), 1 + len(got) // 12):
+        got[k] = chance.choice(_DIGITS)
+    return "".join(got)
+
+
+#: How made-up secrets look, by kind; the second value says whether one is a secret without any announcement.
+MADE = {
+    "chosen": (lambda c: c.choice((str.lower, str.title))("".join(c.choices(_LOWER, k=c.randint(4, 9)))) + c.choice(("", "!", "-", "_", "#")) + _letters(c, _DIGITS, 1, 4) + "".join(c.choices(_LOWER, k=c.choice((0, 0, 3)))), False),
+    "lower": (lambda c: _letters(c, _LOWER + _DIGITS, 8, 40), False),
+    "mixed": (lambda c: _letters(c, _MIXED, 10, 48), False),
+    "long": (lambda c: _letters(c, _MIXED, 28, 64), True),
+    "coded": (lambda c: _letters(c, _MIXED + "+/", 24, 64) + c.choice(("", "=", "==")), True),
+    "prefixed": (lambda c: "".join(_letters(c, _LOWER, 2, 4).translate(str.maketrans(_DIGITS, "klmnopqrst")) + c.choice("_-") for _ in range(c.randint(1, 2))) + _letters(c, _MIXED, 16, 48), True),
+    "dotted": (lambda c: ".".join(_letters(c, _MIXED + "_-", 16, 40) for _ in range(3)), True),
+}
+_NAMES = ("password", "Password", "passwd", "pwd", "PWD", "DB_PASSWORD", "passphrase", "secret", "client_secret", "SECRET_KEY", "token", "auth_token", "accessToken", "api_key", "API_KEY", "apikey", "access_key", "credential", "private_key")
+_ANNOUNCED = (
+    lambda n, v: [n, "=", *v], lambda n, v: [n, ":", *v], lambda n, v: [n, "=", '"', *v, '"'], lambda n, v: [n, ":", "'", *v, "'"], lambda n, v: ['"', n, '"', ":", '"', *v, '"'],
+    lambda n, v: [n, "is", *v], lambda n, v: ["the", n, "is", *v], lambda n, v: [n, "was", "set", "to", *v], lambda n, v: ["Authorization", ":", "Bearer", *v], lambda n, v: ["Bearer", *v], lambda n, v: [n, *v], lambda n, v: ["<", n, ">", *v, "<", "/" + n, ">"],
+)
+#: Things that are no secrets, though they hold digits or signs, or follow a word that announces one.
+_HARMLESS = (
+    lambda c, w: [f"{c.randint(1900, 2099)}-{c.randint(1, 12):02d}-{c.randint(1, 28):02d}"], lambda c, w: [str(c.randint(10, 10**9))], lambda c, w: ["v" + ".".join(str(c.randint(0, 20)) for _ in range(3))],
+    lambda c, w: ["https", ":", f"//{w}.org/{w}/{w}-{c.randint(1, 999)}.html"], lambda c, w: [f"{w}.{c.choice((w, ''))}{c.randint(1, 99)}@{w}{c.choice(('', c.randint(1, 99)))}.{c.choice(('', w + '.'))}com"], lambda c, w: [f"{w}_{c.randint(1, 2030)}.txt"], lambda c, w: [w + "".join(x.title() for x in c.choices((w, w[:6], "Name", "Item", "List"), k=c.randint(1, 3))) + str(c.randint(1, 99))],
+    lambda c, w: [f"{w}-{w}-{w}"], lambda c, w: [w + w + w], lambda c, w: [c.choice(_NAMES), "is", w], lambda c, w: ["the", c.choice(_NAMES), w], lambda c, w: [c.choice(_NAMES), ":", w[:5]], lambda c, w: ["-" * c.randint(3, 30)],
+    lambda c, w: [f"{c.randint(1, 999)}.{c.randint(100, 999)},{c.randint(10, 99)}"], lambda c, w: [f"{w.upper()}{c.randint(1, 99)}"], lambda c, w: [f"+{c.randint(1, 99)}-{c.randint(100, 999)}-{c.randint(1000000, 9999999)}"],
+    lambda c, w: [f"{w}/{w}_{w}/{w}{c.randint(1, 99)}"], lambda c, w: ["#" + w + str(c.randint(1, 99))], lambda c, w: [w.upper() + "_" + w.upper()], lambda c, w: [f"{c.randint(0, 255)}.{c.randint(0, 255)}.{c.randint(0, 255)}.{c.randint(0, 255)}"],
+)
+
+
+def windows(text: str, seed: int, around: int = 5, most: int = 8, made: int = 0, kinds: tuple[str, ...] = tuple(MADE)) -> list[tuple[list[str], list[int], list[int]]]:
+    """Training pieces of one text: the neighbourhoods of its secrets, the first `most` of them, and, if `made` isn't 0, pieces of other words.
+
+    The latter are the text's beginning, the neighbourhoods of two tokens with digits, and `made` pieces each with a
+    made-up secret or something harmless set between its words. The seed decides on all that is random.
     """
     tokens, tags, _ = tags_of(text)
-    file = file_features(text, len(tokens))
-    spots = [i for i, t in enumerate(tags) if t == BEGIN][:8]
-    if negatives:
+    file, chance = file_features(text, len(tokens)), random.Random(seed)
+    spots = [i for i, t in enumerate(tags) if t == BEGIN][:most]
+    if made and tokens:
         spots += [0] + [i for i, t in enumerate(tokens) if tags[i] == OUTSIDE and any(c.isdigit() for c in t)][:2]
     out = [(tokens[a : i + around], tags[a : i + around], file) for i in spots if (a := max(0, i - around)) < len(tokens)]
-    chance = random.Random(len(text))
-    for piece, tag, _ in [x for x in out if BEGIN in x[1]]:
-        for alphabet in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"):
-            other = [
-                "".join(chance.choices(alphabet, k=chance.randint(10, 40))) if t else chance.choice(_KEYS) if x.isalpha() and _names_secret(x.lower()) else x
-                for x, t in zip(piece, tag)
-            ]
-            if any(_names_secret(x.lower()) for x in piece):
-                out.append((other, tag, file))
+    plain = [t for t in tokens if t.isalpha() and not _names_secret(t.lower())] if made else []
+    for k in range(made if plain else 0):
+        i = chance.randrange(len(tokens))
+        before, after = ((tokens[max(0, i - around) : i], tags[max(0, i - around) : i]), (tokens[i : i + around], tags[i : i + around]))
+        if k % 2:
+            put = chance.choice(_HARMLESS)(chance, chance.choice(plain).lower()[:14])
+            marks = [OUTSIDE] * len(put)
+        else:
+            make, alone = MADE[chance.choice(kinds)]
+            value = _TOKEN.findall(make(chance))
+            put = value if alone and chance.random() < 0.5 else chance.choice(_ANNOUNCED)(chance.choice(_NAMES), value)
+            at = next(j for j in range(len(put)) if put[j : j + len(value)] == value)
+            marks = [OUTSIDE] * at + [BEGIN] + [INSIDE] * (len(value) - 1) + [OUTSIDE] * (len(put) - at - len(value))
+        out.append((before[0] + put + after[0], before[1] + marks + [OUTSIDE if t == INSIDE and not j else t for j, t in enumerate(after[1])], file))
     return out
 
 
@@ -150,7 +202,7 @@ class Field:
         self.sure = max(a[x, y] + a[y, z] - a[x, 0] - a[0, z] for x in range(3) for y in (1, 2) for z in range(3))
 
     @staticmethod
-    def fit(pieces: list[tuple[list[str], list[int], list[int]]], steps: int = 80, rate: float = 0.2, decay: float = 1e-4) -> Field:
+    def fit(pieces: list[tuple[list[str], list[int], list[int]]], steps: int = 160, rate: float = 0.2, decay: float = 2e-5) -> Field:
         """Maximises the conditional likelihood of the pieces' tags by gradient steps with Adam; forward and backward sums over all pieces at once."""
         n_features = SHAPES * PLACES + FILE
         pieces = [p for p in pieces if p[0]]
@@ -159,38 +211,39 @@ class Field:
             weights[:_N_LENGTH, OUTSIDE] = 5.0
             return Field(weights, a)
         longest, m = max(len(p[0]) for p in pieces), len(pieces)
-        seen: dict[str, tuple[int, ...]] = {}
-        rows, cols = [], []
+        seen: dict[tuple[int, ...], int] = {(): 0}  # the shapes that occur; the first is that of no token
+        ids, files = np.zeros((m, longest + 3), int), np.zeros((m, FILE))
         tags, mask = np.zeros((m, longest), int), np.zeros((m, longest), bool)
         for i, (tokens, tag, file) in enumerate(pieces):
-            shapes = [seen.get(t) or seen.setdefault(t, shape(t)) for t in tokens]
-            tags[i, : len(tokens)], mask[i, : len(tokens)] = tag, True
-            for t in range(len(tokens)):
-                near = [(t, 0), (t - 1, 1), (t - 2, 2), (t + 1, 3)]
-                on = [SHAPES * place + f for at, place in near if 0 <= at < len(tokens) for f in shapes[at]] + [SHAPES * PLACES + f for f in file]
-                rows += [i * longest + t] * len(on)
-                cols += on
-        rows, cols = np.array(rows), np.array(cols)
+            ids[i, 2 : 2 + len(tokens)] = [seen.setdefault(shape(t), len(seen)) for t in tokens]
+            tags[i, : len(tokens)], mask[i, : len(tokens)], files[i, file] = tag, True, 1
+        shapes = np.zeros((len(seen), SHAPES))
+        for features, k in seen.items():
+            shapes[k, list(features)] = 1
+        at = [ids[:, 2 - back : 2 - back + longest] for back in (0, 1, 2, -1)]  # a token itself, the one before, that before it, the next
         truth = np.eye(3)[tags] * mask[..., None]
         pairs = mask[:, 1:] & mask[:, :-1]
         true_pairs = np.zeros((3, 3))
         np.add.at(true_pairs, (tags[:, :-1][pairs], tags[:, 1:][pairs]), 1)
         state = [(np.zeros_like(x), np.zeros_like(x)) for x in (weights, a)]
-        lse = lambda x, axis: np.log(np.exp(x - x.max(axis, keepdims=True)).sum(axis)) + x.max(axis)
+        three = lambda x: x[..., 0] + x[..., 1] + x[..., 2]
         total = mask.sum()
         for step in range(1, steps + 1):
-            e = np.stack([np.bincount(rows, weights[cols, k], m * longest) for k in range(3)], 1).reshape(m, longest, 3)
-            forward, back = np.zeros_like(e), np.zeros_like(e)
-            forward[:, 0] = e[:, 0]
-            for t in range(1, longest):
-                forward[:, t] = np.where(mask[:, t, None], e[:, t] + lse(forward[:, t - 1, :, None] + a, 1), forward[:, t - 1])
+            e = sum((shapes @ weights[SHAPES * p : SHAPES * (p + 1)])[at[p]] for p in range(PLACES)) + (files @ weights[SHAPES * PLACES :])[:, None]
+            e, moves = np.exp(e - np.maximum(np.maximum(e[..., 0], e[..., 1]), e[..., 2])[..., None]), np.exp(a)
+            forward, back, scale = np.zeros_like(e), np.ones_like(e), np.ones((m, longest, 1))
+            for t in range(longest):  # each place's sums are scaled to 1
+                x = e[:, t] * (forward[:, t - 1] @ moves if t else 1)
+                scale[:, t, 0] = np.where(mask[:, t], three(x), 1)
+                forward[:, t] = np.where(mask[:, t, None], x / scale[:, t], forward[:, t - 1])
+            later = e / scale
             for t in range(longest - 2, -1, -1):
-                back[:, t] = np.where(mask[:, t + 1, None], lse(a + (e[:, t + 1] + back[:, t + 1])[:, None, :], 2), 0)
-            z = lse(forward[:, -1], 1)
-            marginal = np.exp(forward + back - z[:, None, None]) * mask[..., None]
-            both = np.exp(forward[:, :-1, :, None] + a + (e[:, 1:] + back[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pairs[..., None, None]
-            gap = (truth - marginal).reshape(-1, 3)
-            slopes = np.stack([np.bincount(cols, gap[rows, k], n_features) for k in range(3)], 1) / total - decay * weights, (true_pairs - both.sum((0, 1))) / total - decay * a
+                back[:, t] = np.where(mask[:, t + 1, None], (later[:, t + 1] * back[:, t + 1]) @ moves.T, 1)
+            marginal = forward * back * mask[..., None]
+            both = moves * (forward[:, :-1].reshape(-1, 3).T @ (later * back * mask[..., None])[:, 1:].reshape(-1, 3))
+            gap = truth - marginal
+            own = [shapes.T @ np.stack([np.bincount(x.ravel(), gap[..., k].ravel(), len(seen)) for k in range(3)], 1) for x in at]
+            slopes = np.concatenate([*own, files.T @ gap.sum(1)]) / total - decay * weights, (true_pairs - both) / total - decay * a
             for x, slope, (first, second) in zip((weights, a), slopes, state):
                 first += 0.1 * (slope - first)
                 second += 0.01 * (slope**2 - second)
@@ -282,24 +335,26 @@ class Tagger:
         return out
 
 
-def train_field(docs: DataFrame, sample_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> Field:
+def train_field(docs: DataFrame, sample_rows: int = 12_000, made_rows: int = 1_000, made: int = 8, kinds: tuple[str, ...] = tuple(MADE), id_col: str = "doc_id", text_col: str = "text") -> Field:
     """A field trained on at most `sample_rows` rows: those whose hash of id and text is smallest, so that the same table gives the same field.
 
-    Only windows of at most 24 tokens leave the tasks: around secrets, and for every sixteenth row its beginning and other tokens with digits.
-    The field is fitted to the first 4 * sample_rows of them, in order of the rows' hashes.
+    Only windows of some 20 tokens leave the tasks: around the first eight secrets of each row, and, for about
+    `made_rows` of the rows, other words with `made` windows whose secrets and harmless things are made up, of the given
+    kinds. The field is fitted to the first 2 * sample_rows windows, in order of the rows' hashes.
     """
     rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), whole(F.col(text_col))).alias("h"), whole(F.col(text_col)).alias("text"))
-    last = [r.h for r in rows.select("h").orderBy("h").limit(sample_rows).agg(F.max("h").alias("h")).collect()][0]
-    if last is None:
+    sample = rows.select("h").orderBy("h").limit(sample_rows).agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
+    if not sample["n"]:
         return Field.fit([])
+    last, step = sample["h"], max(1, sample["n"] // made_rows)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = [(h, w) for h, text in zip(part["h"], part["text"]) for w in enumerate(windows(text, negatives=h % 16 == 0))]
+            found = [(h, w) for h, text in zip(part["h"], part["text"]) for w in enumerate(windows(text, h, made=made if h % step == 0 else 0, kinds=kinds))]
             yield pd.DataFrame({"h": [h for h, _ in found], "i": [i for _, (i, _) in found], "tokens": [w[0] for _, (_, w) in found], "tags": [w[1] for _, (_, w) in found], "file": [w[2] for _, (_, w) in found]})
 
     schema = "h long, i int, tokens array<string>, tags array<int>, file array<int>"
-    pieces = rows.where(F.col("h") <= F.lit(last)).orderBy("h").limit(sample_rows).mapInPandas(cut, schema).orderBy("h", "i").limit(4 * sample_rows).toPandas()
+    pieces = rows.where(F.col("h") <= F.lit(last)).orderBy("h").limit(sample_rows).mapInPandas(cut, schema).orderBy("h", "i").limit(2 * sample_rows).toPandas()
     pieces = pieces.sort_values(["h", "i"], kind="stable")
     return Field.fit([(list(t), list(g), list(f)) for t, g, f in zip(pieces["tokens"], pieces["tags"], pieces["file"])])
 
@@ -337,11 +392,6 @@ def scan_secrets(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text")).mapInPandas(run, RESULT)
 
 
-def has_secret(spans):
-    """Whether a RESULT row's spans column names any."""
-    return F.length(spans) > 0
-
-
 def without_secrets(text, field: Field):
     """Column of texts with every fixed and tagged secret replaced by [SECRET]; null stays null."""
 
