@@ -44,10 +44,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     """One row per row of docs: doc_id, n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256, contaminated.
 
     Null and empty texts have no words and aren't hit; items without words have no windows; a null item id is named by
-    the empty text. Rows that repeat a doc_id share the hits of all of them (equal rows: the same hits). Empty tables on
+    the empty text. Every row is judged by its own text, whether its doc_id is null or another row's too. Empty tables on
     either side give no hits; other columns are ignored.
     """
-    words = docs.select(F.col(id_col).cast("long").alias("doc_id"), item_words(F.col(text_col)).alias("w"))
+    key = F.xxhash64(F.col(id_col).cast("long"), whole(F.col(text_col))).alias("dk")
+    words = docs.select(key, item_words(F.col(text_col)).alias("w"))
     found, members = item_windows(items, size, item_col, item_text_col)
     found, members = stored(found, "item-windows"), stored(members, "item-members")
     vocabulary = small(stored(found.select(F.explode("words").alias("word")).distinct(), "item-words"))
@@ -56,25 +57,24 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     rarest = tokens.groupBy("key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("r"), F.first("words").alias("words"))
     probes = small(stored(rarest.where("r.n > 0").select("key", "words", "r.word", "r.at"), "item-prefixes"))
 
-    places = words.select("doc_id", "w", F.posexplode_outer("w").alias("i", "word"))  # outer: else a filter on w is added, which computes it twice
+    places = words.select("dk", "w", F.posexplode_outer("w").alias("i", "word"))  # outer: else a filter on w is added, which computes it twice
     begin = F.col("i") - F.col("at")
     hits = (
         places.join(probes, "word")
         .where((begin >= 0) & (begin + F.size("words") <= F.size("w")))
         .where(F.slice("w", begin + 1, F.size("words")) == F.col("words"))
-        .select("doc_id", begin.alias("begin"), F.size("words").alias("n"), "key")
+        .select("dk", begin.alias("begin"), F.size("words").alias("n"), "key")
     )
     hits = stored(hits.distinct(), "item-hits")
-    spans = hits.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "n")).alias("spans"))
+    spans = hits.groupBy("dk").agg(F.collect_set(F.struct("begin", "n")).alias("spans"))
     spans = spans.select(
-        F.col("doc_id").alias("d1"),
+        "dk",
         F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["begin"], s["begin"] + s["n"] - 1))))).cast("long").alias("n_hit"),
     )
-    named = hits.select("doc_id", "key").distinct().join(small(members), "key").groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    named = named.withColumnRenamed("doc_id", "d2")
+    named = hits.select("dk", "key").distinct().join(small(members), "key").groupBy("dk").agg(F.array_sort(F.collect_set("item")).alias("items"))
     counted = F.size(F.array_remove(F.split(whole(F.col(text_col)), _BETWEEN), "")).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), counted.alias("n_words"))
-    rows = rows.join(spans, rows["doc_id"].eqNullSafe(spans["d1"]), "left").join(named, rows["doc_id"].eqNullSafe(named["d2"]), "left")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), counted.alias("n_words"), key)
+    rows = rows.join(spans, "dk", "left").join(named, "dk", "left")
     return rows.select(
         "doc_id",
         "n_words",
