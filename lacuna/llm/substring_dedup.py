@@ -6,8 +6,8 @@ such an anchor share. Windows in a row with equal anchors form a fragment. Equal
 fragments whose anchor occurs again can hold repeats, and each anchor's fragments can be judged apart. Their suffix
 array, by induced sorting, and permuted common prefixes tell which windows occur twice.
 
-Equal fragments are one class, of which two copies enter the suffix array at most; what is found holds for all. A
-line or phrase that is common but shorter than half a window shares no anchor, so no anchor gathers all its places.
+Equal fragments are one class, which enters the suffix array once; what is found holds for all, and of a class with two
+places every window occurs twice. A line or phrase that is common but shorter than half a window shares no anchor, so no anchor gathers all its places.
 Where a longer one lies in many differing surroundings, its anchor's fragments are too much for one array: their
 windows are dealt by a 128-bit BLAKE2 digest of their bytes and counted, so equal windows meet and no task holds an anchor.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import stored, whole
-from lacuna.llm.decontamination import small
+from lacuna.llm.decontamination import BROADCAST_ROWS, small
 from lacuna.llm.shingles import mixed, powers, text_buffers
 from lacuna.llm.suffixes import common_prefixes, suffix_array
 
@@ -105,8 +105,12 @@ def find_fragments(texts: DataFrame, length: int) -> DataFrame:
 
 
 def slice_fragments(texts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """anchor, d1, d2, twice, body of the chosen fragments (anchor, d1, d2, twice, dk, start, size), from their texts."""
-    per_text = chosen.groupBy("dk").agg(F.collect_list(F.struct("anchor", "d1", "d2", "twice", "start", "size")).alias("parts"))
+    """anchor, d1, d2, twice, body of the chosen fragments (anchor, d1, d2, twice, dk, start, size), from their texts.
+
+    The places are sent to the texts only if all texts together have few; a text of any length counts as what it holds.
+    """
+    per_text = stored(chosen.groupBy("dk").agg(F.collect_list(F.struct("anchor", "d1", "d2", "twice", "start", "size")).alias("parts")), "chosen-by-text")
+    many = (per_text.agg(F.sum(F.size("parts"))).first()[0] or 0) > BROADCAST_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,32 +125,30 @@ def slice_fragments(texts: DataFrame, chosen: DataFrame) -> DataFrame:
                 bodies = pa.array([text[s : s + n].tobytes() for s, n in zip(start[a:b], size[a:b])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in columns), bodies], names=["anchor", "d1", "d2", "twice", "body"])
 
-    found = texts.join(small(stored(per_text, "chosen-by-text")), "dk").select("text", "parts")
+    found = texts.join(per_text if many else F.broadcast(per_text), "dk").select("text", "parts")
     return found.mapInArrow(run, "anchor long, d1 long, d2 long, twice boolean, body binary")
 
 
 def repeats_in(bodies: list[bytes], twice: list[bool], length: int) -> list[np.ndarray]:
-    """For each fragment, where windows begin that occur at another place too, by one suffix array over all of them."""
+    """For each fragment, where windows begin that occur at another place too, by one suffix array over all of them; all do in one that is there twice."""
     parts: list[np.ndarray] = []
     begins, at = [], 0
-    for body, two in zip(bodies, twice):
+    for body in bodies:
         begins.append(at)
-        for _ in range(1 + two):
-            parts.append(np.frombuffer(body, np.uint8) + np.uint8(1))  # UTF-8 has no byte above 0xF4; 0 parts fragments
-            parts.append(np.zeros(1, np.uint8))
-            at += len(body) + 1
+        parts.append(np.frombuffer(body, np.uint8) + np.uint8(1))  # UTF-8 has no byte above 0xF4; 0 parts fragments
+        parts.append(np.zeros(1, np.uint8))
+        at += len(body) + 1
     text = np.concatenate(parts)
     order = suffix_array(text)
     agrees = common_prefixes(text, order)[order] >= length
     marked = np.zeros(len(text), dtype=bool)
     marked[order[agrees | np.concatenate((agrees[1:], [False]))]] = True
-    return [np.flatnonzero(marked[b : b + len(x) - length + 1]) for b, x in zip(begins, bodies)]
+    return [np.arange(len(x) - length + 1) if two else np.flatnonzero(marked[b : b + len(x) - length + 1]) for b, x, two in zip(begins, bodies, twice)]
 
 
 def hot_anchors(classes: DataFrame, most: int) -> DataFrame:
     """anchor of those whose classes (anchor, d1, d2, twice, one) have more than `most` bytes."""
-    taken = F.sum(F.col("one.size") * (F.lit(1) + F.col("twice").cast("int")))
-    return classes.groupBy("anchor").agg(taken.alias("taken")).where(F.col("taken") > most).select("anchor")
+    return classes.groupBy("anchor").agg(F.sum("one.size").alias("taken")).where(F.col("taken") > most).select("anchor")
 
 
 def counted_windows(fragments: DataFrame, length: int) -> DataFrame:
@@ -197,7 +199,7 @@ def repeated_windows(fragments: DataFrame, length: int, tasks: int) -> DataFrame
                 keys.append((a, d1, d2))
                 bodies.append(body)
                 twice.append(two)
-                held += len(body) * (1 + two)
+                held += len(body)
         if keys:
             yield judged()
 
