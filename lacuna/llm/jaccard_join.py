@@ -33,6 +33,8 @@ from lacuna.llm.shingles import mixed, shingle_sets
 #: Buckets of the table of how common shingles are, and the parts in which it is summed. Fixed, so it can be sent to every task.
 BUCKETS, SLICES = 1 << 22, 64
 _SHIFT = np.uint64(42)
+#: Bytes of segments that leave a task at once.
+PART = 1 << 22
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 4
 #: Turns in which components are joined through their lists' central sets, before the rest is paired in full.
@@ -121,20 +123,28 @@ def segments(texts: DataFrame, wanted: DataFrame, classes: np.ndarray) -> DataFr
     """v, fragment, segment of the wanted (v, k2, one: the row that stands for it): each set cut at the fragments' bounds, its hashes as bytes."""
     rare = FRAGMENTS - 1
 
+    def made(out: tuple[list, list, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary()))], names=["v", "fragment", "segment"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (batch.column(k).to_pylist() for k in (0, 1))
             out: tuple[list, list, list] = ([], [], [])
+            held = 0
             for i, s in shingle_sets(batch.column(2)):
+                if held > PART:
+                    yield made(out)
+                    out, held = ([], [], []), 0
                 if set_keys(s) != (k1[i], k2[i]):
                     continue
                 common = classes[(s >> _SHIFT).astype(np.int64)] > 0
                 cut = np.where(common, rare, ((s >> np.uint64(32)) * np.uint64(rare) >> np.uint64(32)).astype(np.int64))
+                held += 8 * len(s)
                 for f in range(FRAGMENTS):
                     out[0].append(k1[i])
                     out[1].append(f)
                     out[2].append(s[cut == f].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["v", "fragment", "segment"])
+            yield made(out)
 
     wanted = small(wanted.select("v", "k2", F.col("one.tk").alias("t"), F.col("one.id").alias("id")))
     found = texts.join(wanted, (texts["tk"] == wanted["t"]) & texts["doc_id"].eqNullSafe(wanted["id"])).select("v", "k2", "text")

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 SHINGLE = 5
 #: Bytes of text that are worked on together, but for longer single texts.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _PLACES = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(SHINGLE)], dtype=np.uint64)
 
@@ -24,7 +24,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**k modulo 2**64 for k < n."""
-    return _powers(base, max(1 << 21, 1 << (n - 1).bit_length()))[:n]
+    return _powers(base, max(1 << 20, 1 << (n - 1).bit_length()))[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
