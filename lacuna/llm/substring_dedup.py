@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import stored, whole
-from lacuna.llm.decontamination import BROADCAST_ROWS, small
+from lacuna.llm.decontamination import small
 from lacuna.llm.shingles import mixed, powers, text_buffers
 from lacuna.llm.suffixes import common_prefixes, suffix_array
 
 #: Bytes of the rolling hash.
 GRAM = 32
 #: Bytes that one suffix array covers, and bytes of text that anchors are sought in at once.
-BLOCK, STRETCH = 1 << 21, 1 << 19
+BLOCK, STRETCH = 1 << 20, 1 << 18
 #: Bytes of one anchor's fragments that enter a suffix array, at most; above, their windows are counted one by one.
 HOT = 1 << 18
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -107,10 +107,9 @@ def find_fragments(texts: DataFrame, length: int) -> DataFrame:
 def slice_fragments(texts: DataFrame, chosen: DataFrame) -> DataFrame:
     """anchor, d1, d2, twice, body of the chosen fragments (anchor, d1, d2, twice, dk, start, size), from their texts.
 
-    The places are sent to the texts only if all texts together have few; a text of any length counts as what it holds.
+    No hint to broadcast the places: a text of any length holds any number of them, so Spark is to go by their bytes.
     """
     per_text = stored(chosen.groupBy("dk").agg(F.collect_list(F.struct("anchor", "d1", "d2", "twice", "start", "size")).alias("parts")), "chosen-by-text")
-    many = (per_text.agg(F.sum(F.size("parts"))).first()[0] or 0) > BROADCAST_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +124,7 @@ def slice_fragments(texts: DataFrame, chosen: DataFrame) -> DataFrame:
                 bodies = pa.array([text[s : s + n].tobytes() for s, n in zip(start[a:b], size[a:b])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in columns), bodies], names=["anchor", "d1", "d2", "twice", "body"])
 
-    found = texts.join(per_text if many else F.broadcast(per_text), "dk").select("text", "parts")
+    found = texts.join(per_text, "dk").select("text", "parts")
     return found.mapInArrow(run, "anchor long, d1 long, d2 long, twice boolean, body binary")
 
 
