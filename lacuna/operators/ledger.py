@@ -132,7 +132,15 @@ def verify_projections(stored: DataFrame, derived: DataFrame, key: str) -> DataF
 
 
 def capacity_plan(policies: DataFrame, quota: int) -> DataFrame:
-    """interval_seconds, apps, calls per day, whether all fit: a tier is an interval; an app is in that of its latest policy."""
+    """interval_seconds, apps, calls per day, and whether the calls of all tiers together fit: a tier is an interval; an app is in that of its latest policy."""
     latest = policies.groupBy("app_id").agg(F.max_by("interval_seconds", F.struct("started", "id")).alias("interval_seconds"))
     tiers = latest.groupBy("interval_seconds").agg(F.count(F.lit(1)).alias("apps")).withColumn("calls", F.expr("apps * 86400 div interval_seconds"))
-    return tiers.withColumn("within_quota", F.col("calls") <= quota)
+    together = tiers.agg((F.sum("calls") <= quota).alias("within_quota"))  # one row
+    return tiers.crossJoin(F.broadcast(together))
+
+
+def count_parity(parsed: DataFrame, kept: DataFrame) -> DataFrame:
+    """captures, projected, rejected, equal: whether what is stored and what was rejected make up the captures."""
+    captures = parsed.agg(F.count(F.lit(1)).alias("captures"), F.count("code").alias("rejected"))
+    both = captures.crossJoin(F.broadcast(kept.agg(F.count(F.lit(1)).alias("projected"))))  # one row each
+    return both.select("captures", "projected", "rejected", (F.col("captures") == F.col("projected") + F.col("rejected")).alias("equal"))

@@ -10,16 +10,21 @@ def valid_app_id(c: Column) -> Column:
     return c.between(1, 4294967295)
 
 
+def json_object_fault(payload: Column) -> Column:
+    """invalid_json, invalid_schema (JSON, but no object), or null for an object."""
+    kind = F.schema_of_variant(F.try_parse_json(payload))
+    return F.when(kind.isNull(), "invalid_json").when(~kind.startswith("OBJECT"), "invalid_schema")
+
+
 def parse_player_counts(captures: DataFrame) -> DataFrame:
-    """capture_id, app_id, t, player_count, code: code is null for valid rows, else invalid_json, provider_result or invalid_player_count.
+    """capture_id, app_id, t, player_count, code: code is null for valid rows, else invalid_json, invalid_schema, provider_result or invalid_player_count.
 
     Integers are strict: text, booleans, fractions, negatives and overflow are rejected; zero is kept.
     """
-    whole_object = F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT")
-    parsed = captures.withColumn("r", F.from_json("payload", "response struct<result:bigint,player_count:bigint>")).withColumn("is_object", whole_object)
+    parsed = captures.withColumn("r", F.from_json("payload", "response struct<result:bigint,player_count:bigint>")).withColumn("fault", json_object_fault(F.col("payload")))
     count = F.col("r.response.player_count")
     code = (
-        F.when(~F.coalesce("is_object", F.lit(False)), "invalid_json")
+        F.when(F.col("fault").isNotNull(), F.col("fault"))
         .when(~F.coalesce(F.col("r.response.result") == 1, F.lit(False)), "provider_result")
         .when(~F.coalesce(count >= 0, F.lit(False)), "invalid_player_count")
     )
@@ -38,10 +43,16 @@ def clean_news_markup(text: Column) -> Column:
 
 
 def safe_url(url: Column, hosts: list[str] | None = None) -> Column:
-    """The url if it is http or https with a host and without credentials; with hosts: https, one of them, no port but 443. Else null."""
-    scheme, host, user = (F.try_parse_url(url, F.lit(p)) for p in ("PROTOCOL", "HOST", "USERINFO"))
-    port = F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")), F.lit("")), r":(\d+)$", 1)
-    ok = scheme.isin("http", "https") & (F.length(host) > 0) & user.isNull()
+    """The url if it is http or https with a host and without credentials; with hosts: https, one of them, no port but 443. Else null.
+
+    Scheme and host count whatever their case; what follows the host may hold any signs.
+    """
+    bare = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    part = lambda pattern: F.lower(F.regexp_extract(bare, r"(?is)^(https?)://(?:([^/?#]*)@)?" + pattern, 1))
+    user = F.regexp_extract(bare, r"(?is)^https?://([^/?#]*)@", 1)
+    place = F.regexp_extract(bare, r"(?is)^https?://(?:[^/?#]*@)?(\[[^/?#\[\]]+\]|[^/?#:\[\]]+)(?::[^/?#\[\]]*)?(?:[/?#].*)?$", 1)
+    port = F.regexp_extract(bare, r"(?is)^https?://(?:[^/?#]*@)?(?:\[[^/?#]*\]|[^/?#:]*):([^/?#]*)", 1)
+    ok = (part("") != "") & (place != "") & user.isin("", ":")
     if hosts is not None:
-        ok = ok & (scheme == "https") & host.isin(hosts) & port.isin("", "443")
+        ok = ok & (part("") == "https") & F.lower(place).isin(hosts) & port.rlike("^(0*443)?$")
     return F.when(ok, url)

@@ -39,7 +39,7 @@ def catalog_captures(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CATALOG = """, page_item AS (SELECT p_partkey // 10 AS capture_id, p_partkey + 1 AS app_id, CASE WHEN p_partkey % 9 = 0 THEN 'Steam app ' || (p_partkey + 1) ELSE p_name END AS name FROM part),
-page AS (SELECT capture_id, count(*) AS n, capture_id % 4 <> 3 AS have_more, CASE WHEN capture_id % 5 = 2 THEN capture_id * 10 ELSE max(app_id) END AS last_appid, CASE WHEN capture_id % 7 = 6 THEN 'invalid_schema' END AS code FROM page_item GROUP BY capture_id)"""
+page AS (SELECT capture_id, count(*) AS n, capture_id % 7 <> 6 AND capture_id % 4 <> 3 AS have_more, CASE WHEN capture_id % 5 = 2 THEN capture_id * 10 ELSE max(app_id) END AS last_appid, CASE WHEN capture_id % 7 = 6 THEN 'invalid_schema' END AS code FROM page_item GROUP BY capture_id)"""
 
 
 def chart_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -74,10 +74,19 @@ def details_captures(spark: SparkSession, d: str) -> DataFrame:
 def news_captures(spark: SparkSession, d: str) -> DataFrame:
     """Each document as a news item in its envelope, and beside it one of another feed."""
     item = lambda feed: f"named_struct('gid', CASE WHEN doc_id % 5 = 0 THEN concat('x', doc_id) ELSE cast(doc_id AS string) END, 'date', CASE WHEN doc_id % 7 = 0 THEN -1 ELSE doc_id * 86400 END, 'title', source, 'contents', coalesce(text, ''), 'feedname', '{feed}')"
-    body = f"to_json(named_struct('appnews', named_struct('appid', doc_id + 1, 'newsitems', array({item(D.NEWS_FEED)}, {item('elsewhere')}))))"
+    body = f"to_json(named_struct('appnews', named_struct('appid', CASE WHEN doc_id % 11 = 3 THEN doc_id ELSE doc_id + 1 END, 'newsitems', array({item(D.NEWS_FEED)}, {item('elsewhere')}))))"
     return V.read(spark, d, "documents").selectExpr("doc_id AS capture_id", "doc_id AS t", f"to_json(named_struct('app_id', doc_id + 1, 'body', {body})) AS payload")
 
 
+def review_captures(spark: SparkSession, d: str) -> DataFrame:
+    """A review summary for each document; of some the sum is wrong, the request failed, a count is text, or the body is cut off."""
+    counts = "'total_negative', n_chars % 53, 'total_reviews', doc_id % 91 + n_chars % 53 + if(doc_id % 7 = 1, 1, 0), 'review_score_desc', concat(source, ' &amp; <b>more</b><br>')"
+    body = lambda p: f"to_json(named_struct('success', if(doc_id % 11 = 1, 2, 1), 'query_summary', named_struct('total_positive', {p}, {counts})))"
+    whole = f"CASE WHEN doc_id % 13 = 1 THEN {body('string(doc_id % 91)')} ELSE {body('doc_id % 91')} END"
+    cut = f"CASE WHEN doc_id % 17 = 1 AND doc_id % 7 <> 1 AND doc_id % 11 <> 1 AND doc_id % 13 <> 1 THEN left({whole}, 30) ELSE {whole} END"
+    return V.read(spark, d, "documents").selectExpr("doc_id AS capture_id", "doc_id AS t", f"to_json(named_struct('app_id', doc_id + 1, 'body', {cut})) AS payload")
+
+
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
     return V.request_attempts(spark, d).selectExpr("app_id", "source", "dispatched AS t", "attempt_id AS capture_id")
 
@@ -111,7 +120,7 @@ def _(spark, d):
 
 @query("b07_parse_catalog_pages", _CATALOG + " SELECT * FROM page")
 def _(spark, d):
-    return D.parse_catalog_pages(catalog_captures(spark, d)).selectExpr("capture_id", "cast(size(items) AS bigint) AS n", "have_more AND capture_id % 7 <> 6 OR capture_id % 7 = 6 AND capture_id % 4 <> 3 AS have_more", "last_appid", "code")
+    return D.parse_catalog_pages(catalog_captures(spark, d)).selectExpr("capture_id", "cast(size(items) AS bigint) AS n", "have_more", "last_appid", "code")
 
 
 @query("b08_validate_snapshot", " SELECT source, month, month % 4 <> 0 AS valid FROM chart_item GROUP BY source, month")
@@ -136,10 +145,18 @@ def _(spark, d):
     )
 
 
-@query("b11_parse_news", """ SELECT doc_id + 1 AS app_id, doc_id::VARCHAR AS gid, doc_id * 86400 AS date, source AS title, md5(coalesce(text, '')) AS contents_md5, 'https://store.steampowered.com/news/app/' || (doc_id + 1) || '/view/' || doc_id AS url
-FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0""")
+@query("b10_review_summaries", """, r AS (SELECT doc_id AS capture_id, doc_id + 1 AS app_id, doc_id % 91 AS positive, n_chars % 53 AS negative, doc_id % 91 + n_chars % 53 AS total, source || ' & more' AS description,
+  CASE WHEN doc_id % 7 = 1 OR doc_id % 11 = 1 OR doc_id % 13 = 1 THEN 'invalid_schema' WHEN doc_id % 17 = 1 THEN 'invalid_json' END AS code FROM documents)
+SELECT capture_id, app_id, CASE WHEN code IS NULL THEN positive END AS positive, CASE WHEN code IS NULL THEN negative END AS negative, CASE WHEN code IS NULL THEN total END AS total,
+  CASE WHEN code IS NULL THEN description END AS description, code, CASE WHEN code IS NULL AND total > 0 THEN (20000 * positive + total) // (2 * total) END AS hundredths FROM r""")
+def _(spark, d):
+    return D.parse_review_summaries(review_captures(spark, d))
+
+
+@query("b11_parse_news", """ SELECT doc_id + 1 AS app_id, doc_id::VARCHAR AS gid, doc_id * 86400 AS date, source AS title, md5(coalesce(text, '')) AS contents_md5, 'https://store.steampowered.com/news/app/' || (doc_id + 1) || '/view/' || doc_id AS url, NULL::VARCHAR AS code
+FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 3 UNION ALL SELECT doc_id + 1, NULL, NULL, NULL, NULL, NULL, 'invalid_schema' FROM documents WHERE doc_id % 11 = 3""")
 def _(spark, d):
-    return D.parse_news(news_captures(spark, d)).select("app_id", "gid", "date", "title", F.md5(F.col("contents").cast("binary")).alias("contents_md5"), "url")
+    return D.parse_news(news_captures(spark, d)).select("app_id", "gid", "date", "title", F.md5(F.col("contents").cast("binary")).alias("contents_md5"), "url", "code")
 
 
 @query("b12_parse_current_snapshots", _PARSED + " SELECT capture_id, app_id, t, player_count, code FROM parsed")

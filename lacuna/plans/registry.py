@@ -356,7 +356,7 @@ def _(spark, d):
     return apps(spark, d).join(done, "app_id", "left").where(f"finished IS NULL OR {AS_OF - DAY} - finished >= {DAY}")
 
 
-@query("b10_review_summaries", " SELECT lang, source, positive, total - positive AS negative, total, CASE WHEN total > 0 THEN (20000 * positive + total) // (2 * total) END AS hundredths FROM review_summary")
+@query("b10_review_percent", " SELECT lang, source, positive, total - positive AS negative, total, CASE WHEN total > 0 THEN (20000 * positive + total) // (2 * total) END AS hundredths FROM review_summary")
 def _(spark, d):
     return C.review_percent(V.review_summaries(spark, d))
 
@@ -371,7 +371,7 @@ def _(spark, d):
     return C.lowest_price(V.prices(spark, d))
 
 
-@query("i09_capacity_plan", ", lp AS (SELECT app_id, interval_seconds FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY started DESC, id DESC) AS rn FROM tracking_interval) WHERE rn = 1) SELECT interval_seconds, count(*) AS apps, count(*) * 86400 // interval_seconds AS calls, calls <= 50 AS within_quota FROM lp GROUP BY interval_seconds")
+@query("i09_capacity_plan", ", lp AS (SELECT app_id, interval_seconds FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY started DESC, id DESC) AS rn FROM tracking_interval) WHERE rn = 1) SELECT interval_seconds, count(*) AS apps, count(*) * 86400 // interval_seconds AS calls, sum(count(*) * 86400 // interval_seconds) OVER () <= 50 AS within_quota FROM lp GROUP BY interval_seconds")
 def _(spark, d):
     return L.capacity_plan(V.tracking_intervals(spark, d), 50)
 
@@ -469,13 +469,17 @@ def _(spark, d):
 
 _PARSED = """, j AS (SELECT capture_id, app_id, t, payload, json_valid(payload) AS ok, CASE WHEN json_valid(payload) THEN payload END AS p FROM raw_response),
 k AS (SELECT *, json_extract(p, '$.response.player_count') AS c, json_extract_string(p, '$.response.result') AS r FROM j),
-parsed AS (SELECT capture_id, app_id, t, CASE WHEN NOT ok THEN 'invalid_json' WHEN r <> '1' THEN 'provider_result' WHEN json_type(c) NOT IN ('UBIGINT', 'BIGINT') OR CAST(c AS VARCHAR)[1] = '-' THEN 'invalid_player_count' END AS code,
+parsed AS (SELECT capture_id, app_id, t, CASE WHEN NOT ok THEN 'invalid_json' WHEN json_type(p) <> 'OBJECT' THEN 'invalid_schema' WHEN r <> '1' THEN 'provider_result' WHEN json_type(c) NOT IN ('UBIGINT', 'BIGINT') OR CAST(c AS VARCHAR)[1] = '-' THEN 'invalid_player_count' END AS code,
   CASE WHEN code IS NULL THEN CAST(c AS BIGINT) END AS player_count FROM k)"""
 
 
-@query("b03_parse_player_counts", _PARSED + " SELECT capture_id, app_id, t, player_count, code FROM parsed")
+#: Some responses within a list, which is JSON, but no object.
+_LISTED = "CASE WHEN capture_id % 17 = 0 THEN concat('[', payload, ']') ELSE payload END"
+
+
+@query("b03_parse_player_counts", f", listed AS (SELECT * REPLACE ({_LISTED} AS payload) FROM raw_response)" + _PARSED.replace("FROM raw_response", "FROM listed") + " SELECT capture_id, app_id, t, player_count, code FROM parsed")
 def _(spark, d):
-    return P.parse_player_counts(V.raw_responses(spark, d))
+    return P.parse_player_counts(V.raw_responses(spark, d).withColumn("payload", F.expr(_LISTED)))
 
 
 @query("h02_verify_projections", _PARSED + """ SELECT capture_id, CASE WHEN s.capture_id IS NULL THEN 'missing' WHEN p.capture_id IS NULL THEN 'extra' ELSE 'different' END AS fault
@@ -485,7 +489,7 @@ def _(spark, d):
     return L.verify_projections(V.player_samples(spark, d).where("capture_id % 13 <> 0"), derived, "capture_id")
 
 
-@query("h03_count_parity", _PARSED + " SELECT count(*) AS captures, count(*) FILTER (WHERE code IS NULL) AS projected, count(*) FILTER (WHERE code IS NOT NULL) AS rejected, true AS equal FROM parsed")
+@query("h03_count_parity", _PARSED + """, counted AS (SELECT count(*) AS captures, (SELECT count(*) FROM player_sample WHERE capture_id % 13 <> 0) AS projected, count(code) AS rejected FROM parsed)
+SELECT captures, projected, rejected, captures = projected + rejected AS equal FROM counted""")
 def _(spark, d):
-    got = P.parse_player_counts(V.raw_responses(spark, d)).agg(F.count(F.lit(1)).alias("captures"), F.count_if(F.col("code").isNull()).alias("projected"), F.count_if(F.col("code").isNotNull()).alias("rejected"))
-    return got.withColumn("equal", F.col("captures") == F.col("projected") + F.col("rejected"))
+    return L.count_parity(P.parse_player_counts(V.raw_responses(spark, d)), V.player_samples(spark, d).where("capture_id % 13 <> 0"))

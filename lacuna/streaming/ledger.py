@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below the one that spark.checkpoint.dir names; only where none is named, in a local one."""
+    """A new folder below the one that spark.checkpoint.dir names; only where none is named and Spark runs in one process, in a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         named = spark.sparkContext.getCheckpointDir()
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
