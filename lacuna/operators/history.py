@@ -1,4 +1,4 @@
-"""Irregular time series: capped spans, coverage, gaps, averages; all apps at once, one shuffle by app.
+"""Irregular time series: capped spans, coverage, gaps, averages; all apps at once, sorted by app and time block.
 
 Times are microseconds (LONG), ends are exclusive, windows are half-open. Sums stay exact integers (DECIMAL where counts
 are multiplied by durations) and are divided once, last.
@@ -6,11 +6,13 @@ are multiplied by durations) and are divided once, last.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MICROS = 1_000_000
 VERSION = "capped-step-v1"
+#: Width of the time blocks within which an app's samples are sorted, so that no app's history is one task.
+BLOCK = 24 * 3600 * MICROS
 
 
 def history_slice(samples: DataFrame, start: int, end: int) -> DataFrame:
@@ -18,26 +20,63 @@ def history_slice(samples: DataFrame, start: int, end: int) -> DataFrame:
     return samples.where((F.col("t") >= start) & (F.col("t") < end))
 
 
-def guard_history(samples: DataFrame, start: int, end: int, max_points: int) -> DataFrame:
-    """app_id, points, rejected: an app with more points in the window than allowed is rejected, never cut."""
-    if end <= start or max_points < 1:
-        raise ValueError("an empty window, or no points allowed")
-    return history_slice(samples, start, end).groupBy("app_id").agg(F.count(F.lit(1)).alias("points")).withColumn("rejected", F.col("points") > max_points)
+def guard_history(samples: DataFrame, start: int, end: int, max_points: int, apps: DataFrame | None = None, max_days: int = 366) -> DataFrame:
+    """app_id, points, rejected: an app with more points in the window than allowed is rejected, never cut.
 
+    The window is of whole hours, 1 to max_days * 24. With apps, each of those has its row, without samples too, and no other app has one.
+    """
+    hours, rest = divmod(end - start, 3600 * MICROS)
+    if rest or not 1 <= hours <= 24 * max_days or max_points < 1:
+        raise ValueError("not a window of whole hours within the bound, or no points allowed")
+    counted = history_slice(samples, start, end).groupBy("app_id").agg(F.count(F.lit(1)).alias("points"))
+    if apps is not None:
+        counted = apps.select("app_id").join(counted, "app_id", "left").withColumn("points", F.coalesce("points", F.lit(0).cast("bigint")))
+    return counted.withColumn("rejected", F.col("points") > max_points)
 
-def as_of_cadence(samples: DataFrame, policies: DataFrame) -> DataFrame:
-    """Each sample with interval_seconds of the last policy started at or before it; null before any."""
+
+def window_inputs(samples: DataFrame, start: int, end: int, reach: int | None = None) -> DataFrame:
+    """The samples that a window can depend on: those within, and each app's last one before, found by partial aggregation.
+
+    reach, if known, is how many microseconds a sample holds at most; then the scan stops that far before the window.
+    """
+    own = samples.select("app_id", "t", "capture_id", "player_count")
+    before = own.where(F.col("t") < start)
+    if reach is not None:
+        before = before.where(F.col("t") >= start - reach)
+    last = before.groupBy("app_id").agg(F.max(F.struct("t", "capture_id", "player_count")).alias("p")).select("app_id", "p.*")
+    return history_slice(own, start, end).unionByName(last)
+
+
+def _placed(samples: DataFrame, policies: DataFrame, block: int) -> DataFrame:
+    """app_id, t, id, player_count, interval_seconds as of the sample, following: the t of the app's next sample.
+
+    Samples are sorted within an app's time blocks only. What a block takes from others, the policy before and the
+    sample after, comes from a table of one row per app and block.
+    """
     s = samples.select("app_id", "t", F.col("capture_id").alias("id"), "player_count", F.lit(None).cast("bigint").alias("interval_seconds"), F.lit(1).alias("kind"))
     p = policies.select("app_id", F.col("started").alias("t"), "id", F.lit(None).cast("bigint").alias("player_count"), F.col("interval_seconds").cast("bigint"), F.lit(0).alias("kind"))
-    w = Window.partitionBy("app_id").orderBy("t", "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
-    both = s.unionByName(p).withColumn("interval_seconds", F.last("interval_seconds", ignorenulls=True).over(w))
-    return both.where("kind = 1").select("app_id", "t", F.col("id").alias("capture_id"), "player_count", "interval_seconds")
+    both = s.unionByName(p).withColumn("block", F.expr(f"t div {block}"))
+    ends = both.groupBy("app_id", "block").agg(
+        F.min(F.when(F.col("kind") == 1, F.col("t"))).alias("first"),
+        F.max(F.when(F.col("interval_seconds").isNotNull(), F.struct("t", "id", "interval_seconds"))).alias("latest"),
+    )
+    by_app = Window.partitionBy("app_id")
+    earlier, later = (by_app.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("block"), F.desc("block")))
+    ends = ends.select("app_id", "block", F.max("latest").over(earlier)["interval_seconds"].alias("carried"), F.min("first").over(later).alias("next_first"))
+    w = Window.partitionBy("app_id", "block").orderBy("t", "kind", "id")
+    known = F.last("interval_seconds", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    held = both.join(ends, ["app_id", "block"]).withColumn("interval_seconds", F.coalesce(known, "carried")).where("kind = 1")
+    return held.withColumn("following", F.coalesce(F.lead("t").over(w), "next_first"))
+
+
+def as_of_cadence(samples: DataFrame, policies: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Each sample with interval_seconds of the last policy started at or before it; null before any."""
+    return _placed(samples, policies, block).select("app_id", "t", F.col("id").alias("capture_id"), "player_count", "interval_seconds")
 
 
-def capped_spans(samples: DataFrame, policies: DataFrame, start: int, end: int, multiplier: int = 2) -> DataFrame:
+def capped_spans(samples: DataFrame, policies: DataFrame, start: int, end: int, multiplier: int = 2, reach: int | None = None, block: int = BLOCK) -> DataFrame:
     """app_id, a, b, player_count: a sample holds until the next, for `multiplier` intervals at most, clipped to the window."""
-    w = Window.partitionBy("app_id").orderBy("t", "capture_id")
-    held = as_of_cadence(samples, policies).withColumn("following", F.lead("t").over(w))
+    held = _placed(window_inputs(samples, start, end, reach), policies.where(F.col("started") < end), block)
     a = F.greatest(F.lit(start), F.col("t"))
     b = F.least(F.lit(end), F.col("t") + F.col("interval_seconds") * multiplier * MICROS, F.coalesce("following", F.lit(end)))
     return held.where("interval_seconds is not null").select("app_id", a.alias("a"), b.alias("b"), "player_count").where("b > a")
@@ -50,11 +89,19 @@ def time_weighted_average(spans: DataFrame) -> DataFrame:
     return sums.withColumn("average", F.try_divide(F.col("integral").cast("double"), F.col("covered").cast("double")))
 
 
+def _with_gaps(spans: DataFrame, apps: DataFrame, start: int, end: int, block: int = BLOCK) -> DataFrame:
+    """The spans and an empty one at the window's end for each app, with gap_from: how far all before reach. Sorted within blocks, as in _placed."""
+    marks = spans.select("app_id", "a", "b", "player_count").unionByName(apps.select("app_id", F.lit(end).alias("a"), F.lit(end).alias("b")), allowMissingColumns=True)
+    marks = marks.withColumn("block", F.expr(f"a div {block}"))
+    earlier = Window.partitionBy("app_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    reached = marks.groupBy("app_id", "block").agg(F.max("b").alias("reached")).select("app_id", "block", F.max("reached").over(earlier).alias("reached"))
+    before = F.max("b").over(Window.partitionBy("app_id", "block").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    return marks.join(reached, ["app_id", "block"]).select("app_id", "a", "b", "player_count", F.coalesce(F.greatest(before, "reached"), F.lit(start)).alias("gap_from"))
+
+
 def gaps(spans: DataFrame, apps: DataFrame, start: int, end: int) -> DataFrame:
     """app_id, gap_from, gap_to: what no span covers, with the beginning and the end of the window."""
-    marks = spans.select("app_id", "a", "b").unionByName(apps.select("app_id", F.lit(end).alias("a"), F.lit(end).alias("b")))
-    before = F.max("b").over(Window.partitionBy("app_id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
-    return marks.withColumn("gap_from", F.coalesce(before, F.lit(start))).where("a > gap_from").select("app_id", "gap_from", F.col("a").alias("gap_to"))
+    return _with_gaps(spans, apps, start, end).where("a > gap_from").select("app_id", "gap_from", F.col("a").alias("gap_to"))
 
 
 def expected_samples(policies: DataFrame, start: int, end: int) -> DataFrame:
@@ -71,25 +118,42 @@ def observed_peak(samples: DataFrame, start: int, end: int) -> DataFrame:
     return history_slice(samples, start, end).groupBy("app_id").agg(F.count(F.lit(1)).alias("points"), F.max("player_count").alias("peak"))
 
 
-def coverage(samples: DataFrame, policies: DataFrame, apps: DataFrame, start: int, end: int, multiplier: int = 2) -> DataFrame:
+def coverage(samples: DataFrame, policies: DataFrame, apps: DataFrame, start: int, end: int, multiplier: int = 2, reach: int | None = None) -> DataFrame:
     """One row per app: points, covered, requested, tracked, expected, ratio, longest gap (0 if none), average, peak."""
-    spans = capped_spans(samples, policies, start, end, multiplier)
-    longest = gaps(spans, apps, start, end).groupBy("app_id").agg(F.max(F.col("gap_to") - F.col("gap_from")).alias("longest_gap"))
+    return _summed(_with_gaps(capped_spans(samples, policies, start, end, multiplier, reach), apps, start, end), samples, policies, apps, start, end)
+
+
+def _summed(marked: DataFrame, samples: DataFrame, policies: DataFrame, apps: DataFrame, start: int, end: int, *more: Column) -> DataFrame:
+    """coverage() of marked spans, and what more is aggregated from them: one pass over them for all."""
+    held = F.col("b") - F.col("a")
+    sums = marked.groupBy("app_id").agg(
+        F.sum(held).alias("covered"), F.sum(F.col("player_count").cast("decimal(20,0)") * held.cast("decimal(18,0)")).cast("decimal(38,0)").alias("integral"),
+        F.max(F.when(F.col("a") > F.col("gap_from"), F.col("a") - F.col("gap_from"))).alias("longest_gap"), *more,
+    )
+    sums = sums.withColumn("average", F.try_divide(F.col("integral").cast("double"), F.col("covered").cast("double"))).drop("integral")
     joined = apps.select("app_id")
-    for part in (time_weighted_average(spans), observed_peak(samples, start, end), expected_samples(policies, start, end), longest):
+    for part in (sums, observed_peak(samples, start, end), expected_samples(policies, start, end)):
         joined = joined.join(part, "app_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     return joined.select(
         "app_id", zero("points"), zero("covered"), F.lit(end - start).cast("bigint").alias("requested"), zero("tracked"), zero("expected"),
-        (F.coalesce("covered", F.lit(0)) / F.lit(end - start)).alias("ratio"), zero("longest_gap"), "average", "peak",
+        (F.coalesce("covered", F.lit(0)) / F.lit(end - start)).alias("ratio"), zero("longest_gap"), "average", "peak", *(c for c in joined.columns if c == "gaps"),
     )
 
 
-def history(samples: DataFrame, policies: DataFrame, apps: DataFrame, start: int, end: int, multiplier: int = 2) -> DataFrame:
-    """coverage() with the points and gaps as arrays, and the estimator's version."""
-    points = history_slice(samples, start, end).groupBy("app_id").agg(F.array_sort(F.collect_list(F.struct("t", "capture_id", "player_count"))).alias("series"))
-    holes = gaps(capped_spans(samples, policies, start, end, multiplier), apps, start, end).groupBy("app_id").agg(F.array_sort(F.collect_list(F.struct("gap_from", "gap_to"))).alias("gaps"))
-    return coverage(samples, policies, apps, start, end, multiplier).join(points, "app_id", "left").join(holes, "app_id", "left").withColumn("estimator", F.lit(VERSION))
+def history(samples: DataFrame, policies: DataFrame, apps: DataFrame, start: int, end: int, multiplier: int = 2, max_points: int = 100_000, reach: int | None = None) -> DataFrame:
+    """coverage() with the points and gaps as arrays, rejected, and the estimator's version.
+
+    An app with more than max_points in the window is rejected: it keeps its figures, and has no arrays. So no array grows with the data.
+    """
+    known = guard_history(samples, start, end, max_points, apps)
+    short = known.where(~F.col("rejected")).select("app_id", F.lit(True).alias("short"))
+    points = history_slice(samples, start, end).join(short, "app_id", "left_semi").groupBy("app_id").agg(F.array_sort(F.collect_list(F.struct("t", "capture_id", "player_count"))).alias("series"))
+    marked = _with_gaps(capped_spans(samples, policies, start, end, multiplier, reach), apps, start, end).join(short, "app_id", "left")
+    hole = F.when(F.col("short") & (F.col("a") > F.col("gap_from")), F.struct("gap_from", F.col("a").alias("gap_to")))
+    summed = _summed(marked, samples, policies, apps, start, end, F.array_sort(F.collect_list(hole)).alias("gaps"))
+    summed = summed.withColumn("rejected", F.col("points") > max_points).withColumn("gaps", F.when(~F.col("rejected"), F.col("gaps")))
+    return summed.join(points, "app_id", "left").withColumn("estimator", F.lit(VERSION))
 
 
 def segment_series(samples: DataFrame, policies: DataFrame, holes: DataFrame, start: int, end: int, multiplier: int = 2) -> DataFrame:
@@ -106,12 +170,12 @@ def segment_series(samples: DataFrame, policies: DataFrame, holes: DataFrame, st
     return numbered.groupBy("app_id", "segment").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("points"))
 
 
-def growth(samples: DataFrame, policies: DataFrame, apps: DataFrame, start: int, end: int, multiplier: int = 2, least_percent: int = 30) -> DataFrame:
+def growth(samples: DataFrame, policies: DataFrame, apps: DataFrame, start: int, end: int, multiplier: int = 2, least_percent: int = 30, reach: int | None = None) -> DataFrame:
     """app_id, older, newer, change, note over two adjacent windows of equal length; both need coverage; a zero baseline has no percent."""
     middle = (start + end) // 2
     halves = []
     for name, a, b in (("older", start, middle), ("newer", middle, end)):
-        got = time_weighted_average(capped_spans(samples, policies, a, b, multiplier)).where(F.col("covered") * 100 >= (b - a) * least_percent)
+        got = time_weighted_average(capped_spans(samples, policies, a, b, multiplier, reach)).where(F.col("covered") * 100 >= (b - a) * least_percent)
         halves.append(got.select("app_id", F.col("average").alias(name)))
     both = apps.select("app_id").join(halves[0], "app_id").join(halves[1], "app_id")
     note = F.when(F.col("older") == 0, "zero_baseline").otherwise("ok")

@@ -330,7 +330,7 @@ SELECT app_id, coalesce(fresh, 0) AS fresh, tracked FROM (SELECT app_id, sum(e -
 def _(spark, d):
     samples, policies = history_inputs(spark, d)
     enabled = policies.selectExpr("app_id", "id", f"greatest(started, {START}) AS s", f"least(coalesce(lead(started) OVER (PARTITION BY app_id ORDER BY started, id), {END}), {END}) AS e").where("id % 2 = 1")
-    return R.freshness_coverage(H.capped_spans(samples, policies, START, END), enabled, DAY)
+    return R.freshness_coverage(H.capped_spans(samples, policies, START, END, reach=V.REACH), enabled, DAY)
 
 
 @query("i10_achievement_join", """, m AS (SELECT l_partkey AS key, sum(l_quantity::BIGINT)::BIGINT % 120 AS percent FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY 1), n AS (SELECT p_partkey AS key, p_name AS name FROM part WHERE p_partkey % 3 <> 0)
@@ -407,4 +407,4 @@ def _(spark, d):
 
 @query("i03_compare", _APPS + _CADENCE + _spans(START, END) + f", n AS (SELECT app_id, count(*) AS points FROM player_sample WHERE t >= {START} AND t < {END} GROUP BY app_id) SELECT app_id, coalesce(points, 0) AS points, coalesce(covered, 0) AS covered, integral::DOUBLE / covered::DOUBLE AS average FROM apps LEFT JOIN spans_sums USING (app_id) LEFT JOIN n USING (app_id)")
 def _(spark, d):
-    return H.coverage(*history_inputs(spark, d), apps(spark, d), START, END).select("app_id", "points", "covered", "average")
+    return H.coverage(*history_inputs(spark, d), apps(spark, d), START, END, reach=V.REACH).select("app_id", "points", "covered", "average")

@@ -76,9 +76,9 @@ def _(spark, d):
     return H.history_slice(V.player_samples(spark, d), START, END)
 
 
-@query("e02_guard_history", f" SELECT app_id, count(*) AS points, count(*) > 18 AS rejected FROM player_sample WHERE t >= {START} AND t < {END} GROUP BY app_id")
+@query("e02_guard_history", _APPS + _PEAK + " SELECT app_id, coalesce(points, 0) AS points, coalesce(points, 0) > 18 AS rejected FROM apps LEFT JOIN peak USING (app_id)")
 def _(spark, d):
-    return H.guard_history(V.player_samples(spark, d), START, END, 18)
+    return H.guard_history(V.player_samples(spark, d), START, END, 18, apps(spark, d))
 
 
 @query("e04_as_of_cadence", _CADENCE + " SELECT * FROM cadence")
@@ -88,22 +88,22 @@ def _(spark, d):
 
 @query("e05_capped_spans", _CADENCE + _spans(START, END) + " SELECT app_id, a, b, player_count FROM spans")
 def _(spark, d):
-    return H.capped_spans(*history_inputs(spark, d), START, END)
+    return H.capped_spans(*history_inputs(spark, d), START, END, reach=V.REACH)
 
 
 @query("e06_time_weighted_average", _CADENCE + _spans(START, END) + " SELECT app_id, covered, integral::DOUBLE / covered::DOUBLE AS average FROM spans_sums")
 def _(spark, d):
-    return H.time_weighted_average(H.capped_spans(*history_inputs(spark, d), START, END)).drop("integral")
+    return H.time_weighted_average(H.capped_spans(*history_inputs(spark, d), START, END, reach=V.REACH)).drop("integral")
 
 
 @query("e07_coverage", _COVERAGE + " SELECT * FROM coverage")
 def _(spark, d):
-    return H.coverage(*history_inputs(spark, d), apps(spark, d), START, END)
+    return H.coverage(*history_inputs(spark, d), apps(spark, d), START, END, reach=V.REACH)
 
 
 @query("e08_gaps", _APPS + _CADENCE + _spans(START, END) + _GAPS + " SELECT * FROM gap")
 def _(spark, d):
-    return H.gaps(H.capped_spans(*history_inputs(spark, d), START, END), apps(spark, d), START, END)
+    return H.gaps(H.capped_spans(*history_inputs(spark, d), START, END, reach=V.REACH), apps(spark, d), START, END)
 
 
 @query("e09_expected_samples", _EXPECTED + " SELECT * FROM expected")
@@ -119,20 +119,21 @@ def _(spark, d):
 @query(
     "e11_history",
     _COVERAGE + f""", series AS (SELECT app_id, count(*) AS n, sum(t)::BIGINT AS t_sum FROM player_sample WHERE t >= {START} AND t < {END} GROUP BY ALL), holes AS (SELECT app_id, count(*) AS n_gaps, sum(gap_to - gap_from)::BIGINT AS gap_sum FROM gap GROUP BY ALL)
-SELECT app_id, points, covered, ratio, average, peak, longest_gap, coalesce(n, -1)::BIGINT AS in_series, coalesce(n_gaps, -1)::BIGINT AS n_gaps, gap_sum, 'capped-step-v1' AS estimator FROM coverage LEFT JOIN series USING (app_id) LEFT JOIN holes USING (app_id)""",
+SELECT app_id, points, points > 18 AS rejected, covered, ratio, average, peak, longest_gap, CASE WHEN points <= 18 THEN coalesce(n, -1) ELSE -1 END::BIGINT AS in_series, CASE WHEN points <= 18 THEN coalesce(n_gaps, 0) ELSE -1 END::BIGINT AS n_gaps,
+  CASE WHEN points <= 18 THEN coalesce(gap_sum, 0) END AS gap_sum, 'capped-step-v1' AS estimator FROM coverage LEFT JOIN series USING (app_id) LEFT JOIN holes USING (app_id)""",
 )
 def _(spark, d):
-    got = flagship(spark, d)
+    got = H.history(*history_inputs(spark, d), apps(spark, d), START, END, max_points=18, reach=V.REACH)
     total = F.aggregate("gaps", F.lit(0).cast("bigint"), lambda s, g: s + g["gap_to"] - g["gap_from"])
     return got.select(
-        "app_id", "points", "covered", "ratio", "average", "peak", "longest_gap", F.coalesce(F.size("series"), F.lit(-1)).cast("bigint").alias("in_series"),
+        "app_id", "points", "rejected", "covered", "ratio", "average", "peak", "longest_gap", F.coalesce(F.size("series"), F.lit(-1)).cast("bigint").alias("in_series"),
         F.coalesce(F.size("gaps"), F.lit(-1)).cast("bigint").alias("n_gaps"), total.alias("gap_sum"), "estimator",
     )
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """History of all apps: points, coverage, averages and gaps over the window."""
-    return H.history(*history_inputs(spark, d), apps(spark, d), START, END)
+    return H.history(*history_inputs(spark, d), apps(spark, d), START, END, reach=V.REACH)
 
 
 @query(
@@ -146,7 +147,7 @@ SELECT app_id, segment, min(t) AS first_t, max(t) AS last_t, count(*) AS points
 )
 def _(spark, d):
     samples, policies = history_inputs(spark, d)
-    holes = H.gaps(H.capped_spans(samples, policies, START, END), apps(spark, d), START, END)
+    holes = H.gaps(H.capped_spans(samples, policies, START, END, reach=V.REACH), apps(spark, d), START, END)
     return H.segment_series(samples, policies, holes, START, END)
 
 
@@ -160,7 +161,7 @@ SELECT app_id, o_sums.integral::DOUBLE / o_sums.covered::DOUBLE AS older, n_sums
 FROM apps JOIN o_sums USING (app_id) JOIN n_sums USING (app_id) WHERE o_sums.covered * 100 >= {(_MID - START) * 30} AND n_sums.covered * 100 >= {(END - _MID) * 30}""",
 )
 def _(spark, d):
-    return H.growth(*history_inputs(spark, d), apps(spark, d), START, END)
+    return H.growth(*history_inputs(spark, d), apps(spark, d), START, END, reach=V.REACH)
 
 
 @query(

@@ -14,6 +14,8 @@ AS_OF = 1_706_659_200_000_000
 START, END = 1_705_276_800_000_000, 1_706_486_400_000_000
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
+#: A sample holds for two intervals at most, and no interval is over a day.
+REACH = 2 * DAY
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
