@@ -182,27 +182,67 @@ def growth(samples: DataFrame, policies: DataFrame, apps: DataFrame, start: int,
     return both.select("app_id", "older", "newer", (F.col("newer") - F.col("older")).alias("change"), F.try_divide((F.col("newer") - F.col("older")) * 100, F.col("older")).alias("percent"), note.alias("note"))
 
 
-def player_rollup(samples: DataFrame, width: int) -> DataFrame:
-    """app_id, bucket, n, lowest, highest, first_t, first_count, last_t, last_count: parts that merge, never averages of averages."""
-    return samples.groupBy("app_id", F.expr(f"t div {width} * {width}").alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("player_count").alias("lowest"), F.max("player_count").alias("highest"), F.min("t").alias("first_t"),
-        F.min_by("player_count", F.struct("t", "capture_id")).alias("first_count"), F.max("t").alias("last_t"), F.max_by("player_count", F.struct("t", "capture_id")).alias("last_count"),
+def cut_at(spans: DataFrame, width: int) -> DataFrame:
+    """The spans cut at the bounds of buckets of that width, with bucket: where theirs begins."""
+    parts = spans.withColumn("k", F.explode(F.sequence(F.expr(f"a div {width}"), F.expr(f"(b - 1) div {width}")))).withColumn("bucket", F.col("k") * width)
+    return parts.withColumn("a", F.greatest("a", "bucket")).withColumn("b", F.least("b", F.col("bucket") + width)).drop("k")
+
+
+def player_rollup(samples: DataFrame, policies: DataFrame, start: int, end: int, width: int, multiplier: int = 2, reach: int | None = None) -> DataFrame:
+    """One row per app and bucket of the window with samples or a span: parts that merge, never averages of averages.
+
+    n, lowest, lowest_t, highest, highest_t, first_t, first_count, last_t, last_count of the samples (null without any),
+    covered and integral of the capped spans, what is carried over a bucket's bounds included. Of equal extrema the first time counts.
+    """
+    key, tie = F.expr(f"t div {width} * {width}").alias("bucket"), F.struct("t", "capture_id")
+    seen = history_slice(samples, start, end).groupBy("app_id", key).agg(
+        F.count(F.lit(1)).alias("n"), F.min("player_count").alias("lowest"), F.min_by("t", F.struct("player_count", "t")).alias("lowest_t"),
+        F.max("player_count").alias("highest"), F.max_by("t", F.struct("player_count", -F.col("t"))).alias("highest_t"),
+        F.min("t").alias("first_t"), F.min_by("player_count", tie).alias("first_count"), F.max("t").alias("last_t"), F.max_by("player_count", tie).alias("last_count"),
+    )
+    held = (F.col("b") - F.col("a")).cast("decimal(18,0)")
+    spans = cut_at(capped_spans(samples, policies, start, end, multiplier, reach), width)
+    sums = spans.groupBy("app_id", "bucket").agg(F.sum(F.col("b") - F.col("a")).alias("covered"), F.sum(F.col("player_count").cast("decimal(20,0)") * held).cast("decimal(38,0)").alias("integral"))
+    return seen.join(sums, ["app_id", "bucket"], "full").fillna(0, ["n", "covered", "integral"])
+
+
+def merged_rollups(rollups: DataFrame, width: int) -> DataFrame:
+    """Rollups of narrower buckets, whose width divides this one, as rollups of this width."""
+    first, last = F.when(F.col("n") > 0, F.col("first_t")), F.when(F.col("n") > 0, F.col("last_t"))
+    return rollups.groupBy("app_id", F.expr(f"bucket div {width} * {width}").alias("bucket")).agg(
+        F.sum("n").alias("n"), F.min("lowest").alias("lowest"), F.min_by("lowest_t", F.when(F.col("n") > 0, F.struct("lowest", "lowest_t"))).alias("lowest_t"),
+        F.max("highest").alias("highest"), F.max_by("highest_t", F.when(F.col("n") > 0, F.struct(F.col("highest"), -F.col("highest_t")))).alias("highest_t"),
+        F.min("first_t").alias("first_t"), F.min_by("first_count", first).alias("first_count"), F.max("last_t").alias("last_t"), F.max_by("last_count", last).alias("last_count"),
+        F.sum("covered").alias("covered"), F.sum("integral").cast("decimal(38,0)").alias("integral"),
     )
 
 
-def missed_occurrences(samples: DataFrame, start: int, end: int, interval: int) -> DataFrame:
-    """app_id, slot: expected slots of a fixed interval in the window without a sample."""
-    slots = samples.select("app_id").distinct().select("app_id", F.explode(F.sequence(F.lit(start), F.lit(end - 1), F.lit(interval))).alias("slot"))
-    seen = history_slice(samples, start, end).select("app_id", F.expr(f"{start} + (t - {start}) div {interval} * {interval}").alias("slot")).distinct()
-    return slots.join(seen, ["app_id", "slot"], "left_anti")
+def policy_periods(policies: DataFrame, start: int, end: int) -> DataFrame:
+    """app_id, interval_seconds, s, e: when each policy holds within the window."""
+    nxt = F.lead("started").over(Window.partitionBy("app_id").orderBy("started", "id"))
+    p = policies.where(F.col("started") < end).withColumn("s", F.greatest("started", F.lit(start))).withColumn("e", F.least(F.coalesce(nxt, F.lit(end)), F.lit(end)))
+    return p.where("e > s AND interval_seconds > 0").select("app_id", F.col("interval_seconds").cast("bigint").alias("interval_seconds"), "s", "e")
+
+
+def missed_occurrences(samples: DataFrame, policies: DataFrame, start: int, end: int, block: int = BLOCK) -> DataFrame:
+    """app_id, slot: slots of the policies' intervals, each counted from its policy's beginning in the window, without a sample before the next slot or policy.
+
+    Samples meet their policy by app and time block, then a range within.
+    """
+    periods = policy_periods(policies, start, end).withColumn("step", F.col("interval_seconds") * MICROS)
+    slots = periods.select("app_id", F.explode(F.sequence(F.col("s"), F.col("e") - 1, F.col("step"))).alias("slot"))
+    there = periods.withColumn("block", F.explode(F.sequence(F.expr(f"s div {block}"), F.expr(f"(e - 1) div {block}"))))
+    met = history_slice(samples, start, end).select("app_id", "t").withColumn("block", F.expr(f"t div {block}")).join(there, ["app_id", "block"]).where("s <= t AND t < e")
+    return slots.join(met.select("app_id", F.expr("s + (t - s) div step * step").alias("slot")).distinct(), ["app_id", "slot"], "left_anti")
 
 
-def downsample(samples: DataFrame, start: int, end: int, buckets: int) -> DataFrame:
-    """At most two points per app and bucket: its lowest and its highest sample, earliest on ties."""
+def downsample(samples: DataFrame, holes: DataFrame, start: int, end: int, buckets: int) -> DataFrame:
+    """At most two points per app and bucket, its lowest and its highest sample, earliest on ties; and a point without a count where a gap (app_id, gap_from) begins, so that no line is drawn across."""
     width = -(-(end - start) // buckets)
     b = F.expr(f"(t - {start}) div {width}")
     point = F.struct("t", "capture_id", "player_count")
     low = F.min_by(point, F.struct("player_count", "t", "capture_id"))
     high = F.max_by(point, F.struct(F.col("player_count"), -F.col("t"), -F.col("capture_id")))
     kept = history_slice(samples, start, end).groupBy("app_id", b.alias("bucket")).agg(F.array_distinct(F.array(low, high)).alias("p"))
-    return kept.select("app_id", F.explode("p").alias("p")).select("app_id", "p.*")
+    kept = kept.select("app_id", F.explode("p").alias("p")).select("app_id", "p.*")
+    return kept.unionByName(holes.select("app_id", F.col("gap_from").alias("t")), allowMissingColumns=True)

@@ -24,6 +24,11 @@ def enroll(policies: DataFrame) -> DataFrame:
     return policies.withColumn("before", before).where("NOT (before <=> interval_seconds)").drop("before")
 
 
+def enrolled_apps(policies: DataFrame) -> DataFrame:
+    """app_id, enrolled: each app once, from its first policy on."""
+    return policies.groupBy("app_id").agg(F.min("started").alias("enrolled"))
+
+
 def attempts_24h(attempts: DataFrame, as_of: int, day: int, hosts: list[str]) -> DataFrame:
     """host_group, attempts after as_of - 24 h (exclusive), 0 for hosts without any."""
     spark = attempts.sparkSession
@@ -59,8 +64,8 @@ def outcome_rollup(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("run_id", "app_id").agg(state.alias("status"))
 
 
-def quota_usage(attempts: DataFrame, day: int, block: int) -> DataFrame:
-    """attempt_id, host_group, dispatched, used: attempts of the host in the 24 h before (both bounds exclusive of the attempt's own instant's end).
+def quota_usage(attempts: DataFrame, day: int, block: int, quotas: dict[str, int]) -> DataFrame:
+    """attempt_id, host_group, dispatched, used: attempts of the host in the 24 h before (both bounds exclusive of the attempt's own instant's end); over: at or over the host's quota, null without one.
 
     Exact in two levels, so no host is one task: each attempt counts +1 from its time on and -1 from 24 h later; sums
     run within a block of time, and what earlier blocks add is a running total over blocks.
@@ -72,8 +77,10 @@ def quota_usage(attempts: DataFrame, day: int, block: int) -> DataFrame:
     earlier = F.sum("sum").over(Window.partitionBy("host_group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("host_group", "block", F.coalesce(earlier, F.lit(0)).alias("before"))
     within = F.sum("d").over(Window.partitionBy("host_group", "block").orderBy("at", "d", "attempt_id").rowsBetween(Window.unboundedPreceding, 0))
+    used = F.col("before") + F.col("own") - 1
+    most = F.coalesce(*(F.when(F.col("host_group") == h, F.lit(n)) for h, n in quotas.items()), F.lit(None).cast("int"))
     summed = marks.withColumn("own", within).where("attempt_id is not null")
-    return summed.join(totals, ["host_group", "block"]).select("attempt_id", "host_group", F.col("at").alias("dispatched"), (F.col("before") + F.col("own") - 1).alias("used"))
+    return summed.join(totals, ["host_group", "block"]).select("attempt_id", "host_group", F.col("at").alias("dispatched"), used.alias("used"), (used >= most).alias("over"))
 
 
 def pacing_violations(attempts: DataFrame, spacing: dict[str, int], block: int) -> DataFrame:
@@ -122,6 +129,12 @@ def capture_manifest(captures: DataFrame, blocks: int) -> DataFrame:
     return lines.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n"), 256).alias("digest"))
 
 
+def manifest_digest(manifest: DataFrame) -> DataFrame:
+    """One row, n and digest over all blocks of a capture_manifest, in their order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"])
+    return manifest.agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("n"), F.sha2(F.array_join(ordered, "\n"), 256).alias("digest"))
+
+
 def verify_projections(stored: DataFrame, derived: DataFrame, key: str) -> DataFrame:
     """key and what is wrong: missing, extra or different; nothing for equal rows."""
     columns = [c for c in stored.columns if c != key]

@@ -12,10 +12,11 @@ def search_catalog(names: DataFrame, text: str) -> DataFrame:
 
 
 def page(df: DataFrame, number: int, size: int) -> DataFrame:
-    """A page in order of lower-cased name, then id; numbers from 1, at most 100 rows."""
+    """A page in order of lower-cased name, then id, and total: the rows of all pages. Numbers from 1, at most 100 rows."""
     if not (1 <= number < 2**32 and 1 <= size <= 100):
         raise ValueError("page from 1, size from 1 to 100")
-    return df.orderBy(F.lower("name"), "app_id").offset((number - 1) * size).limit(size)
+    rows = df.orderBy(F.lower("name"), "app_id").offset((number - 1) * size).limit(size)
+    return rows.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))))  # one row
 
 
 def cohort_listing(summary: DataFrame, name_part: str, id_part: str, most: int) -> DataFrame:

@@ -25,17 +25,19 @@ def latest_n(df: DataFrame, key: str, order: Column, n: int) -> DataFrame:
 
 
 def price_history(prices: DataFrame, most: int = 100) -> DataFrame:
+    """app_id, t, id, is_free, currency, initial, final: the newest observations of each app."""
     w = Window.partitionBy("app_id").orderBy(F.desc("t"), F.desc("id"))
-    return prices.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("app_id", "t", "id", "currency", "initial", "final")
+    return prices.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("app_id", "t", "id", "is_free", "currency", "initial", "final")
 
 
 def lowest_price(prices: DataFrame) -> DataFrame:
-    """app_id, currency, lowest, at: the first time of the lowest final price of each series."""
-    return prices.groupBy("app_id", "currency").agg(F.min("final").alias("lowest"), F.min_by("t", F.struct("final", "t")).alias("at"))
+    """country, currency, app_id, lowest, at: the first time of the lowest final price of each series; observations without a price don't count."""
+    return prices.where("final IS NOT NULL").groupBy("country", "currency", "app_id").agg(F.min("final").alias("lowest"), F.min_by("t", F.struct("final", "t")).alias("at"))
 
 
-def price_state(initial: Column, final: Column) -> Column:
-    return F.when(final.isNull() & initial.isNull(), "unknown").when(final.isNull(), "unavailable").when(final == 0, "free").otherwise("priced")
+def price_state(is_free: Column, final: Column) -> Column:
+    """free by the flag or a price of 0, priced with a price, unavailable if not free but without one, else unknown."""
+    return F.when(is_free | (final == 0), "free").when(final.isNotNull(), "priced").when(~is_free, "unavailable").otherwise("unknown")
 
 
 def last_run(runs: DataFrame, completions: DataFrame) -> DataFrame:
@@ -88,14 +90,29 @@ def availability_counts(summary: DataFrame) -> DataFrame:
 
 
 def local_rank(summary: DataFrame) -> DataFrame:
-    """app_id, player_count, rank, cohort of fresh apps; larger counts first, ties by id. Ranks are counted per value first, so one task orders values, not rows."""
+    """app_id, player_count, rank, cohort of fresh apps, and stale: how many were left out as such; larger counts first, ties by id. Ranks are counted per value first, so one task orders values, not rows."""
     fresh = summary.where("availability = 'fresh'").select("app_id", "player_count")
     per_value = fresh.groupBy("player_count").agg(F.count(F.lit(1)).alias("same"))
     running = Window.orderBy(F.desc("player_count")).rowsBetween(Window.unboundedPreceding, -1)
     per_value = per_value.withColumn("above", F.coalesce(F.sum("same").over(running), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("player_count").orderBy("app_id"))
-    total = fresh.agg(F.count(F.lit(1)).alias("cohort"))
-    return fresh.join(per_value, "player_count").withColumn("rank", (F.col("above") + own).cast("bigint")).crossJoin(F.broadcast(total)).select("app_id", "player_count", "rank", "cohort")
+    total = summary.agg(F.count_if(F.col("availability") == "fresh").alias("cohort"), F.count_if(F.col("availability") == "stale").alias("stale"))
+    return fresh.join(per_value, "player_count").withColumn("rank", (F.col("above") + own).cast("bigint")).crossJoin(F.broadcast(total)).select("app_id", "player_count", "rank", "cohort", "stale")
+
+
+def chart_view(items: DataFrame, artwork: DataFrame, as_of: int) -> DataFrame:
+    """source, app_id, rank, players, image, age_seconds of each source's newest chart; image is null without artwork (source, month, app_id, image), an age is never negative."""
+    newest = items.groupBy("source").agg(F.max("month").alias("month"))
+    began = F.unix_micros(F.to_timestamp(F.concat(F.col("month").cast("string"), F.lit("01")), "yyyyMMdd"))
+    age = F.greatest(F.lit(0).cast("bigint"), F.floor((F.lit(as_of) - began) / 1_000_000))
+    shown = items.join(newest, ["source", "month"]).join(artwork.select("source", "month", "app_id", "image"), ["source", "month", "app_id"], "left")
+    return shown.select("source", "app_id", "rank", "players", "image", age.alias("age_seconds"))
+
+
+def refresh_due(apps: DataFrame, completions: DataFrame, as_of: int, wait: int) -> DataFrame:
+    """app_id, finished of apps that no run has finished within the wait, or ever."""
+    done = completions.groupBy("app_id").agg(F.max("finished").alias("finished"))
+    return apps.select("app_id").join(done, "app_id", "left").where(F.col("finished").isNull() | (F.lit(as_of) - F.col("finished") >= wait))
 
 
 def instance_counts(**tables: DataFrame) -> DataFrame:

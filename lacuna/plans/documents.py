@@ -191,6 +191,11 @@ def _(spark, d):
     return D.chart_artwork(chart_pages(spark, d))
 
 
+@query("e18_chart_view", f" SELECT source, app_id, rank, players, CASE WHEN app_id % 9 <> 0 AND app_id % 2 = 0 THEN 'https://cdn.akamai.steamstatic.com/' || app_id || '.jpg' END AS image, greatest(0, ({AS_OF} - epoch_us(strptime(month::VARCHAR || '01', '%Y%m%d'))) // 1000000) AS age_seconds FROM chart_item WHERE month = (SELECT max(month) FROM chart_item c WHERE c.source = chart_item.source)")
+def _(spark, d):
+    return C.chart_view(V.chart_items(spark, d), D.chart_artwork(chart_pages(spark, d)), AS_OF)
+
+
 @query("b18_route_by_parser", " SELECT capture_id, CASE WHEN capture_id % 5 <> 0 THEN 'player_counts' END AS parser, CASE WHEN capture_id % 5 = 0 THEN 'unknown_parser_version' END AS code FROM raw_response")
 def _(spark, d):
     got = V.raw_responses(spark, d).selectExpr("capture_id", "'players' AS source", "CASE WHEN capture_id % 5 = 0 THEN '9' ELSE '1' END AS source_version")
@@ -383,6 +388,31 @@ def _(spark, d):
     return got.selectExpr("app_id", "unix_micros(first) AS first", "unix_micros(last_end) AS last_end", "n")
 
 
+def sample_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Samples and policies in one stream, as stream_capped_spans takes them."""
+    kind = "CASE event_type WHEN 'signup' THEN 0 ELSE 1 END AS kind"
+    amount = "CASE event_type WHEN 'signup' THEN 3600 * (1 + cast(get_json_object(props, '$.k') AS bigint) % 24) ELSE cast(round(value * 100) AS bigint) END AS amount"
+    e = K.stream_table(spark, f"{d}/events.parquet").where("event_type in ('signup', 'view', 'click', 'purchase')")
+    return e.selectExpr("user_id + 1 AS app_id", "unix_micros(cast(ts AS timestamp)) AS t", kind, "event_id AS id", amount, "cast(ts AS timestamp) AS at")
+
+
+_STREAMED = f""", kept AS (SELECT max(t) // 1000 - {HOUR // 1000} AS mark FROM ev WHERE event_type IN ('signup', 'view', 'click', 'purchase')),
+both_s AS (SELECT app_id, t, capture_id AS id, player_count, NULL::BIGINT AS iv, 1 AS kind FROM player_sample UNION ALL SELECT app_id, started, id, NULL, interval_seconds, 0 FROM tracking_interval),
+held_s AS (SELECT *, last_value(iv IGNORE NULLS) OVER (PARTITION BY app_id ORDER BY t, kind, id ROWS UNBOUNDED PRECEDING) AS interval_seconds FROM both_s, kept WHERE t // 1000 < mark),
+step_s AS (SELECT app_id, mark, t AS a, t + interval_seconds * 2000000 AS cap, lead(t) OVER (PARTITION BY app_id ORDER BY t, id) AS following, player_count FROM held_s WHERE kind = 1),
+ended AS (SELECT app_id, a, least(cap, coalesce(following, cap)) AS b, player_count, coalesce(following > cap, true) AS expired FROM step_s WHERE cap IS NOT NULL AND (following IS NOT NULL OR cap // 1000 < mark))"""
+
+
+@query("k03_stream_capped_spans", _STREAMED + " SELECT * FROM ended WHERE b > a")
+def _(spark, d):
+    return K.drained(K.stream_capped_spans(sample_stream(spark, d), "at", "1 hour"), "spans")
+
+
+@query("k04_stream_freshness", _STREAMED + " SELECT app_id, b AS stale_at FROM ended WHERE b > a AND expired")
+def _(spark, d):
+    return K.drained(K.stream_freshness(sample_stream(spark, d), "at", "1 hour"), "freshness")
+
+
 @query(
     "k05_stream_quota",
     f""", w AS (SELECT host_group, (dispatched // {HOUR} + unnest(range(1, 25))) * {HOUR} AS window_end FROM request_attempt)

@@ -84,7 +84,9 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey + 1 AS app_id", "l_returnflag AS currency", "unix_micros(cast(l_shipdate AS timestamp)) AS t", "l_orderkey * 10 + l_linenumber AS id",
         "cast(round(l_extendedprice * 100) AS bigint) AS initial", "cast(round(l_discount * 100) AS bigint) AS discount",
     )
-    return li.withColumn("final", F.expr("initial * (100 - discount) div 100"))
+    shown = F.expr("id % 11 <> 0 AND id % 13 <> 0 AND id % 17 <> 0")
+    li = li.withColumn("country", F.expr("CASE id % 2 WHEN 0 THEN 'us' ELSE 'de' END")).withColumn("is_free", F.expr("CASE WHEN id % 17 <> 0 THEN id % 11 = 0 END"))
+    return li.withColumn("final", F.when(shown, F.expr("initial * (100 - discount) div 100"))).withColumn("initial", F.when(shown, F.col("initial")))
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +121,9 @@ chart_item AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source,
 name_history AS (SELECT p_partkey + 1 AS app_id, 788918400000000 AS t, 'catalog' AS source, p_name AS name FROM part
   UNION ALL SELECT l_partkey + 1, epoch_us(l_shipdate), l_returnflag, p_name || ' ' || l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey),
 review_summary AS (SELECT lang, source, CAST(sum(quality) AS BIGINT) AS positive, count(*) AS total FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
-price AS (SELECT *, initial * (100 - discount) // 100 AS final FROM (SELECT l_partkey + 1 AS app_id, l_returnflag AS currency, epoch_us(l_shipdate) AS t, l_orderkey * 10 + l_linenumber AS id,
-  CAST(round(l_extendedprice * 100) AS BIGINT) AS initial, CAST(round(l_discount * 100) AS BIGINT) AS discount FROM lineitem)),
+price AS (SELECT * REPLACE (CASE WHEN shown THEN initial END AS initial), CASE WHEN shown THEN initial * (100 - discount) // 100 END AS final, CASE id % 2 WHEN 0 THEN 'us' ELSE 'de' END AS country, CASE WHEN id % 17 <> 0 THEN id % 11 = 0 END AS is_free
+  FROM (SELECT id % 11 <> 0 AND id % 13 <> 0 AND id % 17 <> 0 AS shown, * FROM (SELECT l_partkey + 1 AS app_id, l_returnflag AS currency, epoch_us(l_shipdate) AS t, l_orderkey * 10 + l_linenumber AS id,
+  CAST(round(l_extendedprice * 100) AS BIGINT) AS initial, CAST(round(l_discount * 100) AS BIGINT) AS discount FROM lineitem))),
 capture AS (SELECT doc_id AS capture_id, source, text AS payload, CASE WHEN doc_id % 97 = 0 THEN 'x' ELSE '' END || sha256(text) AS checksum FROM documents),
 raw_response AS (SELECT capture_id, app_id, t, '{"response":{"result":' || CASE WHEN capture_id % 11 = 5 THEN '2' ELSE '1' END || ',"player_count":' ||
   CASE capture_id % 11 WHEN 1 THEN '"' || player_count || '"' WHEN 2 THEN 'true' WHEN 3 THEN player_count || '.5' WHEN 4 THEN '-' || player_count ELSE player_count::VARCHAR END ||

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -58,6 +61,63 @@ def stream_sessions(samples: DataFrame, at: str, gap: str, delay: str) -> DataFr
     return runs.select("app_id", F.col("session_window.start").alias("first"), F.col("session_window.end").alias("last_end"), "n")
 
 
+def stream_capped_spans(rows: DataFrame, at: str, delay: str, multiplier: int = 2) -> DataFrame:
+    """app_id, a, b, player_count, expired of spans that have ended; rows are (app_id, t, kind, id, amount, and the time `at`).
+
+    Of kind 0, amount is the interval in seconds from then on; of kind 1, it is a sample's player count. A span ends with
+    the app's next sample, or after `multiplier` intervals: then it has expired. Rows wait in the app's state until the
+    watermark has passed them and are taken in order of (t, kind, id), so the state is as long as the delay (or a batch);
+    one event-time timer per app wakes it for the first waiting row or the end of the open span. What comes behind the
+    watermark is dropped here; touched_rollup is for that. t is in microseconds.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        interval, since, players, *columns = state.get if state.exists else (-1, -1, -1, [], [], [], [])
+        waiting = list(zip(*columns))
+        for got in batches:
+            waiting += zip(*(map(int, got[c]) for c in ("t", "kind", "id", "amount")))
+        waiting.sort()
+        mark, spans, taken = state.getCurrentWatermarkMs(), [], 0
+        until = since + interval_of(interval) if since >= 0 else None
+
+        def close(b: int, expired: bool) -> None:
+            if b > since:
+                spans.append((key[0], since, b, players, expired))
+
+        for t, kind, _, amount in waiting:
+            if t // 1000 >= mark:
+                break
+            taken += 1
+            if kind == 0:
+                interval = amount
+                continue
+            if until is not None:
+                close(min(t, until), until < t)
+            since, players = (t, amount) if interval >= 0 else (-1, -1)
+            until = t + interval_of(interval) if interval >= 0 else None
+        waiting = waiting[taken:]
+        if until is not None and until // 1000 < mark:
+            close(until, True)
+            since, until = -1, None
+        state.update((interval, since, players, *(map(list, zip(*waiting)) if waiting else ([], [], [], []))))
+        wake = [x // 1000 for x in (until, waiting[0][0] if waiting else None) if x is not None]
+        if wake:
+            state.setTimeoutTimestamp(max(min(wake), mark + 1))
+        yield pd.DataFrame(spans, columns=["app_id", "a", "b", "player_count", "expired"])
+
+    def interval_of(seconds: int) -> int:
+        return seconds * multiplier * 1_000_000
+
+    held = "interval long, since long, players long, t array<long>, kind array<long>, id array<long>, amount array<long>"
+    own = rows.withWatermark(at, delay).select("app_id", "t", F.col("kind").cast("long").alias("kind"), "id", "amount", at)
+    return own.groupBy("app_id").applyInPandasWithState(step, "app_id long, a long, b long, player_count long, expired boolean", held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_freshness(rows: DataFrame, at: str, delay: str, multiplier: int = 2) -> DataFrame:
+    """app_id, stale_at: when an app's newest sample grew older than `multiplier` intervals, once the watermark is past that. Rows as of stream_capped_spans."""
+    return stream_capped_spans(rows, at, delay, multiplier).where("expired").select("app_id", F.col("b").alias("stale_at"))
+
+
 def stream_quota(attempts: DataFrame, at: str, delay: str, length: str = "24 hours", step: str = "1 hour") -> DataFrame:
     """host_group, window_end, attempts over sliding windows; a window comes out when the watermark has passed it."""
     counted = attempts.withWatermark(at, delay).groupBy(F.window(at, length, step), "host_group").agg(F.count(F.lit(1)).alias("attempts"))

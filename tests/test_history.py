@@ -41,3 +41,33 @@ def test_covered_and_gaps_fill_the_window(spark):
     for r in H.gaps(spans, apps, 100 * S, 4000 * S).collect():
         total[r.app_id] += r.gap_to - r.gap_from
     assert set(total.values()) == {3900 * S}
+
+
+def irregular(spark):
+    s = spark.createDataFrame([(i, i % 3, (i * 7919 % 5000) * S, i * 37 % 101) for i in range(90)], "capture_id long, app_id long, t long, player_count long")
+    p = spark.createDataFrame([(i, i % 3, i * 400 * S, 60 * (1 + i % 4)) for i in range(9)], "id long, app_id long, started long, interval_seconds long")
+    return s, p, spark.createDataFrame([(i,) for i in range(4)], "app_id long")
+
+
+def test_time_blocks_change_nothing(spark):
+    s, p, apps = irregular(spark)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    spans = [H.capped_spans(s, p, 300 * S, 4500 * S, block=b * S) for b in (130, 10**6)]
+    assert rows(spans[0]) == rows(spans[1])
+    assert rows(H.as_of_cadence(s, p, 130 * S)) == rows(H.as_of_cadence(s, p, 10**6 * S))
+    holes = [H._with_gaps(spans[1], apps, 300 * S, 4500 * S, b * S) for b in (130, 10**6)]
+    assert rows(holes[0]) == rows(holes[1])
+
+
+def test_rollups_merge(spark):
+    s, p, apps = irregular(spark)
+    narrow, wide = (H.player_rollup(s, p, 0, 6000 * S, w * S) for w in (500, 3000))
+    rows = lambda df: sorted(map(tuple, df.select(wide.columns).collect()), key=repr)
+    assert rows(H.merged_rollups(narrow, 3000 * S)) == rows(wide)
+
+
+def test_history_has_no_arrays_beyond_the_bound(spark):
+    s, p, apps = irregular(spark)
+    got = {r.app_id: r for r in H.history(s.where("app_id = 0 OR capture_id < 9"), p, apps, 0, 7200 * S, max_points=10).collect()}
+    assert got[0].rejected and got[0].series is None and got[0].gaps is None and got[0].points == 30
+    assert not got[1].rejected and len(got[1].series) == 3 and got[3].series is None and len(got[3].gaps) == 1
