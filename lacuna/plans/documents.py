@@ -63,8 +63,12 @@ def details_captures(spark: SparkSession, d: str) -> DataFrame:
     """Store details in their envelope."""
     data = """named_struct('steam_appid', id + CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END, 'name', p_name, 'type', p_type, 'short_description', concat('<b>', p_brand, '</b><br>', p_name, ' &amp; more'), 'is_free', p_size % 2 = 0,
       'website', CASE WHEN id % 3 = 0 THEN 'ftp://a.example/x' ELSE 'https://a.example/x' END, 'platforms', named_struct('windows', true, 'mac', p_size % 3 = 0, 'linux', false),
+      'publishers', array(concat(p_brand, ' &amp; Co'), concat('<i>', p_type, '</i>')), 'about_the_game', concat('<p>', p_name, '</p><script>x</script><p>', p_brand, '</p>'), 'drm_notice', CASE WHEN id % 2 = 0 THEN p_brand END,
+      'pc_requirements', named_struct('minimum', concat('<b>', p_size, ' GB</b>')), 'mac_requirements', CASE WHEN p_size % 3 = 0 THEN named_struct('recommended', p_brand) END,
+      'demos', array(named_struct('appid', id + 2, 'description', concat(p_name, '<br>')), named_struct('appid', 0L, 'description', 'none')), 'fullgame', CASE WHEN id % 4 = 0 THEN named_struct('appid', CASE WHEN id % 8 = 0 THEN 'x' ELSE cast(id + 3 AS string) END, 'name', p_name) END,
+      'achievements', named_struct('total', p_size - 10, 'highlighted', array(named_struct('localized_name', CASE WHEN id % 2 = 0 THEN '' ELSE '<b>won</b>' END, 'name', p_brand, 'icon', 'https://cdn.akamai.steamstatic.com/i.jpg'))),
       'genres', array(named_struct('description', p_brand), named_struct('description', p_type)), 'dlc', array(id + 1, 0L),
-      'price_overview', CASE WHEN p_size % 2 = 1 THEN named_struct('currency', 'USD', 'initial', cents, 'final', cents - CASE WHEN id % 7 = 0 THEN cents + 1 ELSE 1 END, 'discount_percent', 1) END,
+      'price_overview', CASE WHEN p_size % 2 = 1 THEN named_struct('currency', 'USD', 'initial', cents, 'final', cents - CASE WHEN id % 7 = 0 THEN cents + 1 ELSE 1 END, 'discount_percent', 1, 'final_formatted', concat('$', cents)) END,
       'screenshots', array(named_struct('path_thumbnail', 'https://cdn.akamai.steamstatic.com/t.jpg', 'path_full', CASE WHEN id % 5 = 0 THEN 'http://cdn.akamai.steamstatic.com/f.jpg' ELSE 'https://cdn.akamai.steamstatic.com/f.jpg' END)),
       'package_groups', array(named_struct('subs', array(named_struct('packageid', id, 'option_text', p_name))), named_struct('subs', array(named_struct('packageid', id + 1, 'option_text', p_name), named_struct('packageid', 0L, 'option_text', 'none')))))"""
     part = V.read(spark, d, "part").selectExpr("*", "p_partkey + 1 AS id", "cast(round(p_retailprice * 100) AS bigint) AS cents")
@@ -135,13 +139,19 @@ def _(spark, d):
     """, p AS (SELECT *, p_partkey + 1 AS id, CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM part)
 SELECT id AS app_id, p_name AS name, p_type AS type, p_brand || chr(10) || p_name || ' & more' AS short_description, p_size % 2 = 0 AS is_free, CASE WHEN id % 3 <> 0 THEN 'https://a.example/x' END AS website,
   CASE WHEN p_size % 3 = 0 THEN 'mac,windows' ELSE 'windows' END AS platforms, p_brand || ',' || p_type AS genres, (id + 1)::VARCHAR AS dlc, CASE WHEN p_size % 2 = 1 AND id % 7 <> 0 THEN cents - 1 END AS final,
-  CASE WHEN id % 5 = 0 THEN 0 ELSE 1 END AS screenshots, id || ',' || (id + 1) AS options FROM p WHERE id % 11 <> 0 AND id % 13 <> 0""",
+  CASE WHEN id % 5 = 0 THEN 0 ELSE 1 END AS screenshots, id || ':' || p_name || ',' || (id + 1) || ':' || p_name AS options,
+  p_brand || ' & Co,' || p_type AS publishers, p_name || chr(10) || p_brand AS about_the_game, CASE WHEN id % 2 = 0 THEN p_brand ELSE '' END AS drm_notice, p_size || ' GB' AS pc_minimum, CASE WHEN p_size % 3 = 0 THEN p_brand END AS mac_recommended,
+  (id + 2) || ':' || p_name AS demos, CASE WHEN id % 4 = 0 AND id % 8 <> 0 THEN id + 3 END AS full_game, CASE WHEN p_size % 2 = 1 AND id % 7 <> 0 THEN '$' || cents END AS final_formatted,
+  CASE WHEN p_size >= 10 THEN (p_size - 10) || ':' || CASE WHEN id % 2 = 0 THEN p_brand ELSE 'won' END || ':https://cdn.akamai.steamstatic.com/i.jpg' END AS achievements FROM p WHERE id % 11 <> 0 AND id % 13 <> 0""",
 )
 def _(spark, d):
     got = D.flatten_store_details(details_captures(spark, d)).where("code is null")
     return got.selectExpr(
         "app_id", "name", "type", "short_description", "is_free", "website", "array_join(platforms, ',') AS platforms", "array_join(genres, ',') AS genres", "array_join(cast(dlc AS array<string>), ',') AS dlc",
-        "price.final AS final", "size(screenshots) AS screenshots", "array_join(transform(purchase_options, o -> cast(o.packageid AS string)), ',') AS options",
+        "price.final AS final", "size(screenshots) AS screenshots", "array_join(transform(purchase_options, o -> concat(o.packageid, ':', o.description)), ',') AS options",
+        "array_join(publishers, ',') AS publishers", "about_the_game", "drm_notice", "requirements['pc'].minimum AS pc_minimum", "try_element_at(requirements, 'mac').recommended AS mac_recommended",
+        "array_join(transform(demos, x -> concat(x.app_id, ':', x.description)), ',') AS demos", "fullgame.app_id AS full_game", "price.final_formatted AS final_formatted",
+        "concat(achievements.total, ':', achievements.highlighted[0].name, ':', achievements.highlighted[0].image) AS achievements",
     )
 
 
