@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def append_if_absent(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+def append_if_absent(target: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
     """The rows that an insert which ignores known keys would add: one per new key."""
-    return rows.dropDuplicates([key]).join(target.select(key), key, "left_anti")
+    return rows.dropDuplicates(list(key)).join(target.select(*key), list(key), "left_anti")
 
 
 def enforce_constraints(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -135,13 +135,12 @@ def manifest_digest(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("n"), F.sha2(F.array_join(ordered, "\n"), 256).alias("digest"))
 
 
-def verify_projections(stored: DataFrame, derived: DataFrame, key: str) -> DataFrame:
-    """key and what is wrong: missing, extra or different; nothing for equal rows."""
-    columns = [c for c in stored.columns if c != key]
-    s, d = stored.select(key, F.struct(*columns).alias("s")), derived.select(key, F.struct(*columns).alias("d"))
-    both = s.join(d, key, "full_outer")
+def verify_projections(stored: DataFrame, derived: DataFrame, *key: str) -> DataFrame:
+    """The key and what is wrong with a stored row against its re-derivation: missing, extra or different in any other column; nothing for equal rows."""
+    columns = [c for c in stored.columns if c not in key]
+    s, d = stored.select(*key, F.struct(*columns).alias("s")), derived.select(*key, F.struct(*columns).alias("d"))
     fault = F.when(F.col("s").isNull(), "missing").when(F.col("d").isNull(), "extra").when(~F.col("s").eqNullSafe(F.col("d")), "different")
-    return both.select(key, fault.alias("fault")).where("fault is not null")
+    return s.join(d, list(key), "full_outer").select(*key, fault.alias("fault")).where("fault is not null")
 
 
 def capacity_plan(policies: DataFrame, quota: int) -> DataFrame:

@@ -445,6 +445,42 @@ def _(spark, d):
     return L.append_if_absent(V.player_samples(spark, d).where("capture_id % 13 <> 0"), rows, "capture_id")
 
 
+def derived_names(spark: SparkSession, d: str) -> DataFrame:
+    return D.parse_store_names(store_captures(spark, d)).where("code is null").drop("code").withColumn("parser_version", F.lit("1"))
+
+
+def derived_entries(spark: SparkSession, d: str) -> DataFrame:
+    return D.explode_catalog(D.parse_catalog_pages(catalog_captures(spark, d)))
+
+
+@query("h01_rebuild_names", _STORE + " SELECT capture_id, app_id, t, name, '1' AS parser_version FROM stored WHERE code IS NULL AND capture_id % 13 = 0")
+def _(spark, d):
+    rows = derived_names(spark, d)
+    return L.append_if_absent(rows.where("capture_id % 13 <> 0"), rows, "capture_id")
+
+
+@query("h01_rebuild_catalog", _CATALOG + " SELECT capture_id, app_id, name FROM page_item WHERE capture_id % 7 <> 6 AND app_id % 13 = 0")
+def _(spark, d):
+    rows = derived_entries(spark, d)
+    return L.append_if_absent(rows.where("app_id % 13 <> 0"), rows, "capture_id", "app_id")
+
+
+@query("h02_verify_names", _STORE + " SELECT capture_id, CASE WHEN capture_id % 13 = 0 THEN 'missing' ELSE 'different' END AS fault FROM stored WHERE code IS NULL AND (capture_id % 13 = 0 OR capture_id % 17 = 0 OR capture_id % 19 = 0)")
+def _(spark, d):
+    rows = derived_names(spark, d)
+    kept = rows.where("capture_id % 13 <> 0").withColumn("name", F.expr("CASE WHEN capture_id % 17 = 0 THEN 'other' ELSE name END"))
+    return L.verify_projections(kept.withColumn("parser_version", F.expr("CASE WHEN capture_id % 19 = 0 THEN '0' ELSE parser_version END")), rows, "capture_id")
+
+
+@query("h02_verify_catalog", _CATALOG + """ SELECT capture_id, app_id, CASE WHEN app_id % 13 = 0 THEN 'missing' ELSE 'different' END AS fault FROM page_item WHERE capture_id % 7 <> 6 AND (app_id % 13 = 0 OR app_id % 17 = 0)
+UNION ALL SELECT p_partkey, -p_partkey, 'extra' FROM part WHERE p_partkey % 50 = 0""")
+def _(spark, d):
+    rows = derived_entries(spark, d)
+    kept = rows.where("app_id % 13 <> 0").withColumn("name", F.expr("CASE WHEN app_id % 17 = 0 THEN 'other' ELSE name END"))
+    more = V.read(spark, d, "part").where("p_partkey % 50 = 0").selectExpr("p_partkey AS capture_id", "-p_partkey AS app_id", "p_name AS name")
+    return L.verify_projections(kept.unionByName(more), rows, "capture_id", "app_id")
+
+
 @query("i03_compare", _APPS + _CADENCE + _spans(START, END) + f", n AS (SELECT app_id, count(*) AS points FROM player_sample WHERE t >= {START} AND t < {END} GROUP BY app_id) SELECT app_id, coalesce(points, 0) AS points, coalesce(covered, 0) AS covered, integral::DOUBLE / covered::DOUBLE AS average FROM apps LEFT JOIN spans_sums USING (app_id) LEFT JOIN n USING (app_id)")
 def _(spark, d):
     return H.coverage(*history_inputs(spark, d), apps(spark, d), START, END, reach=V.REACH).select("app_id", "points", "covered", "average")
