@@ -53,6 +53,18 @@ def with_sketch(df: DataFrame, text_col: str, out: str, shingle: int = 5, digits
     )
 
 
+def packed(sk: Column) -> Column:
+    """The sketch with its hashes as bytes, eight for each, as it is sent through exchanges; in the same order as the sketches."""
+    return F.struct(sk["bound"].alias("bound"), F.unhex(F.array_join(sk["hashes"], "")).alias("hashes"))
+
+
+def with_unpacked(df: DataFrame, packed_col: str, out: str) -> DataFrame:
+    """df with the column `out`: the sketch that `packed_col` holds. The hashes are a column of their own, as they are used more than once."""
+    hashes = f"__{out}_hashes"
+    made = df.withColumn(hashes, F.regexp_extract_all(F.lower(F.hex(F.col(packed_col)["hashes"])), F.lit("[0-9a-f]{16}"), F.lit(0)))
+    return made.withColumn(out, F.struct(F.col(packed_col)["bound"].alias("bound"), F.col(hashes).alias("hashes"))).drop(hashes)
+
+
 def fingerprint(sk: Column) -> Column:
     """The sketch as text."""
     return F.concat(sk["bound"], F.lit(":"), F.array_join(sk["hashes"], ","))
@@ -103,27 +115,29 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's text beside its edited text and its successor's sketch: doc_id, text, n_chars, edited, next_sketch.
+    """Each row's packed sketch beside its edited text and its successor's packed sketch: doc_id, n_chars, edited, own, following.
 
     Edited: the last third of the code points (rounded down) replaced by the first as many of the next document in
-    descending doc_id. Only that beginning and the sketch travel to the neighbour, and both joins read one exchange of
-    the texts. Rows that repeat a doc_id are kept; as a successor, the one with the greatest beginning stands for them.
+    descending doc_id. Each text is sketched once, before the one exchange that both joins read; only the beginning and
+    the sketch travel to the neighbour. Rows that repeat a doc_id are kept; as a successor, the one with the greatest
+    beginning stands for them.
     """
     # The keys of the joins are never null, and those of the aggregation between, so that its exchange serves the join too.
     key = lambda c, name: (F.coalesce(F.col(c), F.lit(0)).alias(name), F.isnull(c).alias(f"{name}_null"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
     ids = docs.select("doc_id", F.char_length("text").alias("n_chars")).groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
-    docs = docs.select("text", *key("doc_id", "k"))  # the same columns for both joins, or their exchanges would differ
+    docs = with_sketch(docs.select("text", *key("doc_id", "k")), "text", "sketch")
+    docs = docs.select("text", "k", "k_null", packed(F.col("sketch")).alias("own"))  # the same columns for both joins, or their exchanges would differ
     wanted = next_ids(ids).select(*key("next_id", "k"), *key("doc_id", "t"), F.expr("n_chars div 3").cast("int").alias("need"))
-    sent = docs.join(wanted, ["k", "k_null"]).select("t", "t_null", F.expr("left(text, need)").alias("beginning"), "text")
-    sent = with_sketch(sent, "text", "next_sketch").drop("text").groupBy("t", "t_null").agg(F.max(F.struct("beginning", "next_sketch")).alias("next"))
+    sent = docs.join(wanted, ["k", "k_null"]).select("t", "t_null", F.expr("left(text, need)").alias("beginning"), F.col("own").alias("following"))
+    sent = sent.groupBy("t", "t_null").agg(F.max(F.struct("beginning", "following")).alias("next"))
     both = docs.join(sent, (docs["k"] == sent["t"]) & (docs["k_null"] == sent["t_null"]), "left").withColumn("n_chars", F.char_length("text").cast("long"))
     return both.select(
         F.when(~F.col("k_null"), F.col("k")).alias("doc_id"),
-        "text",
         "n_chars",
         F.concat(F.expr("left(text, cast(n_chars - n_chars div 3 as int))"), F.expr("left(next.beginning, cast(n_chars div 3 as int))")).alias("edited"),
-        F.col("next.next_sketch").alias("next_sketch"),
+        "own",
+        F.col("next.following").alias("following"),
     )
 
 
@@ -133,8 +147,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A null text is empty; an empty table gives no rows; with one document alone, it is its own successor; other columns
     are ignored.
     """
-    rows = with_sketch(with_sketch(edited_pairs(docs, id_col, text_col), "text", "own"), "edited", "changed")
-    own, changed, following = F.col("own"), F.col("changed"), F.col("next_sketch")
+    rows = with_sketch(edited_pairs(docs, id_col, text_col), "edited", "changed")
+    rows = with_unpacked(with_unpacked(rows, "own", "own_sketch"), "following", "next_sketch")
+    own, changed, following = F.col("own_sketch"), F.col("changed"), F.col("next_sketch")
     return rows.select(
         "doc_id",
         "n_chars",
