@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -35,6 +36,21 @@ def test_fingerprints(odd, none):
         assert same[i].edited_sha256 == hashlib.sha256((t[: len(t) - k] + after[i][:k]).encode()).hexdigest()
 
 
+def test_sketches_at_the_floor_and_as_bytes(spark):
+    """A text with fewer hashes below the fraction than the floor keeps the floor's number; bytes give back every sketch."""
+    texts = ["", "one two", *(" ".join(f"w{k}x{j}" for j in range(n + 4)) for k, n in enumerate((31, 32, 33, 200, 400)))]
+    rows = fingerprints.with_sketch(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), "text", "sk")
+    rows = fingerprints.with_unpacked(rows.withColumn("bytes", fingerprints.packed(F.col("sk"))), "bytes", "back").orderBy("doc_id").collect()
+    assert all(r["sk"] == r["back"] for r in rows)
+    for r, text in zip(rows, texts):
+        w = text.split()
+        every = sorted({hashlib.md5(" ".join(w[i : i + 5]).encode()).hexdigest()[:16] for i in range(max(len(w) - 4, 1))}) if w else []
+        below = [h for h in every if h < "2"]
+        kept = below if len(below) >= 32 else every[:32]
+        bound = fingerprints.COMPLETE if len(kept) == len(every) else "2" if len(below) >= 32 else kept[-1]
+        assert (r["sk"]["bound"], r["sk"]["hashes"]) == (bound, kept)
+
+
 def test_contamination(spark, odd, none):
     items = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(20, 35))), (2, "ONE two"), (3, None), (4, "")], "item_id long, text string")
     got = {r.doc_id: r for r in contamination(odd, items).collect()}
