@@ -11,6 +11,10 @@ from lacuna.llm.fingerprints import fingerprint_documents
 from lacuna.llm.jaccard_join import near_duplicates
 from lacuna.llm.packing import pack_documents
 from lacuna.llm.personal_data import find_personal_data
+from lacuna.llm.prefix_trie import prefix_trie
+from lacuna.llm.quality import score_quality
+from lacuna.llm.quality import train as train_quality
+from lacuna.llm.runs import periodic_runs, run_report, with_planted_runs
 from lacuna.llm.secrets import scan_secrets, train_field
 from lacuna.llm.substring_dedup import without_repeats
 from lacuna.llm.token_counts import count_tokens
@@ -65,10 +69,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 80)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("p", "q")
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")), 12))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_decontamination, op3_token_counts, op4_packing, op5_suffix_dedup, op6_personal_data, op7_secrets, op8_toxicity, op9_archives, op10_jaccard_join)
-}
+    for f in (
+        op1_fingerprints, op2_decontamination, op3_token_counts, op4_packing, op5_suffix_dedup, op6_personal_data, op7_secrets, op8_toxicity, op9_archives, op10_jaccard_join,
+        op11_prefix_trie, op12_quality, op13_periodic_runs,
+    )
+}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -135,4 +155,31 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
   CASE WHEN n >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 1000 AND page_id <> kept THEN kept END AS refers_to
 FROM q""",
+    "op11_prefix_trie": """
+WITH t AS (
+  SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS g, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT conv_id AS c, list(struct_pack(g := g, chars := chars) ORDER BY turn NULLS FIRST, g) AS turns,
+    xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) % 6 AS h
+  FROM t GROUP BY conv_id),
+r AS (
+  SELECT o.c, list_concat(CASE WHEN p.c IS NULL OR o.h = 0 THEN [] ELSE p.turns[1:o.h] END, o.turns[o.h + 1:]) AS turns FROM o LEFT JOIN o p ON p.c = o.c - o.c % 100),
+m AS (
+  SELECT c, d, len(turns) AS n, array_to_string(list_transform(turns[1:d], lambda x: x.g), '') AS k, array_to_string(list_transform(turns[1:d - 1], lambda x: x.g), '') AS above,
+    CASE WHEN d = 0 THEN 0 ELSE turns[d].chars END AS chars
+  FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+v AS (
+  SELECT d, k, any_value(above) AS above, any_value(chars) AS chars, min(c) AS c, count(*) AS n_convs,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = n), '')) AS ends_sha256
+  FROM m GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, above AS k, count(*) AS n_children FROM v WHERE d > 0 GROUP BY ALL),
+leaf AS (SELECT v.* FROM v LEFT JOIN kids USING (d, k) WHERE kids.k IS NULL),
+leaves AS (SELECT m.d, m.k, count(*) AS n_leaves FROM leaf JOIN m ON m.c = leaf.c AND m.d <= leaf.d GROUP BY ALL),
+saved AS (SELECT m.d, m.k, sum((v.n_convs - 1) * v.chars) AS saved_tokens FROM v JOIN m ON m.c = v.c AND m.d <= v.d GROUP BY ALL)
+SELECT v.c AS conv_id, v.d::BIGINT AS depth, up.c AS parent_conv_id, v.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM v LEFT JOIN v up ON up.d = v.d - 1 AND up.k = v.above AND v.d > 0 LEFT JOIN kids ON kids.d = v.d AND kids.k = v.k
+  JOIN leaves ON leaves.d = v.d AND leaves.k = v.k JOIN saved ON saved.d = v.d AND saved.k = v.k""",
 }
