@@ -128,14 +128,14 @@ def _cells(p: np.ndarray, q: np.ndarray, width: int) -> Iterator[np.ndarray]:
         yield ((p + np.uint64(k) * q) % np.uint64(width)).astype(np.int64) + k * width
 
 
-def count_min(prefixes: DataFrame, most_cells: int = 1 << 27) -> CountMin:
+def count_min(prefixes: DataFrame, most_cells: int = 1 << 27, segment_cells: int = SEGMENT) -> CountMin:
     """The sketch of all (p, q) in prefixes: two cells of a hash row for each prefix, up to most_cells (then 4 * most_cells bits, 64 MB, in all).
 
     A task counts 2**18 prefixes at a time and sends, by segment, the cells that it hit once and those hit more often; a
     segment's counts are added in one task, and only whether they reach two is kept.
     """
     n = prefixes.count()
-    width = int(min(most_cells, max(SEGMENT, 1 << (2 * n - 1).bit_length()))) if n else SEGMENT
+    width = max(segment_cells // HASHES, min(most_cells, 1 << (2 * n).bit_length()))
 
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -151,12 +151,12 @@ def count_min(prefixes: DataFrame, most_cells: int = 1 << 27) -> CountMin:
     def packed(held: list) -> pd.DataFrame:
         p, q = (np.concatenate([h[k] for h in held]) for k in (0, 1))
         cell, times = np.unique(np.concatenate(list(_cells(p, q, width))), return_counts=True)
-        segment, start = np.unique(cell // SEGMENT, return_index=True)
-        places, often = (np.split(v, start[1:]) for v in ((cell % SEGMENT).astype(np.uint16), times > 1))
+        segment, start = np.unique(cell // segment_cells, return_index=True)
+        places, often = (np.split(v, start[1:]) for v in ((cell % segment_cells).astype(np.uint16), times > 1))
         return pd.DataFrame({"segment": segment, "once": [x[~o].tobytes() for x, o in zip(places, often)], "more": [x[o].tobytes() for x, o in zip(places, often)]})
 
     def added(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        hits = np.zeros(SEGMENT, dtype=np.uint8)
+        hits = np.zeros(segment_cells, dtype=np.uint8)
         for once, more in zip(part["once"], part["more"]):
             at = np.frombuffer(once, dtype=np.uint16)  # each cell at most once
             hits[at] = np.minimum(hits[at] + 1, 2)
@@ -166,7 +166,7 @@ def count_min(prefixes: DataFrame, most_cells: int = 1 << 27) -> CountMin:
     merged = prefixes.select("p", "q").mapInPandas(counted, "segment long, once binary, more binary").groupBy("segment").applyInPandas(added, "segment long, bits binary")
     twice = np.zeros(HASHES * width // 8, dtype=np.uint8)
     for row in merged.toLocalIterator(prefetchPartitions=True):
-        twice[row.segment * (SEGMENT // 8) : (row.segment + 1) * (SEGMENT // 8)] = np.frombuffer(row.bits, dtype=np.uint8)
+        twice[row.segment * (segment_cells // 8) : (row.segment + 1) * (segment_cells // 8)] = np.frombuffer(row.bits, dtype=np.uint8)
     return CountMin(width, twice)
 
 

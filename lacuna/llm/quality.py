@@ -70,6 +70,8 @@ def _measure(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     ends = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
     offset = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])])
+    following = np.append(kind[1:], np.uint8(_LINE))
+    following[offset[1:] - 1] = _LINE  # nothing of the next text
     text = np.searchsorted(offset, begins, "right") - 1
     words = np.bincount(text, minlength=len(raw))
     size = np.maximum(PASSAGE_WORDS, -(-words // MOST_PASSAGES))
@@ -90,8 +92,8 @@ def _measure(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     while lo < base[-1]:
         hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + STRETCH, "right")) - 1)
         a, b = edge[lo], edge[hi]
-        code = kind[a : b - 1].astype(np.int64) * CLASSES + kind[a + 1 : b]
-        code += np.repeat(np.arange(hi - lo) * CLASSES**2, np.diff(edge[lo : hi + 1]))[: len(code)]
+        code = kind[a:b].astype(np.int64) * CLASSES + following[a:b]
+        code += np.repeat(np.arange(hi - lo) * CLASSES**2, np.diff(edge[lo : hi + 1]))
         pairs[lo:hi] = np.bincount(code, minlength=(hi - lo) * CLASSES**2).reshape(hi - lo, -1)
         u, v = np.searchsorted(passage, [lo, hi])
         power, back = _powers(max(STRETCH * 2, 1 << int(b - a).bit_length()))
@@ -100,7 +102,8 @@ def _measure(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lo = hi
     mark ^= mark >> np.uint64(31)
     mark *= _ROOT
-    after = np.concatenate([mark[1:], mark[:1]])
+    after = np.append(mark[1:], np.uint64(0))[: len(mark)]
+    after[:-1][text[1:] != text[:-1]] = 0
     pair = mark * np.uint64(3) + (after ^ (after >> np.uint64(29)))
     p64, t64 = passage.astype(np.uint64) * _ROOT, text.astype(np.uint64) * _ROOT
     same = np.zeros(len(mark))
