@@ -121,11 +121,16 @@ class Packer:
 _ADJACENT = re.compile(r"\s\s")
 
 
+#: A run of the patterns' white space that is too long for their look-ahead, whose stack grows with it.
+_LONG = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
+
 class ByteEncoder:
     """Ids of a byte-level BPE tokenizer file, as little-endian unsigned 32-bit bytes.
 
     The file's vocabulary is run by tiktoken, which gives the same ids in a fraction of the time. Where no two white-space
-    characters of any kind are adjacent, the pattern needs no look-ahead, which is faster still.
+    characters of any kind are adjacent, the pattern needs no look-ahead, which is faster still. A very long run of white space is cut out by
+    hand: up to the character before the next word it is one piece, which the merges go through without any pattern.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -140,10 +145,21 @@ class ByteEncoder:
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         made = lambda name, pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        self.any, self.single = made("any", self.PATTERN), made("single", self.PATTERN.replace(r"|\s+(?!\S)", ""))
+        self.any, self.single, self.one = made("any", self.PATTERN), made("single", self.PATTERN.replace(r"|\s+(?!\S)", "")), made("one", r"[\s\S]+")
 
     def __call__(self, text: str) -> bytes:
-        return (self.any if _ADJACENT.search(text) else self.single).encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        if not _ADJACENT.search(text):
+            return self._ids(self.single, text)
+        at, out = 0, []
+        for run in _LONG.finditer(text) if len(text) >= 4096 else ():
+            end = run.end() - (run.end() < len(text))
+            out += [self._ids(self.any, text[at : run.start()]), self._ids(self.one, text[run.start() : end])]
+            at = end
+        return b"".join([*out, self._ids(self.any, text[at:])])
+
+    @staticmethod
+    def _ids(encoding, text: str) -> bytes:
+        return encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 @lru_cache(2)

@@ -139,6 +139,22 @@ def test_packing_of_mixed_white_space():
         assert np.frombuffer(encode(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_packing_of_long_white_space(spark):
+    """Runs of white space of any length and place are encoded as the tokenizers library does, and end no query."""
+    from tokenizers import Tokenizer
+
+    reference, ours = Tokenizer.from_file(BYTES), packing.ByteEncoder(BYTES)
+    rng = np.random.default_rng(4)
+    mixed = lambda n: "".join(rng.choice([" ", "\n", "\t", "\u00a0", "\u3000", "\r\n"], n))
+    texts = [f"a{' ' * 5000}b", f"a{chr(10) * 5000}b c", f"x {mixed(9000)}end {mixed(5000)} two", f"x{mixed(20_000)}", f"{' ' * 4096}a  b", "q" + " " * 1_000_000 + "b", "\n" * 1_000_001, "\x1c" * 5000 + " " * 5000]
+    for text in texts:
+        assert np.frombuffer(ours(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+    assert len(ours("w" + " " * 20_000_000 + " x")) == 4 * 20_000_002
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(99, "short")], "doc_id long, text string")
+    got = packing.pack_documents(df, BYTES, 1024).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    assert len(got) == len(texts) + 1 and all(r.n == r.t for r in got)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(3)
     for k in range(60):
