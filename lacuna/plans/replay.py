@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.operators import constraints as Q
 from lacuna.operators import snapshots as N
 from lacuna.plans.documents import _CATALOG, catalog_captures, chart_pages, details_captures, news_captures, review_captures, search_pages, store_captures
 from lacuna.plans.registry import query
@@ -131,3 +132,39 @@ def _(spark, d):
     found = derived(spark, d)
     kept = found.where("code is null AND NOT (source = 'reviews' AND pmod(cast(regexp_extract(capture_id, '[0-9]+$', 0) AS bigint), 2) = 0)")
     return N.parity(found, kept)
+
+
+# Constraints over the ledger's tables.
+
+
+def odd_ledger(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The ledger's tables with ids out of range, unknown states, lost references, missing fields, and keys that come twice."""
+    apps = V.events(spark, d).select("app_id").distinct().selectExpr("CASE WHEN app_id % 31 = 0 THEN -app_id ELSE app_id END AS app_id")
+    intervals = V.tracking_intervals(spark, d).selectExpr("id", "app_id", "CASE WHEN id % 17 <> 2 THEN started END AS started", "CASE id % 13 WHEN 0 THEN 299 WHEN 1 THEN 604801 ELSE interval_seconds END AS interval_seconds")
+    runs = V.collection_runs(spark, d).where("run_id % 19 <> 4").select("run_id", "started")
+    done = V.run_completions(spark, d).selectExpr("run_id", "finished", "CASE WHEN run_id % 11 = 3 THEN 'odd' ELSE status END AS status")
+    tries = V.request_attempts(spark, d).selectExpr("CASE WHEN attempt_id % 23 = 5 THEN attempt_id - 1 ELSE attempt_id END AS attempt_id", "run_id", "app_id", "source", "CASE WHEN attempt_id % 29 = 7 THEN 'mail' ELSE host_group END AS host_group", "dispatched")
+    results = V.request_results(spark, d).select("attempt_id", "completed", "status", "http_status")
+    return {"app": apps, "tracking_interval": intervals, "collection_run": runs, "run_completion": done, "request_attempt": tries, "request_result": results.unionByName(results.where("attempt_id % 50 = 1"))}
+
+
+@query("a05_ledger_constraints", """, oapp AS (SELECT DISTINCT CASE WHEN app_id % 31 = 0 THEN -app_id ELSE app_id END AS app_id FROM ev),
+orun AS (SELECT run_id, started FROM collection_run WHERE run_id % 19 <> 4),
+otry AS (SELECT CASE WHEN attempt_id % 23 = 5 THEN attempt_id - 1 ELSE attempt_id END AS attempt_id, run_id, app_id, source, CASE WHEN attempt_id % 29 = 7 THEN 'mail' ELSE host_group END AS host_group, dispatched FROM request_attempt),
+ores AS (SELECT attempt_id, completed, status, http_status FROM request_result UNION ALL SELECT attempt_id, completed, status, http_status FROM request_result WHERE attempt_id % 50 = 1),
+r1 AS (SELECT 'app' AS tbl, app_id AS id, CASE WHEN app_id < 1 THEN 'app_id_range' ELSE '' END AS why FROM oapp),
+r2 AS (SELECT 'tracking_interval', id, concat_ws(',', CASE WHEN id % 17 = 2 THEN 'null_started' END, CASE WHEN id % 13 < 2 THEN 'interval_range' END, CASE WHEN app_id % 31 = 0 THEN 'unreferenced_app_id' END) FROM tracking_interval),
+r3 AS (SELECT 'collection_run', run_id, '' FROM orun),
+r4 AS (SELECT 'run_completion', run_id, concat_ws(',', CASE WHEN run_id % 11 = 3 THEN 'unknown_status' END, CASE WHEN run_id % 19 = 4 THEN 'unreferenced_run_id' END) FROM run_completion),
+t5 AS (SELECT *, concat_ws(',', CASE WHEN host_group = 'mail' THEN 'unknown_host_group' END, CASE WHEN run_id % 19 = 4 THEN 'unreferenced_run_id' END, CASE WHEN app_id % 31 = 0 THEN 'unreferenced_app_id' END) AS why0 FROM otry),
+t6 AS (SELECT *, CASE WHEN why0 = '' AND row_number() OVER (PARTITION BY attempt_id, why0 = '' ORDER BY dispatched) > 1 THEN 'repeated_attempt_id' ELSE why0 END AS why FROM t5),
+t7 AS (SELECT o.*, CASE WHEN g.attempt_id IS NULL THEN 'unreferenced_attempt_id' ELSE '' END AS why0 FROM ores o LEFT JOIN (SELECT DISTINCT attempt_id FROM t6 WHERE why = '') g USING (attempt_id)),
+t8 AS (SELECT *, CASE WHEN why0 = '' AND row_number() OVER (PARTITION BY attempt_id, why0 = '' ORDER BY completed) > 1 THEN 'repeated_attempt_id' ELSE why0 END AS why FROM t7)
+SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4 UNION ALL SELECT 'request_attempt', attempt_id, why FROM t6 UNION ALL SELECT 'request_result', attempt_id, why FROM t8""")
+def _(spark, d):
+    """Good rows (no reason) and rejected ones of all tables."""
+    found = []
+    for name, (good, rejected) in Q.enforce_schema(odd_ledger(spark, d), shared_folder(spark, "judged")).items():
+        key = F.col(Q.LEDGER_RULES[name].unique[0][0]).alias("id")
+        found += [good.select(F.lit(name).alias("tbl"), key, F.lit("").alias("why")), rejected.select(F.lit(name).alias("tbl"), key, F.array_join("reasons", ",").alias("why"))]
+    return reduce(DataFrame.unionByName, found)
