@@ -398,6 +398,21 @@ def _(spark, d):
     return got.selectExpr("app_id", "unix_micros(first) AS first", "unix_micros(last_end) AS last_end", "n")
 
 
+@query(
+    "k02_stream_paced_sessions",
+    f""", s AS (SELECT app_id, t, capture_id AS id, 1 AS kind, NULL::BIGINT AS iv FROM player_sample UNION ALL SELECT app_id, started, id, 0, interval_seconds FROM tracking_interval),
+p AS (SELECT *, last_value(iv IGNORE NULLS) OVER (PARTITION BY app_id ORDER BY t, kind, id ROWS UNBOUNDED PRECEDING) AS interval_seconds FROM s),
+e AS (SELECT app_id, t, id, t + interval_seconds * 2000000 AS ends FROM p WHERE kind = 1 AND interval_seconds IS NOT NULL),
+f AS (SELECT *, CASE WHEN t < max(ends) OVER (PARTITION BY app_id ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM e),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY app_id ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS run FROM f)
+SELECT app_id, min(t) AS first, max(ends) AS last_end, count(*) AS n FROM g GROUP BY app_id, run HAVING max(ends) <= (SELECT max(t) - {HOUR} FROM player_sample)""",
+)
+def _(spark, d):
+    samples = event_stream(spark, d).where("event_type in ('view', 'click', 'purchase')").withColumn("t", F.unix_micros("at"))
+    got = K.drained(K.stream_paced_sessions(samples, V.tracking_intervals(spark, d), "at", "1 hour"), "paced")
+    return got.selectExpr("app_id", "unix_micros(first) AS first", "unix_micros(last_end) AS last_end", "n")
+
+
 def sample_stream(spark: SparkSession, d: str) -> DataFrame:
     """Samples and policies in one stream, as stream_capped_spans takes them."""
     kind = "CASE event_type WHEN 'signup' THEN 0 ELSE 1 END AS kind"
@@ -438,6 +453,17 @@ def _(spark, d):
     return K.touched_rollup(samples.where("capture_id % 50 <> 0"), samples.where("capture_id % 50 = 0"), DAY)
 
 
+@query("k06_late_rollup", f""" SELECT app_id, t // {DAY} AS day, count(*) AS n, max(player_count) AS highest,
+  count(*) FILTER (WHERE capture_id % 50 = 0 AND t < (SELECT max(t) FROM player_sample WHERE capture_id % 50 <> 0) - {6 * HOUR}) AS n_late FROM player_sample GROUP BY 1, 2""")
+def _(spark, d):
+    """Two runs of one stream; the second brings rows of all days."""
+    samples, path = V.player_samples(spark, d), K.shared_folder(spark, "late-rollup")
+    for k, part in enumerate(("capture_id % 50 <> 0", "capture_id % 50 = 0")):
+        samples.where(part).write.parquet(f"{path}/input/{k}")
+        rollup = K.stream_rollup(spark.readStream.schema(samples.schema).parquet(f"{path}/input/*"), path, 6 * HOUR, DAY, buckets=1)
+    return rollup.select("app_id", F.col("day").cast("bigint").alias("day"), "n", "highest", "n_late")
+
+
 @query("h01_rebuild_projections", _PARSED + ", done AS (SELECT capture_id FROM player_sample WHERE capture_id % 13 <> 0) SELECT capture_id, app_id, t, player_count FROM parsed WHERE code IS NULL AND capture_id NOT IN (SELECT capture_id FROM done)")
 def _(spark, d):
     routed = D.route_by_parser(V.raw_responses(spark, d).selectExpr("*", "'players' AS source", "'1' AS source_version"), [("players", "1", "player_counts")])
