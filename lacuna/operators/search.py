@@ -1,4 +1,4 @@
-"""Search and pages over the catalog."""
+"""Search over the catalog; pages are in ranks."""
 
 from __future__ import annotations
 
@@ -11,14 +11,6 @@ def search_catalog(names: DataFrame, text: str) -> DataFrame:
     return names.where(F.contains(F.lower("name"), F.lit(text.lower())) | (F.col("app_id").cast("string") == text))
 
 
-def page(df: DataFrame, number: int, size: int) -> DataFrame:
-    """A page in order of lower-cased name, then id, and total: the rows of all pages. Numbers from 1, at most 100 rows."""
-    if not (1 <= number < 2**32 and 1 <= size <= 100):
-        raise ValueError("page from 1, size from 1 to 100")
-    rows = df.orderBy(F.lower("name"), "app_id").offset((number - 1) * size).limit(size)
-    return rows.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))))  # one row
-
-
 def cohort_listing(summary: DataFrame, name_part: str, id_part: str, most: int) -> DataFrame:
     """app_id, name, availability, player_count, place: fresh first, larger counts first, then by id."""
     found = summary.where(F.contains(F.lower("name"), F.lit(name_part.lower())) | F.contains(F.col("app_id").cast("string"), F.lit(id_part)))

@@ -89,17 +89,6 @@ def availability_counts(summary: DataFrame) -> DataFrame:
     )
 
 
-def local_rank(summary: DataFrame) -> DataFrame:
-    """app_id, player_count, rank, cohort of fresh apps, and stale: how many were left out as such; larger counts first, ties by id. Ranks are counted per value first, so one task orders values, not rows."""
-    fresh = summary.where("availability = 'fresh'").select("app_id", "player_count")
-    per_value = fresh.groupBy("player_count").agg(F.count(F.lit(1)).alias("same"))
-    running = Window.orderBy(F.desc("player_count")).rowsBetween(Window.unboundedPreceding, -1)
-    per_value = per_value.withColumn("above", F.coalesce(F.sum("same").over(running), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("player_count").orderBy("app_id"))
-    total = summary.agg(F.count_if(F.col("availability") == "fresh").alias("cohort"), F.count_if(F.col("availability") == "stale").alias("stale"))
-    return fresh.join(per_value, "player_count").withColumn("rank", (F.col("above") + own).cast("bigint")).crossJoin(F.broadcast(total)).select("app_id", "player_count", "rank", "cohort", "stale")
-
-
 def chart_view(items: DataFrame, artwork: DataFrame, as_of: int) -> DataFrame:
     """source, app_id, rank, players, image, age_seconds of each source's newest chart; image is null without artwork (source, month, app_id, image), an age is never negative."""
     newest = items.groupBy("source").agg(F.max("month").alias("month"))

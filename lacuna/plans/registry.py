@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from lacuna.operators import history as H
 from lacuna.operators import ledger as L
 from lacuna.operators import parse as P
+from lacuna.operators import ranks as O
 from lacuna.operators import search as S
 from lacuna.operators import state as C
 from lacuna.sources import views as V
+from lacuna.streaming.ledger import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -335,7 +337,7 @@ def _(spark, d):
 
 @query("i02_local_rank", _SUMMARY + " SELECT app_id, player_count, row_number() OVER (ORDER BY player_count DESC, app_id) AS rank, count(*) OVER () AS cohort, (SELECT count(*) FROM summary WHERE availability = 'stale') AS stale FROM summary WHERE availability = 'fresh'")
 def _(spark, d):
-    return C.local_rank(summary(spark, d))
+    return O.local_rank(summary(spark, d), shared_folder(spark, "ranks"))
 
 
 @query("f03_cohort_listing", _SUMMARY + """ SELECT app_id, name, availability, player_count, row_number() OVER (ORDER BY CASE WHEN availability = 'fresh' THEN 0 ELSE 1 END, coalesce(player_count, 0) DESC, app_id) AS place
@@ -391,7 +393,7 @@ def _(spark, d):
 
 @query("f02_page", _LN + " SELECT app_id, name, count(*) OVER () AS total FROM ln ORDER BY lower(name), app_id LIMIT 25 OFFSET 50")
 def _(spark, d):
-    return S.page(C.latest_names(V.name_history(spark, d)).select("app_id", "name"), 3, 25)
+    return O.page(C.latest_names(V.name_history(spark, d)).select("app_id", "name"), shared_folder(spark, "names"), 3, 25)
 
 
 @query("f05_union", " SELECT app_id FROM tracking_interval UNION SELECT app_id FROM source_x".replace("source_x", "(SELECT app_id FROM chart_item)"))
@@ -472,6 +474,21 @@ def _(spark, d):
     return blocks.unionByName(L.manifest_digest(blocks).select(F.lit(-1).cast("bigint").alias("block"), "n", "digest"))
 
 
+_LINES = f""", lined AS (SELECT capture_id, checksum, capture_id * {DAY // 50} // {DAY} AS day, row_number() OVER (PARTITION BY capture_id * {DAY // 50} // {DAY} ORDER BY capture_id) - 1 AS place FROM capture),
+l0 AS (SELECT day, place // 16 AS node, count(*) AS n, sha256(string_agg(capture_id || ':' || checksum, chr(10) ORDER BY place)) AS digest FROM lined GROUP BY ALL),
+l1 AS (SELECT day, node // 16 AS node, sum(n)::BIGINT AS n, sha256(string_agg(digest, chr(10) ORDER BY node)) AS digest FROM l0 GROUP BY day, node // 16),
+days AS (SELECT row_number() OVER (ORDER BY day) - 1 AS place, day, n, digest FROM l1),
+l2 AS (SELECT NULL::BIGINT AS day, place // 16 AS node, sum(n)::BIGINT AS n, sha256(string_agg(day || ':' || digest, chr(10) ORDER BY place)) AS digest FROM days GROUP BY place // 16),
+l3 AS (SELECT NULL::BIGINT AS day, node // 16 AS node, sum(n)::BIGINT AS n, sha256(string_agg(digest, chr(10) ORDER BY node)) AS digest FROM l2 GROUP BY node // 16)"""
+
+
+@query("h04_digest_tree", _LINES + " SELECT 0::BIGINT AS level, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 3, * FROM l3 WHERE (SELECT count(*) FROM l2) > 1")
+def _(spark, d):
+    """Fifty captures a day, sixteen children a node: up to 256 days make four levels."""
+    received = V.captures(spark, d).select("capture_id", "checksum", (F.col("capture_id") * (DAY // 50)).alias("received"))
+    return O.digest_tree(received, shared_folder(spark, "tree"), DAY, 16).withColumn("level", F.col("level").cast("bigint"))
+
+
 _PARSED = """, j AS (SELECT capture_id, app_id, t, payload, json_valid(payload) AS ok, CASE WHEN json_valid(payload) THEN payload END AS p FROM raw_response),
 k AS (SELECT *, json_extract(p, '$.response.player_count') AS c, json_extract_string(p, '$.response.result') AS r FROM j),
 parsed AS (SELECT capture_id, app_id, t, CASE WHEN NOT ok THEN 'invalid_json' WHEN json_type(p) <> 'OBJECT' THEN 'invalid_schema' WHEN r <> '1' THEN 'provider_result' WHEN json_type(c) NOT IN ('UBIGINT', 'BIGINT') OR CAST(c AS VARCHAR)[1] = '-' THEN 'invalid_player_count' END AS code,
