@@ -37,6 +37,8 @@ _SHIFT = np.uint64(42)
 PART = 1 << 22
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 4
+#: Pairs of one set that share a copy of its segments.
+DEALT = 64
 #: Turns in which components are joined through their lists' central sets, before the rest is paired in full.
 STAR_TURNS = 2
 #: 64-bit words of a set's signature: each bit is the parity of how many shingles fall on it.
@@ -152,7 +154,11 @@ def segments(texts: DataFrame, wanted: DataFrame, classes: np.ndarray) -> DataFr
 
 
 def overlaps(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """(a, b, na, nb, common): partial overlaps of each pair, counted fragment by fragment and summed."""
+    """(a, b, na, nb, common): partial overlaps of each pair, counted fragment by fragment and summed.
+
+    A set that is held against many others, as the head of a star is, gets a copy of its segments for each DEALT of them, and its pairs are
+    dealt over the copies: no task has all pairs of one set.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,9 +168,14 @@ def overlaps(pairs: DataFrame, held: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())], names=["a", "b", "na", "nb", "shared"])
 
+    busy = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("copies")).where("copies > 1")
+    busy = small(stored(busy, "busy-sets"))
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = pairs.select("a", "b", "na", "nb").join(busy, "b", "left").withColumn("copy", F.pmod(F.xxhash64("a"), copies).cast("int")).drop("copies")
     x = held.select(F.col("v").alias("a"), "fragment", F.col("segment").alias("sa"))
-    y = held.select(F.col("v").alias("b"), "fragment", F.col("segment").alias("sb"))
-    both = pairs.select("a", "b", "na", "nb").join(x, "a").join(y, ["b", "fragment"]).select("a", "b", "na", "nb", "sa", "sb")
+    y = held.select(F.col("v").alias("b"), "fragment", F.col("segment").alias("sb")).join(busy, "b", "left")
+    y = y.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    both = dealt.join(x, "a").join(y, ["b", "fragment", "copy"]).select("a", "b", "na", "nb", "sa", "sb")
     return both.mapInArrow(count, "a long, b long, na long, nb long, shared long").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("common"))
 
 
