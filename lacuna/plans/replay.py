@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.operators import constraints as Q
+from lacuna.operators import documents as D
+from lacuna.operators import history as H
+from lacuna.operators import ledger as L
+from lacuna.operators import profiles as R
+from lacuna.operators import readmodel as M
 from lacuna.operators import snapshots as N
+from lacuna.operators import state as C
 from lacuna.plans.documents import _CATALOG, catalog_captures, chart_pages, details_captures, news_captures, review_captures, search_pages, store_captures
-from lacuna.plans.registry import query
+from lacuna.plans.registry import _APPS, _COVERAGE, _OUTCOME, _SUMMARY, apps, history_inputs, query, summary
 from lacuna.sources import landing, views as V
 from lacuna.streaming.ledger import shared_folder
 
@@ -168,3 +174,39 @@ def _(spark, d):
         key = F.col(Q.LEDGER_RULES[name].unique[0][0]).alias("id")
         found += [good.select(F.lit(name).alias("tbl"), key, F.lit("").alias("why")), rejected.select(F.lit(name).alias("tbl"), key, F.array_join("reasons", ",").alias("why"))]
     return reduce(DataFrame.unionByName, found)
+
+
+# The read model.
+
+_STATUS = """, tried AS (SELECT source, dispatched, coalesce(status, 'uncertain') AS status FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY dispatched DESC, attempt_id DESC) AS rn FROM request_attempt) LEFT JOIN request_result USING (attempt_id) WHERE rn = 1),
+ended AS (SELECT source, finished, ok FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY finished DESC, run_id DESC) AS rn FROM outcome JOIN (SELECT run_id, finished FROM run_completion) USING (run_id)) WHERE rn = 1),
+status AS (SELECT source, CASE WHEN NOT ok AND finished >= dispatched THEN 'failed' ELSE status END AS status FROM tried LEFT JOIN ended USING (source)),
+newest AS (SELECT * FROM chart_item WHERE month = (SELECT max(month) FROM chart_item c WHERE c.source = chart_item.source))"""
+
+
+@query("a04_read_model_documents", _COVERAGE + _SUMMARY[len(_APPS):] + _OUTCOME + _STATUS + """ SELECT 'app' AS kind, app_id::VARCHAR AS key, name || ':' || availability AS name, samples AS n, player_count AS total, coalesce(interval_seconds, -1)::BIGINT AS third FROM summary
+UNION ALL SELECT 'history', app_id::VARCHAR, 'capped-step-v1', CASE WHEN points > 18 THEN -1 ELSE points END, covered, CASE WHEN points > 18 THEN -1 ELSE (SELECT count(*) FROM gap WHERE gap.app_id = coverage.app_id) END FROM coverage
+UNION ALL SELECT 'dashboard', 'dashboard', (SELECT string_agg(source || '=' || status, ',' ORDER BY source) FROM status), (SELECT count(DISTINCT app_id) FROM (SELECT app_id FROM name_history UNION SELECT app_id FROM tracking_interval)),
+  (SELECT count(DISTINCT app_id) FROM tracking_interval), (SELECT sum(rank * players)::BIGINT FROM newest)""")
+def _(spark, d):
+    """Two versions are written, the second whole, a third without its commits; what is read is the second."""
+    history = H.history(*history_inputs(spark, d), apps(spark, d), V.START, V.END, max_points=18, reach=V.REACH)
+    attempts, results = V.request_attempts(spark, d), V.request_results(spark, d)
+    runs = L.final_outcome(attempts, results).join(V.run_completions(spark, d).select("run_id", "finished"), "run_id")
+    charts = C.chart_view(V.chart_items(spark, d), D.chart_artwork(chart_pages(spark, d)), V.AS_OF)
+    known = V.name_history(spark, d).select("app_id").union(V.tracking_intervals(spark, d).select("app_id"))
+    board = M.dashboard_document(known, V.tracking_intervals(spark, d), R.source_status(attempts, results, runs), charts)
+    own, path = M.app_documents(summary(spark, d)), shared_folder(spark, "read-model")
+    M.write_read_model(own, path, 1)
+    M.write_read_model(own.unionByName(M.history_documents(history, V.START, V.END)).unionByName(board), path, 2)
+    own.limit(1).write.partitionBy("kind").json(f"{path}/documents/version=3")
+    shape = (
+        "app_id bigint, name string, availability string, sample_count bigint, latest struct<player_count:bigint>, tracking struct<interval_seconds:bigint>, estimator_version string, points array<struct<observed_at_micros:bigint>>, "
+        "coverage struct<covered:bigint>, gaps array<struct<gap_from:bigint>>, catalog_apps bigint, tracked_apps bigint, sources array<struct<source:string,status:string>>, charts array<struct<items:array<struct<rank:bigint,players:bigint>>>>"
+    )
+    got = M.read_read_model(spark, path).withColumn("j", F.from_json("document", shape))
+    return got.selectExpr(
+        "kind", "key", "CASE kind WHEN 'app' THEN concat(j.name, ':', j.availability) WHEN 'history' THEN j.estimator_version ELSE array_join(transform(j.sources, s -> concat(s.source, '=', s.status)), ',') END AS name",
+        "CASE kind WHEN 'app' THEN j.sample_count WHEN 'history' THEN coalesce(size(j.points), -1) ELSE j.catalog_apps END AS n", "CASE kind WHEN 'app' THEN j.latest.player_count WHEN 'history' THEN j.coverage.covered ELSE j.tracked_apps END AS total",
+        "CASE kind WHEN 'app' THEN coalesce(j.tracking.interval_seconds, -1) WHEN 'history' THEN coalesce(size(j.gaps), -1) ELSE aggregate(flatten(j.charts.items), 0L, (s, i) -> s + i.rank * i.players) END AS third",
+    )
