@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def append_if_absent(target: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
-    """The rows that an insert which ignores known keys would add: one per new key."""
-    return rows.dropDuplicates(list(key)).join(target.select(*key), list(key), "left_anti")
+    """The rows that an insert which ignores known keys would add: one per new key, of several the one that is smallest in its other columns, in their order."""
+    others = [c for c in rows.columns if c not in key]
+    once = rows.groupBy(*key).agg(F.min(F.struct(*others)).alias("_row")).select(*(c if c in key else F.col(f"_row.{c}").alias(c) for c in rows.columns)) if others else rows.distinct()
+    return once.join(target.select(*key), list(key), "left_anti")
 
 
 def enforce_constraints(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
