@@ -82,3 +82,34 @@ def achievement_join(definitions: DataFrame, percentages: DataFrame) -> DataFram
     both = definitions.withColumn("defined", F.lit(True)).join(percentages.withColumn("measured", F.lit(True)), "key", "full")
     state = F.when(F.col("measured").isNull(), "unsupported").when(F.col("defined").isNull(), "unknown_key").when(F.coalesce(F.col("percent").between(0, 100), F.lit(False)), "ok").otherwise("invalid")
     return both.select("key", "name", F.when(state == "ok", F.col("percent")).alias("percent"), state.alias("state"))
+
+
+#: The sources whose snapshots are of one game.
+GAME_SOURCES = ("details", "reviews", "news", "current")
+
+
+def game_profiles(names: DataFrame, snapshots: DataFrame, samples: DataFrame, charts: DataFrame, prices: DataFrame, updates: int = 20) -> DataFrame:
+    """One row for each app of names: name, charts, metadata, reviews, news and current (VARIANT values of the newest snapshots), when each was seen, newest count, prices, updates.
+
+    names: app_id, name, t, source; snapshots: capture_id, source, app_id, t, value (the app is the value's own where app_id is null); samples:
+    app_id, t, capture_id, player_count; charts as discovered_apps takes them; prices: app_id, final. current is null where the app's own sample is
+    newer; player_count is that of the newer of both. All of an app's sources come from one aggregation with partial sums; no array but the
+    newest chart places and `updates` update times grows with the data.
+    """
+    own = F.coalesce("app_id", F.try_variant_get("value", "$.app_id", "bigint"))
+    seen = snapshots.where(F.col("source").isin(*GAME_SOURCES) & F.col("value").isNotNull()).withColumn("app_id", own)
+    of = lambda s: F.col("source") == s
+    newest = [F.max_by(F.when(of(s), F.struct("t", "value")), F.when(of(s), F.struct("t", "capture_id"))).alias(s) for s in GAME_SOURCES]
+    latest = seen.groupBy("app_id").agg(*newest)
+    sampled = samples.groupBy("app_id").agg(F.max_by(F.struct("t", "player_count"), F.struct("t", "capture_id")).alias("sample"), F.count(F.lit(1)).alias("samples"), F.max("player_count").alias("highest"))
+    priced = prices.groupBy("app_id").agg(F.min("final").alias("lowest_price"), F.count("final").alias("prices"))
+    recent = recent_updates(seen.select("app_id", "source", "t", "capture_id"), list(GAME_SOURCES), updates).groupBy("app_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("t", "source")))).alias("updates"))
+    found = discovered_apps(names, charts)
+    for part in (latest, sampled, priced, recent):
+        found = found.join(part, "app_id", "left")
+    older = F.coalesce(F.col("sample.t") > F.col("current.t"), F.lit(False))
+    found = found.withColumn("current", F.when(~older, F.col("current")))
+    count = F.coalesce(F.try_variant_get("current.value", "$.player_count", "bigint"), F.col("sample.player_count"))
+    values = [c for s, name in zip(GAME_SOURCES, ("metadata", "reviews", "news", "current")) for c in (F.col(f"{s}.value").alias(name), F.col(f"{s}.t").alias(f"{name}_at"))]
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return found.select("app_id", "name", "charts", *values, count.alias("player_count"), zero("samples"), "highest", "lowest_price", zero("prices"), F.coalesce("updates", F.array().cast("array<struct<t:bigint,source:string>>")).alias("updates"))

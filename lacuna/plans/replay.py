@@ -210,3 +210,26 @@ def _(spark, d):
         "CASE kind WHEN 'app' THEN j.sample_count WHEN 'history' THEN coalesce(size(j.points), -1) ELSE j.catalog_apps END AS n", "CASE kind WHEN 'app' THEN j.latest.player_count WHEN 'history' THEN j.coverage.covered ELSE j.tracked_apps END AS total",
         "CASE kind WHEN 'app' THEN coalesce(j.tracking.interval_seconds, -1) WHEN 'history' THEN coalesce(size(j.gaps), -1) ELSE aggregate(flatten(j.charts.items), 0L, (s, i) -> s + i.rank * i.players) END AS third",
     )
+
+
+# Whole profiles.
+
+
+@query("c15_whole_profile", _EXPECTED + """, ln AS (SELECT app_id, name FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY t DESC, source, name) AS rn FROM name_history) WHERE rn = 1),
+cur AS (SELECT c.app_id, max(c.t) AS at, arg_max(c.player_count, c.t) AS n, count(*) AS seen FROM counted c JOIN snap s ON s.source = 'current' AND s.k = c.k WHERE s.code IS NULL GROUP BY c.app_id),
+own AS (SELECT app_id, max(t) AS at, arg_max(player_count, t) AS n, count(*) AS samples FROM player_sample GROUP BY app_id),
+rev AS (SELECT r.k + 1 AS app_id, r.p, r.p + r.n AS total FROM reviewed r JOIN snap s ON s.source = 'reviews' AND s.k = r.k WHERE s.code IS NULL),
+det AS (SELECT p_partkey + 1 AS app_id, p_name || ':' || p_type AS metadata FROM part WHERE (p_partkey + 1) % 11 <> 0 AND (p_partkey + 1) % 13 <> 0 AND (p_partkey + 1) % 43 <> 11 AND (p_partkey + 1) % 41 <> 9),
+art AS (SELECT doc_id + 1 AS app_id, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN doc_id::VARCHAR END AS gid, 1 AS has FROM documents WHERE doc_id % 11 <> 3 AND doc_id % 43 <> 11 AND doc_id % 41 <> 9),
+pr AS (SELECT app_id, min(final) AS lowest_price, count(final) AS prices FROM price GROUP BY app_id)
+SELECT app_id, ln.name, metadata, rev.p AS positive, rev.total, art.gid AS news, CASE WHEN cur.at IS NULL OR own.at > cur.at THEN NULL ELSE cur.n END AS current, CASE WHEN cur.at IS NULL OR own.at > cur.at THEN own.n ELSE cur.n END AS player_count,
+  coalesce(samples, 0) AS samples, lowest_price, coalesce(prices, 0) AS prices,
+  least(20, coalesce(cur.seen, 0) + (metadata IS NOT NULL)::INT + (rev.p IS NOT NULL)::INT + coalesce(art.has, 0))::BIGINT AS updates
+FROM ln LEFT JOIN det USING (app_id) LEFT JOIN rev USING (app_id) LEFT JOIN art USING (app_id) LEFT JOIN cur USING (app_id) LEFT JOIN own USING (app_id) LEFT JOIN pr USING (app_id)""")
+def _(spark, d):
+    got = R.game_profiles(C.latest_names(V.name_history(spark, d)), derived(spark, d).where("code is null"), V.player_samples(spark, d), V.chart_items(spark, d), V.prices(spark, d))
+    read = lambda c, path, kind: f"try_variant_get({c}, '{path}', '{kind}')"
+    return got.selectExpr(
+        "app_id", "name", f"concat({read('metadata', '$.name', 'string')}, ':', {read('metadata', '$.type', 'string')}) AS metadata", f"{read('reviews', '$.total_positive', 'bigint')} AS positive", f"{read('reviews', '$.total_reviews', 'bigint')} AS total",
+        f"{read('news', '$.articles[0].gid', 'string')} AS news", f"{read('current', '$.player_count', 'bigint')} AS current", "player_count", "samples", "lowest_price", "prices", "cast(size(updates) AS bigint) AS updates",
+    )
