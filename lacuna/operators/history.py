@@ -237,16 +237,65 @@ def policy_periods(policies: DataFrame, start: int, end: int) -> DataFrame:
     return p.where("e > s AND interval_seconds > 0").select("app_id", F.col("interval_seconds").cast("bigint").alias("interval_seconds"), "s", "e")
 
 
-def missed_occurrences(samples: DataFrame, policies: DataFrame, start: int, end: int, block: int = BLOCK) -> DataFrame:
-    """app_id, slot: slots of the policies' intervals, each counted from its policy's beginning in the window, without a sample before the next slot or policy.
+def _met_slots(samples: DataFrame, periods: DataFrame, start: int, end: int, block: int) -> DataFrame:
+    """app_id, slot: the slots of the periods (app_id, s, e, step) in which a sample lies, each once. Samples meet their period by app and time block, then a range within."""
+    there = periods.withColumn("block", F.explode(F.sequence(F.expr(f"s div {block}"), F.expr(f"(e - 1) div {block}"))))
+    met = history_slice(samples, start, end).select("app_id", "t").withColumn("block", F.expr(f"t div {block}")).join(there, ["app_id", "block"]).where("s <= t AND t < e")
+    return met.select("app_id", F.expr("s + (t - s) div step * step").alias("slot")).distinct()
 
-    Samples meet their policy by app and time block, then a range within.
-    """
+
+def missed_occurrences(samples: DataFrame, policies: DataFrame, start: int, end: int, block: int = BLOCK) -> DataFrame:
+    """app_id, slot: slots of the policies' intervals, each counted from its policy's beginning in the window, without a sample before the next slot or policy."""
     periods = policy_periods(policies, start, end).withColumn("step", F.col("interval_seconds") * MICROS)
     slots = periods.select("app_id", F.explode(F.sequence(F.col("s"), F.col("e") - 1, F.col("step"))).alias("slot"))
-    there = periods.withColumn("block", F.explode(F.sequence(F.expr(f"s div {block}"), F.expr(f"(e - 1) div {block}"))))
-    met = history_slice(samples, start, end).select("app_id", "t").withColumn("block", F.expr(f"t div {block}")).join(there, ["app_id", "block"]).where("s <= t AND t < e")
-    return slots.join(met.select("app_id", F.expr("s + (t - s) div step * step").alias("slot")).distinct(), ["app_id", "slot"], "left_anti")
+    return slots.join(_met_slots(samples, periods, start, end, block), ["app_id", "slot"], "left_anti")
+
+
+def occurrences(samples: DataFrame, periods: DataFrame, start: int, end: int, block: int = BLOCK) -> DataFrame:
+    """app_id, expected, observed: the slots of the periods (app_id, interval_seconds, s, e), and those in which a sample lies.
+
+    Periods of an app don't overlap. Slots are counted by division and never made; expired ones, and those without any attempt, are expected too.
+    """
+    held = periods.where("e > s AND interval_seconds > 0").select("app_id", "s", "e", (F.col("interval_seconds").cast("bigint") * MICROS).alias("step"))
+    expected = held.groupBy("app_id").agg(F.sum(F.expr("(e - s + step - 1) div step")).alias("expected"))
+    observed = _met_slots(samples, held, start, end, block).groupBy("app_id").agg(F.count(F.lit(1)).alias("observed"))
+    return expected.join(observed, "app_id", "left").select("app_id", "expected", F.coalesce("observed", F.lit(0).cast("bigint")).alias("observed"))
+
+
+def compare(samples: DataFrame, policies: DataFrame, apps: DataFrame, chosen: DataFrame, start: int, end: int, most: int = 10, multiplier: int = 2, reach: int | None = None) -> DataFrame:
+    """One row per chosen app (app_id) over one window: availability, tracked_from, points, covered, ratio, longest_gap, average, peak.
+
+    availability: unsupported (not among apps), untracked (no policy begins before the end), no_data, partial, available; no chosen app is left
+    out. More than `most` different apps are refused, none is cut off; so the chosen side is small and narrows every scan.
+    """
+    own = _chosen(chosen, most)
+    samples, policies = (x.join(F.broadcast(own), "app_id", "left_semi") for x in (samples, policies))
+    known = apps.join(F.broadcast(own), "app_id", "left_semi").select("app_id").distinct().withColumn("known", F.lit(True))
+    began = policies.where(F.col("started") < end).groupBy("app_id").agg(F.min("started").alias("tracked_from"))
+    figures = coverage(samples, policies, own, start, end, multiplier, reach).join(began, "app_id", "left").join(known, "app_id", "left")
+    state = F.when(F.col("known").isNull(), "unsupported").when(F.col("tracked_from").isNull(), "untracked").when(F.col("covered") == 0, "no_data")
+    state = state.when(F.col("covered") < F.col("requested"), "partial").otherwise("available")
+    return figures.select("app_id", state.alias("availability"), "tracked_from", "points", "covered", "ratio", "longest_gap", "average", "peak")
+
+
+def compared_series(samples: DataFrame, policies: DataFrame, chosen: DataFrame, start: int, end: int, width: int, most: int = 10, multiplier: int = 2, reach: int | None = None) -> DataFrame:
+    """app_id, bucket, covered, average: every chosen app on the same buckets of the window; average is null where nothing is covered, and nothing is interpolated."""
+    own = _chosen(chosen, most)
+    grid = own.select("app_id", F.explode(F.sequence(*(F.lit(x // width).cast("bigint") for x in (start, end - 1)))).alias("k")).select("app_id", (F.col("k") * width).alias("bucket"))
+    samples, policies = (x.join(F.broadcast(own), "app_id", "left_semi") for x in (samples, policies))
+    spans = cut_at(capped_spans(samples, policies, start, end, multiplier, reach), width)
+    held = F.col("b") - F.col("a")
+    sums = spans.groupBy("app_id", "bucket").agg(F.sum(held).alias("covered"), F.sum(F.col("player_count").cast("decimal(20,0)") * held.cast("decimal(18,0)")).cast("decimal(38,0)").alias("integral"))
+    average = F.try_divide(F.col("integral").cast("double"), F.col("covered").cast("double"))
+    return grid.join(sums, ["app_id", "bucket"], "left").select("app_id", "bucket", F.coalesce("covered", F.lit(0).cast("bigint")).alias("covered"), average.alias("average"))
+
+
+def _chosen(chosen: DataFrame, most: int) -> DataFrame:
+    """The different app_ids of chosen; more than `most` are refused."""
+    own = chosen.select("app_id").where("app_id IS NOT NULL").distinct()
+    if own.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} apps to compare")
+    return own
 
 
 def downsample(samples: DataFrame, holes: DataFrame, start: int, end: int, buckets: int) -> DataFrame:

@@ -77,6 +77,18 @@ def freshness_coverage(spans: DataFrame, enabled: DataFrame, block: int) -> Data
     return tracked.join(fresh, "app_id", "left").select("app_id", F.coalesce("fresh", F.lit(0).cast("bigint")).alias("fresh"), "tracked")
 
 
+def freshness_report(fresh: DataFrame, occurred: DataFrame, target_percent: int = 95) -> DataFrame:
+    """One row: apps, tracked, fresh, stale (microseconds), ratio, passes, expected and observed occurrences, over freshness_coverage() and history.occurrences().
+
+    Apps without any sample are in every denominator. Without tracked time ratio and passes are null.
+    """
+    both = fresh.join(occurred, "app_id", "full").agg(
+        F.count("tracked").alias("apps"), *(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("tracked", "fresh", "expected", "observed"))
+    )
+    passes = F.when(F.col("tracked") > 0, F.col("fresh").cast("decimal(38,0)") * 100 >= F.col("tracked").cast("decimal(38,0)") * target_percent)
+    return both.select("apps", "tracked", "fresh", (F.col("tracked") - F.col("fresh")).alias("stale"), F.try_divide(F.col("fresh").cast("double"), F.col("tracked").cast("double")).alias("ratio"), passes.alias("passes"), "expected", "observed")
+
+
 def achievement_join(definitions: DataFrame, percentages: DataFrame) -> DataFrame:
     """key, name, percent, state from definitions (key, name) and percentages (key, percent): unsupported where no percentage is known, unknown_key without a definition, invalid outside 0 to 100."""
     both = definitions.withColumn("defined", F.lit(True)).join(percentages.withColumn("measured", F.lit(True)), "key", "full")

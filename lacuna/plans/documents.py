@@ -14,7 +14,7 @@ from lacuna.operators import ledger as L
 from lacuna.operators import parse as P
 from lacuna.operators import profiles as R
 from lacuna.operators import state as C
-from lacuna.plans.registry import _APPS, _CADENCE, _OUTCOME, _PARSED, _spans, apps, history_inputs, query
+from lacuna.plans.registry import _APPS, _CADENCE, _COVERAGE, _OUTCOME, _PARSED, _spans, apps, history_inputs, query
 from lacuna.sources import views as V
 from lacuna.streaming import ledger as K
 
@@ -336,16 +336,37 @@ def _(spark, d):
     return R.review_deltas(V.review_summaries(spark, d), ["lang"], "source")
 
 
-@query(
-    "i08_freshness_coverage",
-    _APPS + _CADENCE + _spans(START, END) + f""", enabled AS (SELECT app_id, greatest(started, {START}) AS s, least(coalesce(lead(started) OVER (PARTITION BY app_id ORDER BY started, id), {END}), {END}) AS e, id FROM tracking_interval),
-used AS (SELECT app_id, s, e FROM enabled WHERE id % 2 = 1 AND e > s), f AS (SELECT app_id, sum(least(b, e) - greatest(a, s))::BIGINT AS fresh FROM spans JOIN used USING (app_id) WHERE least(b, e) > greatest(a, s) GROUP BY app_id)
-SELECT app_id, coalesce(fresh, 0) AS fresh, tracked FROM (SELECT app_id, sum(e - s)::BIGINT AS tracked FROM used GROUP BY app_id) LEFT JOIN f USING (app_id)""",
-)
+_FRESH = _APPS + _CADENCE + _spans(START, END) + f""", enabled AS (SELECT app_id, interval_seconds * 1000000 AS step, greatest(started, {START}) AS s, least(coalesce(lead(started) OVER (PARTITION BY app_id ORDER BY started, id), {END}), {END}) AS e, id FROM tracking_interval),
+used AS (SELECT app_id, s, e, step FROM enabled WHERE id % 2 = 1 AND e > s), f AS (SELECT app_id, sum(least(b, e) - greatest(a, s))::BIGINT AS fresh FROM spans JOIN used USING (app_id) WHERE least(b, e) > greatest(a, s) GROUP BY app_id),
+fresh_app AS (SELECT app_id, coalesce(fresh, 0) AS fresh, tracked FROM (SELECT app_id, sum(e - s)::BIGINT AS tracked FROM used GROUP BY app_id) LEFT JOIN f USING (app_id)),
+met AS (SELECT app_id, count(DISTINCT s + (t - s) // step * step) AS observed FROM used JOIN player_sample USING (app_id) WHERE t >= s AND t < e GROUP BY app_id),
+occurred AS (SELECT app_id, expected, coalesce(observed, 0) AS observed FROM (SELECT app_id, sum((e - s + step - 1) // step)::BIGINT AS expected FROM used GROUP BY app_id) LEFT JOIN met USING (app_id))"""
+
+
+def enabled_periods(spark: SparkSession, d: str) -> DataFrame:
+    """app_id, interval_seconds, s, e: policies with an odd id enable collection until the next policy, those with an even id disable it."""
+    until = f"least(coalesce(lead(started) OVER (PARTITION BY app_id ORDER BY started, id), {END}), {END}) AS e"
+    return V.tracking_intervals(spark, d).selectExpr("app_id", "id", "interval_seconds", f"greatest(started, {START}) AS s", until).where("id % 2 = 1")
+
+
+def fresh_apps(spark: SparkSession, d: str) -> DataFrame:
+    return R.freshness_coverage(H.capped_spans(*history_inputs(spark, d), START, END, reach=V.REACH), enabled_periods(spark, d), DAY)
+
+
+@query("i08_freshness_coverage", _FRESH + " SELECT * FROM fresh_app")
+def _(spark, d):
+    return fresh_apps(spark, d)
+
+
+@query("i08_occurrences", _FRESH + " SELECT * FROM occurred")
+def _(spark, d):
+    return H.occurrences(V.player_samples(spark, d), enabled_periods(spark, d), START, END)
+
+
+@query("i08_freshness_report", _FRESH + """ SELECT count(*) AS apps, sum(tracked)::BIGINT AS tracked, sum(fresh)::BIGINT AS fresh, sum(tracked - fresh)::BIGINT AS stale, sum(fresh)::DOUBLE / sum(tracked)::DOUBLE AS ratio,
+  sum(fresh) * 100 >= sum(tracked) * 95 AS passes, sum(expected)::BIGINT AS expected, sum(observed)::BIGINT AS observed FROM fresh_app JOIN occurred USING (app_id)""")
 def _(spark, d):
-    samples, policies = history_inputs(spark, d)
-    enabled = policies.selectExpr("app_id", "id", f"greatest(started, {START}) AS s", f"least(coalesce(lead(started) OVER (PARTITION BY app_id ORDER BY started, id), {END}), {END}) AS e").where("id % 2 = 1")
-    return R.freshness_coverage(H.capped_spans(samples, policies, START, END, reach=V.REACH), enabled, DAY)
+    return R.freshness_report(fresh_apps(spark, d), H.occurrences(V.player_samples(spark, d), enabled_periods(spark, d), START, END))
 
 
 @query("i10_achievement_join", """, m AS (SELECT l_partkey AS key, sum(l_quantity::BIGINT)::BIGINT % 120 AS percent FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY 1), n AS (SELECT p_partkey AS key, p_name AS name FROM part WHERE p_partkey % 3 <> 0)
@@ -510,3 +531,28 @@ def _(spark, d):
 @query("i03_compare", _APPS + _CADENCE + _spans(START, END) + f", n AS (SELECT app_id, count(*) AS points FROM player_sample WHERE t >= {START} AND t < {END} GROUP BY app_id) SELECT app_id, coalesce(points, 0) AS points, coalesce(covered, 0) AS covered, integral::DOUBLE / covered::DOUBLE AS average FROM apps LEFT JOIN spans_sums USING (app_id) LEFT JOIN n USING (app_id)")
 def _(spark, d):
     return H.coverage(*history_inputs(spark, d), apps(spark, d), START, END, reach=V.REACH).select("app_id", "points", "covered", "average")
+
+
+_CHOSEN = f""", chosen AS (SELECT app_id FROM (SELECT app_id, count(*) AS n FROM player_sample WHERE t >= {START} AND t < {END} GROUP BY app_id ORDER BY n DESC, app_id LIMIT 9) UNION ALL SELECT -1)"""
+
+
+def chosen_apps(spark: SparkSession, d: str) -> DataFrame:
+    """What a user might compare: the nine apps with most samples in the window, and one that isn't known."""
+    counted = H.history_slice(V.player_samples(spark, d), START, END).groupBy("app_id").agg(F.count(F.lit(1)).alias("n"))
+    return counted.orderBy(F.desc("n"), "app_id").limit(9).select("app_id").unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("app_id")))
+
+
+@query("i03_compare_chosen", _COVERAGE + _CHOSEN + f""", began AS (SELECT app_id, min(started) AS tracked_from FROM tracking_interval WHERE started < {END} GROUP BY app_id)
+SELECT app_id, CASE WHEN ratio IS NULL THEN 'unsupported' WHEN tracked_from IS NULL THEN 'untracked' WHEN covered = 0 THEN 'no_data' WHEN covered < requested THEN 'partial' ELSE 'available' END AS availability,
+  tracked_from, coalesce(points, 0) AS points, coalesce(covered, 0) AS covered, coalesce(ratio, 0.0) AS ratio, coalesce(longest_gap, {END - START}) AS longest_gap, average, peak
+FROM chosen LEFT JOIN coverage USING (app_id) LEFT JOIN began USING (app_id)""")
+def _(spark, d):
+    return H.compare(*history_inputs(spark, d), apps(spark, d), chosen_apps(spark, d), START, END, reach=V.REACH)
+
+
+@query("i03_compare_series", _APPS + _CADENCE + _spans(START, END) + _CHOSEN + f""", grid AS (SELECT app_id, unnest(range({START // DAY}, {(END - 1) // DAY + 1})) * {DAY} AS bucket FROM chosen),
+cut AS (SELECT app_id, bucket, least(b, bucket + {DAY}) - greatest(a, bucket) AS held, player_count FROM grid JOIN spans USING (app_id) WHERE a < bucket + {DAY} AND b > bucket),
+sums AS (SELECT app_id, bucket, sum(held)::BIGINT AS covered, sum(player_count::HUGEINT * held) AS integral FROM cut GROUP BY ALL)
+SELECT app_id, bucket, coalesce(covered, 0) AS covered, integral::DOUBLE / covered::DOUBLE AS average FROM grid LEFT JOIN sums USING (app_id, bucket)""")
+def _(spark, d):
+    return H.compared_series(*history_inputs(spark, d), chosen_apps(spark, d), START, END, DAY, reach=V.REACH)

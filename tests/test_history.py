@@ -3,6 +3,7 @@
 import pytest
 
 from lacuna.operators import history as H
+from lacuna.operators import profiles as R
 
 S = 1_000_000
 CASES = [
@@ -71,3 +72,36 @@ def test_history_has_no_arrays_beyond_the_bound(spark):
     got = {r.app_id: r for r in H.history(s.where("app_id = 0 OR capture_id < 9"), p, apps, 0, 7200 * S, max_points=10).collect()}
     assert got[0].rejected and got[0].series is None and got[0].gaps is None and got[0].points == 30
     assert not got[1].rejected and len(got[1].series) == 3 and got[3].series is None and len(got[3].gaps) == 1
+
+
+def test_occurrences_of_enabled_periods(spark):
+    s = spark.createDataFrame([(i, a, t * S, 1) for i, (a, t) in enumerate([(1, 0), (1, 10), (1, 299), (1, 300), (1, 950), (1, 2000), (3, 5)])], "capture_id long, app_id long, t long, player_count long")
+    p = spark.createDataFrame([(1, 300, 0, 1000 * S), (1, 600, 1500 * S, 3000 * S), (2, 300, 0, 900 * S), (2, 300, 5 * S, 5 * S)], "app_id long, interval_seconds long, s long, e long")
+    for block in (70, 10**5):  # 4 slots of 300 s, the last cut short, and 3 of 600 s; samples outside the periods count for none
+        got = {r.app_id: (r.expected, r.observed) for r in H.occurrences(s, p, 0, 3600 * S, block * S).collect()}
+        assert got == {1: (7, 4), 2: (3, 0)}
+
+
+def test_freshness_report_counts_apps_without_samples(spark):
+    fresh = spark.createDataFrame([(1, 90, 100), (2, 0, 100)], "app_id long, fresh long, tracked long")
+    occurred = spark.createDataFrame([(1, 10, 9), (2, 10, 0)], "app_id long, expected long, observed long")
+    assert tuple(R.freshness_report(fresh, occurred).first()) == (2, 200, 90, 110, 0.45, False, 20, 9)
+    assert R.freshness_report(fresh, occurred, 45).first().passes
+    nothing = R.freshness_report(fresh.limit(0), occurred.limit(0)).first()
+    assert nothing.apps == 0 and nothing.ratio is None and nothing.passes is None
+
+
+def test_compare_keeps_every_chosen_app(spark):
+    s, p, apps = irregular(spark)
+    apps = apps.unionByName(spark.createDataFrame([(7,)], "app_id long"))
+    p = p.unionByName(spark.createDataFrame([(99, 3, 0, 60)], "id long, app_id long, started long, interval_seconds long"))
+    chosen = spark.createDataFrame([(0,), (0,), (3,), (7,), (8,), (None,)], "app_id long")
+    got = {r.app_id: r for r in H.compare(s, p, apps, chosen, 0, 3600 * S).collect()}
+    assert {a: r.availability for a, r in got.items()} == {0: "partial", 3: "no_data", 7: "untracked", 8: "unsupported"}
+    one = H.coverage(s, p, apps, 0, 3600 * S).where("app_id = 0").first()
+    assert all(got[0][c] == one[c] for c in ("points", "covered", "ratio", "longest_gap", "average", "peak")) and got[0].tracked_from == 0
+    series = H.compared_series(s, p, chosen, 0, 3600 * S, 900 * S).collect()
+    assert sorted((r.app_id, r.bucket // S) for r in series) == [(a, k * 900) for a in (0, 3, 7, 8) for k in range(4)]
+    assert sum(r.covered for r in series) == one.covered and all((r.average is None) == (r.covered == 0) for r in series)
+    with pytest.raises(ValueError):
+        H.compare(s, p, apps, chosen, 0, 3600 * S, most=3)
