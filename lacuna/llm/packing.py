@@ -251,3 +251,21 @@ def pack_examples(
 
     columns = [F.col(c).cast("long").alias(a) for c, a in ((id_col, "id"), (tokens_col, "length"), (loss_col, "n_loss"))]
     return examples.select(columns).mapInArrow(run, "id long, length long, n_loss long, sequence_id long, offset long")
+
+
+def conversation_examples(turns: DataFrame, tokenizer_file: str, loss_role: str = "assistant", end_id: int = 0) -> DataFrame:
+    """One instruction example per conversation: id, n_tokens, n_loss. A turn is its text's ids and then end_id; those of turns of loss_role bear loss.
+
+    turns: conv_id, role, text. Null roles and texts are empty; turns without a conv_id are one example without an id; repeated turns count each; an
+    empty table gives no examples; other columns are ignored. Only counts leave the tasks, and they are summed before the shuffle.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = _encoder(tokenizer_file), np.array([end_id], dtype="<u4").tobytes()
+        for batch in batches:
+            lengths = [len(encode(text.as_py()) + end) // 4 for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int64())], names=["id", "bears", "n"])
+
+    own = turns.select(F.col("conv_id").cast("long").alias("id"), F.coalesce(F.col("role").cast("string") == loss_role, F.lit(False)).alias("bears"), whole(F.col("text")).alias("text"))
+    counted = own.mapInArrow(count, "id long, bears boolean, n long")
+    return counted.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("bears"), F.col("n")).otherwise(0)).alias("n_loss"))

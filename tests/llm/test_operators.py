@@ -128,6 +128,38 @@ def test_packing(spark, odd, none):
     assert all(a <= 1024 and b <= 4 and c <= 150 for a, b, c in loads.values())
 
 
+def test_packing_of_conversations(spark):
+    """Lengths and loss by the tokenizers library; every conversation once, within all three limits, and few sequences."""
+    from tokenizers import Tokenizer
+
+    from lacuna.llm import queries
+
+    model, turns = Tokenizer.from_file(BYTES), spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    odd = [(-1, 0, "assistant", "hi " * 5000), (-2, 0, None, None), (-2, 0, "assistant", ""), (None, 1, "user", "who"), (None, 1, "user", "who"), (-3, None, "assistant", "😀 " * 400)]
+    more = spark.createDataFrame([(*r, "x", 5) for r in odd], "conv_id long, turn long, role string, text string, id string, n long")
+    want = defaultdict(lambda: [0, 0])
+    for r in [*turns.collect(), *more.collect()]:
+        n = len(model.encode(r.text or "", add_special_tokens=False).ids) + 1
+        want[r.conv_id][0] += n
+        want[r.conv_id][1] += n * (r.role == "assistant")
+    examples = packing.conversation_examples(turns.unionByName(more, allowMissingColumns=True), BYTES)
+    assert {r.id: [r.n_tokens, r.n_loss] for r in examples.collect()} == want
+    loads = defaultdict(list)
+    for r in packing.pack_examples(examples.coalesce(1), 4096, 16, 3072).collect():
+        assert [r.length, r.n_loss] == want.pop(r.id)
+        assert (r.sequence_id is None) == (r.length > 4096 or r.n_loss > 3072)
+        if r.sequence_id is not None:
+            loads[r.sequence_id].append((r.offset, r.length, r.n_loss))
+    assert not want
+    for parts in loads.values():
+        ends = np.cumsum([0, *(n for _, n, _ in sorted(parts))])
+        assert [o for o, _, _ in sorted(parts)] == list(ends[:-1]) and ends[-1] <= 4096 and len(parts) <= 16 and sum(x for _, _, x in parts) <= 3072
+    used = [max(sum(n for _, n, _ in p) / 4096, len(p) / 16, sum(x for _, _, x in p) / 3072) for p in loads.values()]
+    assert sum(u < 0.5 for u in used) <= 1
+    assert queries.packing_conversations(spark, "/root/testdata/sf0.001").count() == turns.select("conv_id").distinct().count()
+    assert packing.conversation_examples(turns.limit(0), BYTES).count() == 0
+
+
 def test_packing_of_mixed_white_space():
     from tokenizers import Tokenizer
 
@@ -214,6 +246,36 @@ def test_personal_data(odd, none):
     assert got[4].spans == "" and personal_data.find_personal_data(none).count() == 0
 
 
+def _luhn(digits):
+    return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def test_base_spans_against_the_patterns_alone(spark):
+    """Texts of random pieces; the contract's patterns by Python's engine, each match tested once and dropped if it fails."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    number = lambda t: re.sub("[^0-9]", "", t)
+    valid = {
+        "email": lambda t: True, "ip": lambda t: all(int(x) <= 255 for x in t.split(".")), "card": lambda t: 13 <= len(number(t)) <= 19 and _luhn(number(t)),
+        "phone": lambda t: 9 <= len(number(t)) <= 15,
+    }
+    pieces = ["a", "b.c", "@", "@@", ".", "..", "%", "-", " ", "  ", "+", "(", ")", "1", "22", "333", "255", "256", "000", "4111 1111 1111 1111", "4111-1111-1111-111", "5500000000000004", "10.0.0.1", "x@y.z", "é", "😀", "\n", "٣", "+1 (234) 555", "6789"]
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(pieces, size=rng.integers(0, 40))) for _ in range(3000)] + ["1." * 40_000, "a@" * 40_000, "4" * 60_000, "+1 " * 30_000, "a.b@c.d" * 9_000]
+    got = personal_data.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), support=10**6).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r.doc_id]
+        found = {k: [m.span() for m in re.finditer(p, t) if valid[k](m[0])] for k, p in patterns.items()} if len(t) < 5000 else None
+        if found is None:
+            continue  # such texts only have to end: the plain patterns take quadratic time on them
+        base = ",".join(f"{k}:{a}:{b}" for k in patterns for a, b in found[k])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(len(found[k]) for k in patterns), t
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and r.spans == base, t
+
+
 def _disclosed(rows, share=0.8, support=3):
     """Brute force over (doc_id, text): the terms' places by doc_id and text, with emails as the only values."""
     email = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -333,6 +395,23 @@ def test_toxicity(spark, none):
     assert toxicity.score_documents(none, empty).count() == 0
 
 
+def test_boosting_and_isotonic_map(spark):
+    """The calibrated score never falls as the raw one rises, copies score alike, and a table of one label or of odd columns is no error."""
+    rows = [(i, ("you fool " if i % 2 else "calm sea ") * (1 + i % 7) + "today " * (i % 5)) for i in range(240)]
+    docs = spark.createDataFrame([(i, t, "y", 0.5) for i, t in rows + rows[:10] + [(None, "you fool"), (500, "fool " * 60_000)]], "doc_id long, text string, toxic string, score double")
+    noisy = spark.createDataFrame([(i, int((i % 2 == 1) != (i % 11 == 0)), "t") for i in range(240)], "doc_id long, toxic int, text string")
+    got = toxicity.score_documents(docs, toxicity.train(docs, noisy)).collect()
+    assert len(got) == 252 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    by_text = defaultdict(set)
+    for r in got:
+        by_text[dict(rows).get(r.doc_id)].add(r.score)
+    assert all(len(v) == 1 for t, v in by_text.items() if t)
+    held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 240]
+    assert np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.9
+    one = toxicity.train(docs, noisy.withColumn("toxic", F.lit(0)))
+    assert all(0 <= r.score <= 1 for r in toxicity.score_documents(docs, one).collect())
+
+
 def test_archives(spark):
     rows = [(1, "http://a", "x" * 2000), (2, "http://b", "x" * 2000), (3, "http://c", "é" * 10), (4, None, None), (5, "http://c", "é" * 10)]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload string")
@@ -342,6 +421,19 @@ def test_archives(spark):
     assert archives.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_with_null_and_repeated_ids(spark):
+    long, other = "y" * 1500, "z" * 1200
+    rows = [(None, long), (None, long), (7, long), (7, long), (3, long), (None, other), (None, None), (None, ""), (8, "s" * 999), (9, "s" * 999)]
+    pages = spark.createDataFrame([(i, "http://p", t, "n", 1) for i, t in rows], "page_id long, url string, html string, record_type string, offset int")
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in archives.archive_round_trip(pages).collect())
+    want = Counter()
+    for i, t in rows:
+        t = t or ""
+        revisit = t == long and i != 7
+        want[i, len(t), hashlib.sha1(t.encode()).hexdigest(), "revisit" if revisit else "response", 7 if revisit else None] += 1
+    assert got == want
+
+
 def test_zip64_directory(tmp_path):
     import io
     import zipfile
