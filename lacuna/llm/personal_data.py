@@ -175,19 +175,85 @@ def find_personal_data(docs: DataFrame, share: float = 0.8, support: int = 3, id
     )
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with what the spans column of find_personal_data names taken out: values become their kind in brackets, terms go.
+def generalised_terms(docs: DataFrame, matches: DataFrame, pairs: DataFrame, share: float = 0.8) -> DataFrame:
+    """term, shown for each term of pairs (as disclosing_terms gives them): its longest proper beginning that discloses no value, and a star; empty where every beginning does.
+
+    A beginning stands for all terms of the corpus that begin with it: n_c counts the documents with any of them, n_cv those that hold the value
+    too, copies included. It discloses a value as a term does, whatever its support. Tested are the values of all disclosing terms that begin
+    with it. docs: doc_id, key, text; matches: those of base_matches().
+    """
+    cut = F.explode(F.sequence(F.lit(1), F.char_length("term") - 1)).alias("n")
+    starts = pairs.where(F.char_length("term") > 1).select("kind", "value", "ic", "term", cut).select("kind", "value", "ic", "term", F.substring("term", F.lit(1), F.col("n")).alias("start"))
+    starts = stored(starts, "starts")
+    wanted = small(stored(starts.select("start").distinct(), "wanted-starts"))
+    known = terms_of(docs).select("term").distinct()
+    known = known.select("term", F.explode(F.sequence(F.lit(1), F.char_length("term"))).alias("n")).select("term", F.substring("term", F.lit(1), F.col("n")).alias("start"))
+    cover = small(stored(known.join(wanted, "start", "left_semi"), "covered-terms"))
+    copies = docs.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    there = stored(terms_of(docs, "key").join(cover, "term").select("key", "start").distinct().join(copies, "key"), "starts-in-texts")
+    total = docs.agg(F.count(F.lit(1)).alias("total"))
+    held = matches.select("kind", F.lower("value").alias("value"), "key").distinct()
+    asked = starts.select("kind", "value", "ic", "start").distinct()
+    n_v = held.join(asked.select("kind", "value").distinct(), ["kind", "value"], "left_semi").join(copies, "key").groupBy("kind", "value").agg(F.sum("copies").alias("n_v"))
+    n_c = there.groupBy("start").agg(F.sum("copies").alias("n_c"))
+    # Each value meets its own terms' beginnings alone, so a text with many values and many terms isn't taken in pairs.
+    n_cv = held.join(asked, ["kind", "value"]).join(there, ["key", "start"]).groupBy("kind", "value", "start").agg(F.sum("copies").alias("n_cv"))
+    scored = asked.join(n_cv, ["kind", "value", "start"]).join(n_v, ["kind", "value"]).join(n_c, "start").crossJoin(F.broadcast(total))  # total is one row
+    told = F.log2(F.col("n_cv") * F.col("total") / (F.col("n_c") * F.col("n_v"))) >= F.lit(share) * F.col("ic")
+    safe = scored.groupBy("start").agg(F.bool_or(told).alias("told")).where(~F.col("told")).select("start")
+    longest = starts.select("term", "start").distinct().join(safe, "start").groupBy("term").agg(F.max_by("start", F.char_length("start")).alias("start"))
+    return pairs.select("term").distinct().join(longest, "term", "left").select("term", F.coalesce(F.concat("start", F.lit("*")), F.lit("")).alias("shown"))
+
+
+def sanitise(docs: DataFrame, share: float = 0.8, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, text, n_values, n_generalised, n_removed.
+
+    Values become their kind in brackets; a disclosing term becomes its longest beginning that discloses nothing, with a star, or goes where
+    there is none. Null texts become empty, empty ones stay; equal rows have equal results; an empty table gives no rows; other columns are ignored.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"), F.xxhash64(whole(F.col(text_col))).alias("key"))
+    matches = stored(base_matches(docs), "matches")
+    pairs = stored(disclosing_terms(docs, matches, share, support), "disclosing-pairs")
+    shown = small(stored(generalised_terms(docs, matches, pairs, share), "generalised"))
+    places = places_of(docs, pairs).withColumn("kind", F.lit("term"))
+    spans = matches.select("doc_id", "key", "kind", "start", "end").unionByName(places.select("doc_id", "key", "kind", "start", "end"))
+    spans = spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col("kind").alias("k")))).alias("spans"))
+    spans = spans.withColumnsRenamed({"doc_id": "d", "key": "h"})
+    here = terms_of(docs, "key").join(shown, "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "shown"))).alias("shown"))
+    rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["d"]) & (docs["key"] == spans["h"]), "left").join(here, "key", "left")
+    found = F.coalesce("spans", F.array().cast("array<struct<s:int,e:int,k:string>>"))
+    words = F.filter(found, lambda x: x["k"] == "term")
+    gone = F.filter(words, lambda x: _shown(F.col("text"), x, F.col("shown")) == "")
+    # Within a lambda an alias of the same list hides the column of that name, so the new text is renamed afterwards.
+    counted = rows.select(
+        "doc_id", replaced(F.col("text"), found, F.col("shown")).alias("clean"), (F.size(found) - F.size(words)).cast("long").alias("n_values"),
+        (F.size(words) - F.size(gone)).cast("long").alias("n_generalised"), F.size(gone).cast("long").alias("n_removed"),
+    )
+    return counted.withColumnRenamed("clean", "text")
+
+
+def _shown(text: Column, span: Column, shown: Column) -> Column:
+    return F.coalesce(F.try_element_at(shown, F.lower(F.substring(text, span["s"] + 1, span["e"] - span["s"]))), F.lit(""))
+
+
+def replaced(text: Column, spans: Column, shown: Column) -> Column:
+    """The text with each span (s, e, k) replaced: a value by its kind in brackets, a term by what the map shown has for it in lower case, else by nothing.
 
     Overlapping spans are taken in order of start; what lies in an earlier one isn't repeated.
     """
-    parsed = F.array_sort(
-        F.transform(F.filter(F.split(spans, ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("s"), F.split(x, ":")[2].cast("int").alias("e"), F.split(x, ":")[0].alias("k")))
-    )
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
-        word = F.when(x["k"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), x["k"], F.lit("]")))
+        word = F.when(x["k"] == "term", _shown(text, x, shown)).otherwise(F.concat(F.lit("["), x["k"], F.lit("]")))
         gap = F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        return F.struct(F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, word)).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
+        return F.struct(F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, word))).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
 
-    return F.aggregate(parsed, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+def sanitised(text: Column, spans: Column) -> Column:
+    """The text with what the spans column of find_personal_data names taken out: values become their kind in brackets, terms go."""
+    part = lambda x, i: F.split(x, ":")[i]
+    named = F.filter(F.split(spans, ","), lambda x: x != "")
+    parsed = F.array_sort(F.transform(named, lambda x: F.struct(part(x, 1).cast("int").alias("s"), part(x, 2).cast("int").alias("e"), part(x, 0).alias("k"))))
+    return replaced(text, parsed, F.lit(None).cast("map<string,string>"))

@@ -10,7 +10,7 @@ from lacuna.llm.decontamination import contamination
 from lacuna.llm.fingerprints import fingerprint_documents
 from lacuna.llm.jaccard_join import near_duplicates
 from lacuna.llm.packing import conversation_examples, pack_documents, pack_examples
-from lacuna.llm.personal_data import find_personal_data
+from lacuna.llm.personal_data import find_personal_data, sanitise
 from lacuna.llm.prefix_trie import prefix_trie
 from lacuna.llm.quality import score_quality
 from lacuna.llm.quality import train as train_quality
@@ -82,6 +82,11 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")), 12))
 
 
+def personal_data_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with values named by kind and disclosing terms generalised or removed."""
+    return sanitise(table(spark, sf_dir, "documents"))
+
+
 def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole conversations in sequences of at most 4096 tokens, 16 conversations and 3072 tokens that bear loss; too long ones have no sequence."""
     examples = conversation_examples(table(spark, sf_dir, "conversations"), tokenizer_file("byte_bpe_50k.json"))
@@ -92,7 +97,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_decontamination, op3_token_counts, op4_packing, op5_suffix_dedup, op6_personal_data, op7_secrets, op8_toxicity, op9_archives, op10_jaccard_join,
-        op11_prefix_trie, op12_quality, op13_periodic_runs, packing_conversations,
+        op11_prefix_trie, op12_quality, op13_periodic_runs, packing_conversations, personal_data_sanitised,
     )
 }
 

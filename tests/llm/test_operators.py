@@ -309,6 +309,33 @@ def test_terms_in_copied_groups(spark):
     assert all(r.n_term >= 1 for r in found if r.doc_id < 36)
 
 
+def test_terms_are_generalised_or_removed(spark, odd, none):
+    """Beginnings, counts and texts against brute force: one term has a wide beginning, one has none, and words that disclose nothing stay."""
+    rows = [(k, f"Quillfeather and Zyx sent no {'abcd'[k % 4]} to ann@host.org today") for k in range(8)] + [(20 + k, f"the quilt was {'pqrs'[k % 4]} today, quietly") for k in range(30)]
+    rows += [(60 + k, f"a quiz was held {'abcd'[k % 4]} today") for k in range(40)] + [(200 + k, f"nothing {'klmn'[k % 4]} today") for k in range(300)] + [(900, "ZYX met quillfeather"), (None, "Zyx"), (901, None), (902, "")]
+    texts, mail = [t or "" for _, t in rows], "ann@host.org"
+    words = lambda t: {m[0].lower() for m in re.finditer(r"[^\W\d_]+", t.replace(mail, " "))}
+    n, n_v = len(texts), sum(mail in t for t in texts)
+    told = lambda has: sum(has(t) for t in texts if mail in t) * n / (sum(has(t) for t in texts) * n_v)
+    limit = 2 ** (0.8 * np.log2(n / n_v))
+    beside = {w for t in texts if mail in t for w in words(t)}
+    disclosing = {w for w in beside if len({t for t in texts if mail in t and w in words(t)}) >= 3 and told(lambda t: w in words(t)) >= limit}  # noqa: B023
+    shown = {}
+    for w in disclosing:
+        safe = [w[:k] for k in range(1, len(w)) if told(lambda t: any(x.startswith(w[:k]) for x in words(t))) < limit]  # noqa: B023
+        shown[w] = safe[-1] + "*" if safe else ""
+    assert shown["quillfeather"] == "quil*" and shown["zyx"] == "" and "today" not in shown
+    want = {(i, re.sub(r"[^\W\d_]+", lambda m: shown.get(m[0].lower(), m[0]), (t or "").replace(mail, "\0")).replace("\0", "[email]")) for i, t in rows}
+    got = personal_data.sanitise(spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, key string")).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.text) for r in got} == want
+    of = {r.doc_id: r for r in got}
+    assert (of[0].n_values, of[900].n_generalised, of[900].n_removed) == (1, 1, 1) and of[200].n_generalised + of[200].n_removed == 0
+    assert personal_data.sanitise(none).count() == 0 and personal_data.sanitise(odd).count() == odd.count()
+    spans = personal_data.find_personal_data(odd).where("doc_id = 11").select("doc_id", "spans")
+    text = odd.join(spans, "doc_id").select(personal_data.sanitised(F.col("text"), F.col("spans"))).first()[0]
+    assert text == "mail [email] ip [ip] card [card] tel [phone] password = hunter22abc"
+
+
 def test_terms_everywhere(spark):
     far = "the calm sea was over there and " * 6
     rows = [(k, f"李明 {far} Quillfeather {far} no{k} mail ann@host.org and {far} Ng quillfeather x{k}") for k in range(4)]
