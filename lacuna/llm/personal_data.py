@@ -217,43 +217,55 @@ def sanitise(docs: DataFrame, share: float = 0.8, support: int = 3, id_col: str
     shown = small(stored(generalised_terms(docs, matches, pairs, share), "generalised"))
     places = places_of(docs, pairs).withColumn("kind", F.lit("term"))
     spans = matches.select("doc_id", "key", "kind", "start", "end").unionByName(places.select("doc_id", "key", "kind", "start", "end"))
-    spans = spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col("kind").alias("k")))).alias("spans"))
-    spans = spans.withColumnsRenamed({"doc_id": "d", "key": "h"})
+    before = Window.partitionBy("doc_id", "key").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("doc_id", "key", F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col("kind").alias("k"), F.coalesce(F.max("end").over(before), F.lit(0)).alias("at")).alias("x"))
+    spans = spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("x")).alias("spans")).withColumnsRenamed({"doc_id": "d", "key": "h"})
     here = terms_of(docs, "key").join(shown, "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "shown"))).alias("shown"))
     rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["d"]) & (docs["key"] == spans["h"]), "left").join(here, "key", "left")
-    found = F.coalesce("spans", F.array().cast("array<struct<s:int,e:int,k:string>>"))
-    words = F.filter(found, lambda x: x["k"] == "term")
-    gone = F.filter(words, lambda x: _shown(F.col("text"), x, F.col("shown")) == "")
+    found = F.coalesce("spans", F.array().cast("array<struct<s:int,e:int,k:string,at:int>>")).alias("found")
+    parts = F.when(F.size("found") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))).alias("parts")
+    rows = rows.select("doc_id", "text", "shown", found).select("doc_id", "text", "shown", "found", parts)
+    cut = lambda a, b: _cut(F.col("parts"), a, b)
+    word = lambda x: F.coalesce(F.try_element_at("shown", F.lower(cut(x["s"], x["e"]))), F.lit(""))
+    named = F.transform("found", lambda x: F.when(x["k"] == "term", word(x)).otherwise(F.concat(F.lit("["), x["k"], F.lit("]")))).alias("words")
+    rows = rows.select("doc_id", "text", "found", "parts", named)
+    pair = F.filter(F.arrays_zip(F.col("found").alias("x"), F.col("words").alias("word")), lambda z: z["x"]["s"] >= z["x"]["at"])
+    most = F.array_max(F.transform("found", lambda x: x["e"]))
+    new = F.concat(F.array_join(F.transform(pair, lambda z: F.concat(cut(z["x"]["at"], z["x"]["s"]), z["word"])), ""), cut(most, F.char_length("text")))
+    of_terms = F.size(F.filter("found", lambda x: x["k"] == "term"))
+    gone = F.size(F.filter("words", lambda w: w == ""))
     # Within a lambda an alias of the same list hides the column of that name, so the new text is renamed afterwards.
     counted = rows.select(
-        "doc_id", replaced(F.col("text"), found, F.col("shown")).alias("clean"), (F.size(found) - F.size(words)).cast("long").alias("n_values"),
-        (F.size(words) - F.size(gone)).cast("long").alias("n_generalised"), F.size(gone).cast("long").alias("n_removed"),
+        "doc_id", F.when(F.size("found") > 0, new).otherwise(F.col("text")).alias("clean"), (F.size("found") - of_terms).cast("long").alias("n_values"),
+        (of_terms - gone).cast("long").alias("n_generalised"), gone.cast("long").alias("n_removed"),
     )
     return counted.withColumnRenamed("clean", "text")
 
 
-def _shown(text: Column, span: Column, shown: Column) -> Column:
-    return F.coalesce(F.try_element_at(shown, F.lower(F.substring(text, span["s"] + 1, span["e"] - span["s"]))), F.lit(""))
+#: Code points in each part of a text, so that a place in a long one is reached without walking through all before it.
+PART = 1024
 
 
-def replaced(text: Column, spans: Column, shown: Column) -> Column:
-    """The text with each span (s, e, k) replaced: a value by its kind in brackets, a term by what the map shown has for it in lower case, else by nothing.
+def _cut(parts: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of the text that parts hold."""
+    first = F.floor(a / PART).cast("int")
+    held = F.slice(parts, first + 1, F.floor((b - 1) / PART).cast("int") - first + 1)
+    return F.when(b > a, F.substring(F.array_join(held, ""), a % PART + 1, b - a)).otherwise(F.lit(""))
+
+
+def sanitised(text: Column, spans: Column) -> Column:
+    """The text with what the spans column of find_personal_data names taken out: values become their kind in brackets, terms go.
 
     Overlapping spans are taken in order of start; what lies in an earlier one isn't repeated.
     """
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+    part = lambda x, i: F.split(x, ":")[i]
+    named = F.filter(F.split(spans, ","), lambda x: x != "")
+    parsed = F.array_sort(F.transform(named, lambda x: F.struct(part(x, 1).cast("int").alias("s"), part(x, 2).cast("int").alias("e"), part(x, 0).alias("k"))))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
-        word = F.when(x["k"] == "term", _shown(text, x, shown)).otherwise(F.concat(F.lit("["), x["k"], F.lit("]")))
+        word = F.when(x["k"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), x["k"], F.lit("]")))
         gap = F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        return F.struct(F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, word))).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
+        return F.struct(F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, word)).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
-
-
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with what the spans column of find_personal_data names taken out: values become their kind in brackets, terms go."""
-    part = lambda x, i: F.split(x, ":")[i]
-    named = F.filter(F.split(spans, ","), lambda x: x != "")
-    parsed = F.array_sort(F.transform(named, lambda x: F.struct(part(x, 1).cast("int").alias("s"), part(x, 2).cast("int").alias("e"), part(x, 0).alias("k"))))
-    return replaced(text, parsed, F.lit(None).cast("map<string,string>"))
+    return F.aggregate(parsed, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))

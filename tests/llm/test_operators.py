@@ -331,6 +331,9 @@ def test_terms_are_generalised_or_removed(spark, odd, none):
     of = {r.doc_id: r for r in got}
     assert (of[0].n_values, of[900].n_generalised, of[900].n_removed) == (1, 1, 1) and of[200].n_generalised + of[200].n_removed == 0
     assert personal_data.sanitise(none).count() == 0 and personal_data.sanitise(odd).count() == odd.count()
+    long = "😀é fill " * 700  # spans within and across parts of 1024 code points
+    got = personal_data.sanitise(spark.createDataFrame([(1, f"{long}a@b.cd {long}10.0.0.1{long[:1019]}x@y.zw" * 3)], "doc_id long, text string")).first()
+    assert got.text == f"{long}[email] {long}[ip]{long[:1019]}[email]" * 3 and got.n_values == 9
     spans = personal_data.find_personal_data(odd).where("doc_id = 11").select("doc_id", "spans")
     text = odd.join(spans, "doc_id").select(personal_data.sanitised(F.col("text"), F.col("spans"))).first()[0]
     assert text == "mail [email] ip [ip] card [card] tel [phone] password = hunter22abc"
