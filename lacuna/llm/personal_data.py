@@ -175,30 +175,40 @@ def find_personal_data(docs: DataFrame, share: float = 0.8, support: int = 3, id
     )
 
 
+#: Letters of the longest beginning that is shown in place of a disclosing term.
+LONGEST_START = 64
+
+
+def starts_of(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns and each different beginning, of at most LONGEST_START letters, of the terms of the text, whole terms included."""
+    begins = lambda t: F.transform(F.sequence(F.lit(1), F.least(F.char_length(t), F.lit(LONGEST_START))), lambda n: F.substring(t, F.lit(1), n))
+    terms = F.array_distinct(F.transform(_found_terms(F.col("text")), F.lower))
+    return docs.select(*columns, F.explode(F.array_distinct(F.flatten(F.transform(terms, begins)))).alias("start"))
+
+
 def generalised_terms(docs: DataFrame, matches: DataFrame, pairs: DataFrame, share: float = 0.8) -> DataFrame:
     """term, shown for each term of pairs (as disclosing_terms gives them): its longest proper beginning that discloses no value, and a star; empty where every beginning does.
 
-    A beginning stands for all terms of the corpus that begin with it: n_c counts the documents with any of them, n_cv those that hold the value
-    too, copies included. It discloses a value as a term does, whatever its support. Tested are the values of all disclosing terms that begin
-    with it. docs: doc_id, key, text; matches: those of base_matches().
+    A beginning, of at most LONGEST_START letters, stands for all terms of the corpus that begin with it: n_c counts the documents with any of
+    them, n_cv those that hold the value too, copies included. It discloses a value as a term does, whatever its support. Tested are the values
+    of all disclosing terms that begin with it. docs: doc_id, key, text; matches: those of base_matches().
     """
-    cut = F.explode(F.sequence(F.lit(1), F.char_length("term") - 1)).alias("n")
+    cut = F.explode(F.sequence(F.lit(1), F.least(F.char_length("term") - 1, F.lit(LONGEST_START)))).alias("n")
     starts = pairs.where(F.char_length("term") > 1).select("kind", "value", "ic", "term", cut).select("kind", "value", "ic", "term", F.substring("term", F.lit(1), F.col("n")).alias("start"))
     starts = stored(starts, "starts")
-    wanted = small(stored(starts.select("start").distinct(), "wanted-starts"))
-    known = terms_of(docs).select("term").distinct()
-    known = known.select("term", F.explode(F.sequence(F.lit(1), F.char_length("term"))).alias("n")).select("term", F.substring("term", F.lit(1), F.col("n")).alias("start"))
-    cover = small(stored(known.join(wanted, "start", "left_semi"), "covered-terms"))
-    copies = docs.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    there = stored(terms_of(docs, "key").join(cover, "term").select("key", "start").distinct().join(copies, "key"), "starts-in-texts")
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    held = matches.select("kind", F.lower("value").alias("value"), "key").distinct()
     asked = starts.select("kind", "value", "ic", "start").distinct()
-    n_v = held.join(asked.select("kind", "value").distinct(), ["kind", "value"], "left_semi").join(copies, "key").groupBy("kind", "value").agg(F.sum("copies").alias("n_v"))
-    n_c = there.groupBy("start").agg(F.sum("copies").alias("n_c"))
+    wanted = small(stored(starts.select("start").distinct(), "wanted-starts"))
+    # A text gives each beginning once, so documents are counted in the tasks and only counts are shuffled.
+    n_c = starts_of(docs).groupBy("start").agg(F.count(F.lit(1)).alias("n_c")).join(wanted, "start", "left_semi")
+    held = matches.select("kind", F.lower("value").alias("value"), "key").distinct().join(asked.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
+    holding = small(stored(held.select("key").distinct(), "holding-texts"))
+    copies = docs.select("key").join(holding, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    held = stored(held.join(copies, "key"), "held-values")
+    n_v = held.groupBy("kind", "value").agg(F.sum("copies").alias("n_v"))
+    there = starts_of(docs.join(holding, "key", "left_semi"), "key").join(wanted, "start", "left_semi").distinct()
     # Each value meets its own terms' beginnings alone, so a text with many values and many terms isn't taken in pairs.
     n_cv = held.join(asked, ["kind", "value"]).join(there, ["key", "start"]).groupBy("kind", "value", "start").agg(F.sum("copies").alias("n_cv"))
-    scored = asked.join(n_cv, ["kind", "value", "start"]).join(n_v, ["kind", "value"]).join(n_c, "start").crossJoin(F.broadcast(total))  # total is one row
+    scored = asked.join(n_cv, ["kind", "value", "start"]).join(n_v, ["kind", "value"]).join(n_c, "start").crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("total"))))  # one row
     told = F.log2(F.col("n_cv") * F.col("total") / (F.col("n_c") * F.col("n_v"))) >= F.lit(share) * F.col("ic")
     safe = scored.groupBy("start").agg(F.bool_or(told).alias("told")).where(~F.col("told")).select("start")
     longest = starts.select("term", "start").distinct().join(safe, "start").groupBy("term").agg(F.max_by("start", F.char_length("start")).alias("start"))
