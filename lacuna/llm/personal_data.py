@@ -95,9 +95,16 @@ def terms_of(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.explode(F.array_distinct(F.transform(_found_terms(F.col("text")), F.lower))).alias("term"))
 
 
-def disclosing_terms(docs: DataFrame, matches: DataFrame, share: float = 0.8, support: int = 3) -> DataFrame:
+def term_counts(docs: DataFrame) -> DataFrame:
+    """term, n_t: the documents that hold each term, counted in the tasks first."""
+    return terms_of(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+
+
+def disclosing_terms(docs: DataFrame, matches: DataFrame, share: float = 0.8, support: int = 3, counts: DataFrame | None = None) -> DataFrame:
     """kind, value, term, pmi, ic of the pairs that disclose: pmi >= share * ic, in at least `support` different texts.
 
+    counts: term_counts(docs), where the caller has stored them.
+
     n_tv, n_v, n_t and N count documents, each copy of a text too; the support alone counts different texts. No pair is
     sought that can't disclose: as n_tv <= n_v, a term in more than N ** (1 - share) * n_v ** share documents doesn't.
     """
@@ -109,7 +116,7 @@ def disclosing_terms(docs: DataFrame, matches: DataFrame, share: float = 0.8, su
     values = values.withColumn("most", F.pow("n", F.lit(1 - share)) * F.pow("n_v", F.lit(share)) * 1.000001)
     held = stored(held.join(small(stored(values.select("kind", "value", "n", "n_v", "most"), "frequent-values")), ["kind", "value"]), "frequent-places")
     keys = stored(held.groupBy("key").agg(F.max("most").alias("most_here")), "frequent-keys")
-    terms = terms_of(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # counted in the tasks first
+    terms = term_counts(docs) if counts is None else counts
     terms = stored(terms.where(F.col("n_t") >= support).crossJoin(F.broadcast(keys.agg(F.max("most_here").alias("top")))).where("n_t <= top").select("term", "n_t"), "terms")
     beside = terms_of(docs.join(small(keys), "key"), "key", "most_here").distinct()
     beside = beside.join(small(terms), (beside["term"] == terms["term"]) & (terms["n_t"] <= beside["most_here"])).select("key", beside["term"], "n_t")
@@ -120,13 +127,18 @@ def disclosing_terms(docs: DataFrame, matches: DataFrame, share: float = 0.8, su
     return scored.where((F.col("ic") > 0) & (F.col("pmi") >= F.lit(share) * F.col("ic"))).select("kind", "value", "term", "pmi", "ic")
 
 
-def places_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, key, start, end of every occurrence of the terms (term) in docs (doc_id, key, text); equal rows count once.
+def texts_holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """key, here: the terms (term) that each text holds, for texts with any; stored."""
+    wanted = small(stored(terms.select("term").distinct(), "disclosing"))
+    return stored(terms_of(docs, "key").join(wanted, "term", "left_semi").groupBy("key").agg(F.collect_set("term").alias("here")), "disclosing-texts")
+
+
+def places_of(docs: DataFrame, holding: DataFrame) -> DataFrame:
+    """doc_id, key, start, end of every occurrence in docs (doc_id, key, text) of the terms that texts_holding() found; equal rows count once.
 
     Only texts that hold one are taken apart, and only the places of those terms leave them.
     """
-    wanted = small(stored(terms.select("term").distinct(), "disclosing"))
-    here = small(stored(terms_of(docs, "key").join(wanted, "term", "left_semi").groupBy("key").agg(F.collect_set("term").alias("here")), "disclosing-texts"))
+    here = small(holding)
     text = F.col("text")
     parts = F.arrays_zip(F.split(_unnamed(text), _TERM, -1).alias("gap"), _found_terms(text).alias("found"))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
@@ -150,7 +162,7 @@ def find_personal_data(docs: DataFrame, share: float = 0.8, support: int = 3, id
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"), F.xxhash64(whole(F.col(text_col))).alias("key"))
     matches = stored(base_matches(docs), "matches")
     pairs = disclosing_terms(docs, matches, share, support)
-    marked = places_of(docs, pairs).withColumn("kind", F.lit("term")).select("doc_id", "key", "kind", "start", "end")
+    marked = places_of(docs, texts_holding(docs, pairs)).withColumn("kind", F.lit("term")).select("doc_id", "key", "kind", "start", "end")
     order = F.when(F.col("kind") == "email", 0).when(F.col("kind") == "ip", 1).when(F.col("kind") == "card", 2).when(F.col("kind") == "phone", 3).otherwise(4)
     spans = matches.select("doc_id", "key", "kind", "start", "end").unionByName(marked).withColumn("k", order)
     spans = spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("k", "start", "end", "kind"))).alias("s"))
@@ -179,39 +191,50 @@ def find_personal_data(docs: DataFrame, share: float = 0.8, support: int = 3, id
 LONGEST_START = 64
 
 
-def starts_of(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns and each different beginning, of at most LONGEST_START letters, of the terms of the text, whole terms included."""
-    begins = lambda t: F.transform(F.sequence(F.lit(1), F.least(F.char_length(t), F.lit(LONGEST_START))), lambda n: F.substring(t, F.lit(1), n))
-    terms = F.array_distinct(F.transform(_found_terms(F.col("text")), F.lower))
-    return docs.select(*columns, F.explode(F.array_distinct(F.flatten(F.transform(terms, begins)))).alias("start"))
+def starts_of(terms: DataFrame, *columns: str) -> DataFrame:
+    """The columns and each beginning of term, of at most LONGEST_START letters, the whole term included."""
+    cut = F.explode(F.sequence(F.lit(1), F.least(F.char_length("term"), F.lit(LONGEST_START)))).alias("n")
+    return terms.select("term", *(c for c in columns if c != "term"), cut).select(*columns, F.substring("term", F.lit(1), F.col("n")).alias("start"))
 
 
-def generalised_terms(docs: DataFrame, matches: DataFrame, pairs: DataFrame, share: float = 0.8) -> DataFrame:
+def generalised_terms(docs: DataFrame, matches: DataFrame, pairs: DataFrame, counts: DataFrame, share: float = 0.8) -> DataFrame:
     """term, shown for each term of pairs (as disclosing_terms gives them): its longest proper beginning that discloses no value, and a star; empty where every beginning does.
 
     A beginning, of at most LONGEST_START letters, stands for all terms of the corpus that begin with it: n_c counts the documents with any of
     them, n_cv those that hold the value too, copies included. It discloses a value as a term does, whatever its support. Tested are the values
-    of all disclosing terms that begin with it. docs: doc_id, key, text; matches: those of base_matches().
+    of all disclosing terms that begin with it. docs: doc_id, key, text; matches: those of base_matches(); counts: term_counts(docs), stored.
+
+    n_c lies between the most documents of one such term and the sum over all. Texts are read again only for beginnings that
+    neither bound decides, and that are longer than what is known to do for one of their terms.
     """
-    cut = F.explode(F.sequence(F.lit(1), F.least(F.char_length("term") - 1, F.lit(LONGEST_START)))).alias("n")
-    starts = pairs.where(F.char_length("term") > 1).select("kind", "value", "ic", "term", cut).select("kind", "value", "ic", "term", F.substring("term", F.lit(1), F.col("n")).alias("start"))
-    starts = stored(starts, "starts")
+    proper = starts_of(pairs.where(F.char_length("term") > 1), "kind", "value", "ic", "term").where("start <> term")
+    starts = stored(proper, "starts")
     asked = starts.select("kind", "value", "ic", "start").distinct()
+    of_term = starts.select("term", "start").distinct()
     wanted = small(stored(starts.select("start").distinct(), "wanted-starts"))
-    # A text gives each beginning once, so documents are counted in the tasks and only counts are shuffled.
-    n_c = starts_of(docs).groupBy("start").agg(F.count(F.lit(1)).alias("n_c")).join(wanted, "start", "left_semi")
     held = matches.select("kind", F.lower("value").alias("value"), "key").distinct().join(asked.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
-    holding = small(stored(held.select("key").distinct(), "holding-texts"))
-    copies = docs.select("key").join(holding, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    with_values = small(stored(held.select("key").distinct(), "texts-with-values"))
+    copies = docs.select("key").join(with_values, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     held = stored(held.join(copies, "key"), "held-values")
     n_v = held.groupBy("kind", "value").agg(F.sum("copies").alias("n_v"))
-    there = starts_of(docs.join(holding, "key", "left_semi"), "key").join(wanted, "start", "left_semi").distinct()
+    there = starts_of(terms_of(docs.join(with_values, "key", "left_semi"), "key"), "key").join(wanted, "start", "left_semi").distinct()
     # Each value meets its own terms' beginnings alone, so a text with many values and many terms isn't taken in pairs.
     n_cv = held.join(asked, ["kind", "value"]).join(there, ["key", "start"]).groupBy("kind", "value", "start").agg(F.sum("copies").alias("n_cv"))
-    scored = asked.join(n_cv, ["kind", "value", "start"]).join(n_v, ["kind", "value"]).join(n_c, "start").crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("total"))))  # one row
-    told = F.log2(F.col("n_cv") * F.col("total") / (F.col("n_c") * F.col("n_v"))) >= F.lit(share) * F.col("ic")
-    safe = scored.groupBy("start").agg(F.bool_or(told).alias("told")).where(~F.col("told")).select("start")
-    longest = starts.select("term", "start").distinct().join(safe, "start").groupBy("term").agg(F.max_by("start", F.char_length("start")).alias("start"))
+    bounds = starts_of(counts, "n_t").groupBy("start").agg(F.max("n_t").alias("least"), F.sum("n_t").alias("most")).join(wanted, "start", "left_semi")
+    scored = asked.join(n_cv, ["kind", "value", "start"]).join(n_v, ["kind", "value"]).join(bounds, "start").crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("total"))))  # one row
+    scored = stored(scored, "scored-starts")
+    told = lambda n_c: F.bool_or(F.log2(F.col("n_cv") * F.col("total") / (F.col(n_c) * F.col("n_v"))) >= F.lit(share) * F.col("ic"))
+    judged = stored(scored.groupBy("start").agg(told("most").alias("tells"), (~told("least")).alias("safe")), "judged-starts")
+    known = of_term.join(judged.where("safe").select("start"), "start").groupBy("term").agg(F.max(F.char_length("start")).alias("n"))
+    open_ = of_term.join(judged.where("not safe and not tells").select("start"), "start").join(known, "term", "left").where(F.col("n").isNull() | (F.char_length("start") > F.col("n")))
+    open_ = small(stored(open_.select("start").distinct(), "open-starts"))
+    cover = small(stored(starts_of(counts, "term").join(open_, "start", "left_semi"), "covered-terms"))
+    # A text's copies are as many as its key has rows with any one of its terms.
+    n_c = terms_of(docs, "key").join(cover, "term").groupBy("key", "start", "term").agg(F.count(F.lit(1)).alias("copies"))
+    n_c = n_c.groupBy("key", "start").agg(F.max("copies").alias("copies")).groupBy("start").agg(F.sum("copies").alias("n_c"))
+    counted = scored.join(n_c, "start").groupBy("start").agg((~told("n_c")).alias("safe"))
+    safe = judged.select("start", "safe").unionByName(counted).where("safe").select("start").distinct()
+    longest = of_term.join(safe, "start").groupBy("term").agg(F.max_by("start", F.char_length("start")).alias("start"))
     return pairs.select("term").distinct().join(longest, "term", "left").select("term", F.coalesce(F.concat("start", F.lit("*")), F.lit("")).alias("shown"))
 
 
@@ -223,14 +246,16 @@ def sanitise(docs: DataFrame, share: float = 0.8, support: int = 3, id_col: str
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"), F.xxhash64(whole(F.col(text_col))).alias("key"))
     matches = stored(base_matches(docs), "matches")
-    pairs = stored(disclosing_terms(docs, matches, share, support), "disclosing-pairs")
-    shown = small(stored(generalised_terms(docs, matches, pairs, share), "generalised"))
-    places = places_of(docs, pairs).withColumn("kind", F.lit("term"))
+    counts = stored(term_counts(docs), "term-counts")
+    pairs = stored(disclosing_terms(docs, matches, share, support, counts), "disclosing-pairs")
+    shown = small(stored(generalised_terms(docs, matches, pairs, counts, share), "generalised"))
+    holding = texts_holding(docs, pairs)
+    places = places_of(docs, holding).withColumn("kind", F.lit("term"))
     spans = matches.select("doc_id", "key", "kind", "start", "end").unionByName(places.select("doc_id", "key", "kind", "start", "end"))
     before = Window.partitionBy("doc_id", "key").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("doc_id", "key", F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col("kind").alias("k"), F.coalesce(F.max("end").over(before), F.lit(0)).alias("at")).alias("x"))
     spans = spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("x")).alias("spans")).withColumnsRenamed({"doc_id": "d", "key": "h"})
-    here = terms_of(docs, "key").join(shown, "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "shown"))).alias("shown"))
+    here = holding.select("key", F.explode("here").alias("term")).join(shown, "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "shown"))).alias("shown"))
     rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["d"]) & (docs["key"] == spans["h"]), "left").join(here, "key", "left")
     found = F.coalesce("spans", F.array().cast("array<struct<s:int,e:int,k:string,at:int>>")).alias("found")
     parts = F.when(F.size("found") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))).alias("parts")
