@@ -596,3 +596,64 @@ def test_stages_with_null_and_repeated_ids(spark, tmp_path):
     pair = {(None, line("pair", 40)), (None, line("pair", 40) + " end")}  # no ids: either may stay
     assert max(kept.values()) == 1 and len(pair & kept.keys()) == 1
     assert kept.keys() - pair == {x for x in distinct if group[x] == x} - pair
+
+
+def _odd_tables(spark, path, rows):
+    """documents with columns named as the operators name theirs; labels and a benchmark beside them."""
+    schema = "doc_id long, source string, lang string, text string, n_chars long, key long, w string, score double, component_id string, tokens long"
+    spark.createDataFrame([(i, None, "en", t, None if t is None else len(t), 1, "w", None, "c", 3) for i, t in rows], schema).write.parquet(f"{path}/documents.parquet")
+    labels = [(i, 0.5, 1 if "vile" in (t or "") else 0, 1) for i, t in rows] + [(None, None, None, None)]
+    spark.createDataFrame(labels if rows else [], "doc_id long, score double, toxic int, quality int").write.parquet(f"{path}/labels.parquet")
+    leak = " ".join(f"leak{k}" for k in range(10))
+    spark.createDataFrame([("b1", leak), ("b2", None), (None, "")] if rows else [], "item_id string, text string").write.parquet(f"{path}/benchmark.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet")
+
+
+def _odd_rows():
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    clean = [(k, " ".join(f"plain {word(k * 31 + j)} river" for j in range(12))) for k in range(60)]
+    vile = [(100 + k, " ".join(f"you vile IDIOT {word(k * 17 + j)}!!" for j in range(12))) for k in range(40)]
+    odd = [(200, None), (None, None), (201, ""), (None, " \n\t "), (202, "x" * 200_000), (203, "\u00a0 " * 60_000), (204, " ".join(f"long{word(j)}" for j in range(30_000))), (205, "password = hunter22abc9"), (205, "password = hunter22abc9"), (206, "leaks: " + " ".join(f"leak{k}" for k in range(10))), (None, "日本語 😀 " * 50)]
+    return clean + vile + odd
+
+
+def test_each_stage_over_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty, blank and very long texts, repeated rows and clashing names: each stage against its operator's own decision."""
+    import corpus_pipeline as pipeline
+
+    rows, sf = _odd_rows(), str(tmp_path)
+    docs = _odd_tables(spark, sf, rows)
+    left = lambda df: Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    stages = dict(pipeline.STAGES)
+
+    kept = stages["toxicity"](spark, docs, sf)
+    assert kept.columns == docs.columns
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    toxic = {r.doc_id for r in scored.where("predicted = 1 and doc_id is not null").collect()}
+    assert {i for i, t in rows if "vile" in (t or "")} == toxic & set(range(100, 140)) and not toxic & set(range(60))
+    assert left(kept) == Counter(x for x in rows if x[0] is None or x[0] not in toxic)
+
+    kept = stages["near_duplicates"](spark, docs, sf)
+    assert kept.columns == docs.columns and max(left(kept).values()) == 1 and left(kept).keys() <= set(rows)
+    kept = stages["decontamination"](spark, docs, sf)
+    assert kept.columns == docs.columns and left(kept) == Counter(x for x in rows if x[0] != 206)
+
+    clean = stages["secrets"](spark, docs, sf)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    got = {r.doc_id: r for r in clean.collect() if r.doc_id is not None}
+    assert "hunter22abc9" not in got[205].text and got[200].n_chars is None and got[201].text == ""
+    assert all(got[i].text == t for i, t in rows if i is not None and i < 60) and all(r.n_chars == len(r.text) for r in got.values() if r.text is not None)
+
+    packed = stages["packing"](spark, docs, sf)
+    per = packed.groupBy("sequence_id").agg(F.sum("length").alias("used"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert all(r.used == r.end <= 1024 for r in per)
+    pieces = packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("most")).collect()
+    assert {r.doc_id for r in pieces} == {i for i, _ in rows} and all(r.n == r.most for r in pieces if r.doc_id is not None and r.doc_id != 205)
+
+
+def test_pipeline_over_empty_tables(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    docs = _odd_tables(spark, str(tmp_path), [])
+    out = pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns) and docs.count() == 0
