@@ -15,6 +15,8 @@ from lacuna.llm.common import ascii_lower, stored, whole
 
 #: Rows of a side that is broadcast, at most; above, the join is shuffled and may be split where a word is hot.
 BROADCAST_ROWS = 200_000
+#: Tasks that the places of one word are dealt over where that join is shuffled.
+SPREAD = 16
 
 
 #: What lies between words, whatever the case of letters.
@@ -26,9 +28,15 @@ def item_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(whole(text)), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def is_small(df: DataFrame, most: int | None = None) -> bool:
+    """Whether df, a stored table, has at most `most` rows (BROADCAST_ROWS, where none is given)."""
+    most = BROADCAST_ROWS if most is None else most
+    return df.limit(most + 1).count() <= most
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
     """df, a stored table, with a broadcast hint if it has at most `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if is_small(df, most) else df
 
 
 def item_windows(items: DataFrame, size: int, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -55,16 +63,21 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     counts = words.select(F.explode_outer("w").alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     tokens = found.select("key", "words", F.posexplode("words").alias("at", "word")).join(counts, "word", "left")
     rarest = tokens.groupBy("key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("r"), F.first("words").alias("words"))
-    probes = small(stored(rarest.where("r.n > 0").select("key", "words", "r.word", "r.at"), "item-prefixes"))
+    probes = stored(rarest.where("r.n > 0").select("key", "words", "r.word", "r.at"), "item-prefixes")
 
-    places = words.select("dk", "w", F.posexplode_outer("w").alias("i", "word"))  # outer: else a filter on w is added, which computes it twice
     begin = F.col("i") - F.col("at")
-    hits = (
-        places.join(probes, "word")
-        .where((begin >= 0) & (begin + F.size("words") <= F.size("w")))
-        .where(F.slice("w", begin + 1, F.size("words")) == F.col("words"))
-        .select("dk", begin.alias("begin"), F.size("words").alias("n"), "key")
-    )
+    there = (begin >= 0) & (begin + F.size("words") <= F.size("w")) & (F.slice("w", begin + 1, F.size("words")) == F.col("words"))
+    if is_small(probes):
+        places = words.select("dk", "w", F.posexplode_outer("w").alias("i", "word"))  # outer: else a filter on w is added, which computes it twice
+        met = places.join(F.broadcast(probes), "word")
+    else:  # the exchange by word carries places alone, with a word's copies dealt over SPREAD tasks; texts meet the places that are left
+        copy = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("copy")
+        places = words.select("dk", F.posexplode("w").alias("i", "word")).withColumn("copy", F.pmod(F.col("i"), F.lit(SPREAD)))
+        met = places.join(probes.select("word", "at", "key", "words", copy), ["word", "copy"]).where(begin >= 0).select("dk", "i", "at", "key", "words")
+        met = stored(met, "item-places")
+        texts = words.join(small(stored(met.select("dk").distinct(), "texts-with-places")), "dk", "left_semi").dropDuplicates(["dk"])
+        met = met.join(texts, "dk")
+    hits = met.where(there).select("dk", begin.alias("begin"), F.size("words").alias("n"), "key")
     hits = stored(hits.distinct(), "item-hits")
     spans = hits.groupBy("dk").agg(F.collect_set(F.struct("begin", "n")).alias("spans"))
     spans = spans.select(

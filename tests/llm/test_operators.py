@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from lacuna.llm import archives, fingerprints, jaccard_join, packing, personal_data, secrets, substring_dedup, toxicity  # noqa: E402
+from lacuna.llm import archives, decontamination, fingerprints, jaccard_join, packing, personal_data, secrets, substring_dedup, toxicity  # noqa: E402
 from lacuna.llm.decontamination import contamination  # noqa: E402
 from lacuna.llm.suffixes import common_prefixes, suffix_array  # noqa: E402
 from lacuna.llm.token_counts import count_tokens  # noqa: E402
@@ -59,7 +59,9 @@ def test_contamination(spark, odd, none):
     assert contamination(none, items).count() == 0 and not contamination(odd, items.limit(0)).where("contaminated").count()
 
 
-def test_contamination_against_brute_force(spark):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_contamination_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", most)  # 0: as if every side were too large to send
     rng = np.random.default_rng(2)
     between = (" ", ", ", "\n", " - ", "\u00a0")
     text = lambda n: "".join(f"{rng.choice(['Ab', 'c1', 'é', 'dd', 'E'])}{between[rng.integers(0, 4)]}" for _ in range(n))
