@@ -239,6 +239,27 @@ def test_substring_dedup_of_a_hot_anchor(spark, monkeypatch):
         assert {x for s in got.get(i, ()) for x in range(s["from"], s["to"])} == want
 
 
+def test_substring_dedup_shuffles_texts_with_repeats_only(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = noise(420)
+    rows = [(i, noise(500) + passage * (i % 50 == 7) + noise(200)) for i in range(300)]
+    rows += [rows[7], rows[7], rows[8], (8, None), (None, ""), (None, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = Counter(t[k : k + 400] for _, t in rows if t for k in range(len(t) - 399))
+    want = Counter((i, len({k + j for k in range(len(t or "") - 399) if seen[t[k : k + 400]] > 1 for j in range(400)})) for i, t in rows)
+    for most in (1 << 25, 64):  # with 64 bits many texts pass that hold nothing
+        parts, real = [], substring_dedup.split_by_keys
+        with monkeypatch.context() as m:
+            m.setattr(substring_dedup, "MOST_BITS", most)
+            m.setattr(substring_dedup, "split_by_keys", lambda t, k: parts.append((k, *real(t, k))) or parts[-1][1:])
+            got = substring_dedup.without_repeats(docs)
+            assert Counter((r.doc_id, r.n_removed) for r in got.collect()) == want
+        for keys, held, other in parts:
+            assert held.join(keys, "dk", "left_semi").distinct().count() == keys.count() and not other.join(keys, "dk", "left_semi").count()
+            assert held.count() + other.count() == len(rows) and (most == 64 or held.count() <= 60)
+
+
 def test_personal_data(odd, none):
     got = {r.doc_id: r for r in personal_data.find_personal_data(odd).collect()}
     assert (got[11].n_email, got[11].n_ip, got[11].n_card, got[11].n_phone) == (1, 1, 1, 1)
