@@ -1,12 +1,15 @@
 """Captured responses as they land, and the ledger they are appended to.
 
-A landing folder holds lines of JSON, a response each, with its request's identity and timings. The ledger is Parquet by source,
-day of receipt and batch. A batch owns its partitions: taking it in again writes them anew, so a repeated or interrupted
-ingest leaves one copy, and nothing that other batches wrote is touched.
+A landing folder holds lines of JSON, a response each, with its request's identity and timings. The ledger is Parquet by days
+of receipt, source and batch. A batch owns its partitions: taking it in again, whole, writes them anew, so a repeated or interrupted
+ingest leaves one copy, and nothing that other batches wrote is touched. A folder holds FOLDER_DAYS days, in order, and a file for each
+PIECE of payload or so, that few captures a day don't become a folder and a file each.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +25,11 @@ LANDED = T.StructType(
 CORRUPT = "corrupt_record"
 _LINE = T.StructType([*LANDED.fields, T.StructField(CORRUPT, T.StringType())])
 _DAY = 86_400_000_000
+#: Days of receipt in a folder of the ledger, counted from the epoch; part of the layout, so a ledger is read with the number it was written with.
+FOLDER_DAYS = 128
+#: A folder is dealt over one task for each so many bytes of payload, and one more.
+PIECE = 128 << 20
+_FOLDER = f"date_from_unix_date(unix_date({{0}}) - pmod(unix_date({{0}}), {FOLDER_DAYS}))"
 NEEDED = ("capture_id", "attempt_id", "run_id", "source", "source_version", "request_started", "received", "http_status", "payload", "capture_form")
 
 
@@ -52,31 +60,46 @@ def as_captures(landed: DataFrame) -> DataFrame:
     )
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger's captures; filters on source, received_day and batch prune its folders."""
-    return spark.read.parquet(path)
+def _folders(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger with received_days, the first day of a row's folder. What that is of received_day is a filter, by which one day's filter becomes its folder's."""
+    return spark.read.parquet(path).where(F.col("received_days") == F.expr(_FOLDER.format("received_day")))
+
+
+def read_ledger(spark: SparkSession, path: str, since: date | None = None, until: date | None = None) -> DataFrame:
+    """The ledger's captures, those received from the day `since` to the day `until`, where given.
+
+    Filters on source, batch and one received_day prune its folders, and so do since and until; another filter on received_day skips row groups only.
+    """
+    rows = _folders(spark, path)
+    if since is not None:
+        rows = rows.where((F.col("received_day") >= F.lit(since)) & (F.col("received_days") > F.date_sub(F.lit(since), FOLDER_DAYS)))
+    if until is not None:
+        rows = rows.where((F.col("received_day") <= F.lit(until)) & (F.col("received_days") <= F.lit(until)))
+    return rows.drop("received_days")
 
 
 def ingest_captures(landed: DataFrame, path: str, batch: str) -> DataFrame:
     """Appends the valid landed rows to the ledger at path, each capture_id once, and returns the batch's rows as they stand there.
 
     Of several rows of one capture_id in a batch the one received first stays (ties: the smaller checksum). A capture that
-    another batch brought on a day and from a source of this one isn't taken again: only the ids of those partitions are read.
+    another batch brought on a day and from a source of this one isn't taken again: only the ids of those folders are read.
     """
     spark = landed.sparkSession
-    rows = as_captures(landed)
-    order = F.struct("received", "checksum", *[c for c in rows.columns if c not in ("received", "checksum", "capture_id", "payload", "parameters")])
-    rows = rows.groupBy("capture_id").agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-    parts = rows.select("source", "received_day").distinct()
+    valid = as_captures(landed).withColumn("received_days", F.expr(_FOLDER.format("received_day")))
+    order = F.struct("received", "checksum", *[c for c in valid.columns if c not in ("received", "checksum", "capture_id", "payload", "parameters", "received_days")])
+    rows = valid.groupBy("capture_id").agg(F.min_by(F.struct(*valid.columns), order).alias("r")).select("r.*")
+    parts = valid.groupBy("received_days", "source").agg((F.expr(f"sum(n_bytes) div {PIECE}") + 1).alias("pieces"))  # a row for each folder, never more than days and sources
     try:
-        known = read_ledger(spark, path).where(F.col("batch") != batch).select("capture_id", "source", "received_day")
+        known = _folders(spark, path).where(F.col("batch") != batch).select("capture_id", "source", "received_day", "received_days")
     except Exception as e:  # no ledger yet
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         known = None
     if known is not None:
-        known = known.join(F.broadcast(parts), ["source", "received_day"], "left_semi")  # a batch has some hundreds of days and sources at most
+        known = known.join(F.broadcast(parts), ["received_days", "source"], "left_semi").drop("received_days")
         rows = rows.join(known, ["capture_id", "source", "received_day"], "left_anti")
-    out = rows.withColumn("batch", F.lit(batch)).repartition("source", "received_day", F.pmod(F.xxhash64("capture_id"), F.lit(64)))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "received_day", "batch").option("maxRecordsPerFile", 1_000_000).parquet(path)
+    out = rows.withColumn("batch", F.lit(batch)).join(F.broadcast(parts), ["received_days", "source"], "left")
+    out = out.repartition("received_days", "source", F.pmod(F.xxhash64("capture_id"), F.coalesce("pieces", F.lit(1)))).drop("pieces")
+    out = out.sortWithinPartitions("received_days", "source", "batch", "received_day", "capture_id")  # so that row groups hold few days
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("received_days", "source", "batch").option("maxRecordsPerFile", 1_000_000).parquet(path)
     return read_ledger(spark, path).where(F.col("batch") == batch)

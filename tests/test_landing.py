@@ -1,5 +1,6 @@
 """Landing, the ledger's batches, snapshots of several sources, constraints, and the read model's commits, on small tables."""
 
+import datetime
 import hashlib
 import json
 
@@ -91,3 +92,42 @@ def test_only_committed_versions_are_read(spark, tmp_path):
     assert M.read_read_model(spark, path).count() == 5 and M.read_read_model(spark, path, 1).count() == 3
     with pytest.raises(ValueError, match="committed"):
         M.read_read_model(spark, path, 3)
+
+
+def test_days_share_folders_and_a_day_reads_its_own(spark, tmp_path):
+    days = [-300, -129, -128, -1, 0, 1, 127, 128, 255, 700]
+    some = landed(spark, tmp_path / "days", [line(k, "ab"[k % 2], day) for k, day in enumerate(d for d in days for _ in range(6))])
+    path = f"{tmp_path}/ledger"
+    landing.ingest_captures(some, path, "one")
+    files = list((tmp_path / "ledger").rglob("*.parquet"))
+    assert len(files) == 2 * 6  # two sources, six folders of 128 days
+    rows, epoch = landing.read_ledger(spark, path), datetime.date(1970, 1, 1)
+    assert rows.count() == 60 and "received_days" not in rows.columns
+    scanned = lambda df: {f.split("received_days=")[1].split("/")[0] for f in (r[0] for r in df.select(F.input_file_name()).distinct().collect())}
+    for d in days:
+        day = epoch + datetime.timedelta(d)
+        own = rows.where(F.col("received_day") == F.lit(day))
+        assert own.count() == 6 and scanned(own) == {str(epoch + datetime.timedelta(d // 128 * 128))}
+        pruned = own._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+        assert "received_days" in pruned and str(epoch + datetime.timedelta(d // 128 * 128)) in pruned
+    for since, until in ((-129, 127), (0, None), (None, -1), (1, 1), (128, 200)):
+        bounds = [None if x is None else epoch + datetime.timedelta(x) for x in (since, until)]
+        got = landing.read_ledger(spark, path, *bounds)
+        want = sorted(d for d in days if (since is None or d >= since) and (until is None or d <= until))
+        assert sorted({(r[0] - epoch).days for r in got.select("received_day").collect()}) == want and got.count() == 6 * len(want)
+        assert "received_days" in got._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    landing.ingest_captures(some.where("attempt_id < 30"), path, "two")  # all of them are known
+    assert rows.count() == 60 and landing.read_ledger(spark, path).count() == 60
+
+
+def test_a_large_folder_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(landing, "PIECE", 1000)
+    some = landed(spark, tmp_path / "much", [line(k, payload="x" * 100) for k in range(200)] + [line(1000, "b")])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        landing.ingest_captures(some, f"{tmp_path}/ledger", "one")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [str(f) for f in (tmp_path / "ledger").rglob("*.parquet")]
+    assert sum("source=a" in f for f in files) > 1 and sum("source=b" in f for f in files) == 1
+    assert landing.read_ledger(spark, f"{tmp_path}/ledger").count() == 201
