@@ -159,22 +159,22 @@ def history(samples: DataFrame, policies: DataFrame, apps: DataFrame, start: int
 def segment_series(samples: DataFrame, policies: DataFrame, holes: DataFrame, start: int, end: int, multiplier: int = 2, block: int = BLOCK) -> DataFrame:
     """app_id, segment, first_t, last_t, points: a series breaks where a gap overlaps the step, or the step exceeds the latest interval's cap.
 
-    In two levels: within an app's time blocks, and over a table of one row per app and block, which carries the last point, the last gap's
-    start and the number of breaks from block to block. So no app's samples are one task.
+    In two levels: within an app's time blocks, and over a table of one row per app and block, which carries the last point, the gaps'
+    last end and the number of breaks from block to block. So no app's samples are one task.
     """
     latest = policies.groupBy("app_id").agg(F.max_by("interval_seconds", F.struct("started", "id")).alias("interval_seconds"))
-    points = history_slice(samples, start, end).select("app_id", "t", "capture_id", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("gap_from"))
-    marks = holes.select("app_id", F.col("gap_from").alias("t"), F.lit(None).cast("bigint").alias("capture_id"), F.lit(2).alias("kind"), "gap_from")
+    points = history_slice(samples, start, end).select("app_id", "t", "capture_id", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("gap_to"))
+    marks = holes.select("app_id", F.col("gap_from").alias("t"), F.lit(None).cast("bigint").alias("capture_id"), F.lit(2).alias("kind"), "gap_to")
     both = points.unionByName(marks).withColumn("block", F.expr(f"t div {block}"))
     by_app = Window.partitionBy("app_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = both.groupBy("app_id", "block").agg(F.max("gap_from").alias("gap"), F.max(F.when(F.col("kind") == 1, F.col("t"))).alias("point"))
+    ends = both.groupBy("app_id", "block").agg(F.max("gap_to").alias("gap"), F.max(F.when(F.col("kind") == 1, F.col("t"))).alias("point"))
     ends = ends.select("app_id", "block", F.max("gap").over(by_app).alias("gap_before"), F.max("point").over(by_app).alias("point_before"))
-    # A gap that ends by this point and began after the one before, or begins before it: gaps are disjoint, so the last gap start before a point decides.
+    # A gap overlaps the step if it begins before this point and ends after the one before, which may lie in it, as points before any policy do.
     w = Window.partitionBy("app_id", "block").orderBy("t", "kind", "capture_id")
-    seen = both.withColumn("last_gap", F.last("gap_from", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).where("kind = 1")
+    seen = both.withColumn("last_gap", F.max("gap_to").over(w.rowsBetween(Window.unboundedPreceding, -1))).where("kind = 1")
     seen = seen.withColumn("prev", F.lag("t").over(w)).join(ends, ["app_id", "block"]).join(latest, "app_id", "left")
-    seen = seen.withColumn("last_gap", F.coalesce("last_gap", "gap_before")).withColumn("prev", F.coalesce("prev", "point_before"))
-    cut = (F.col("last_gap") >= F.col("prev")) & (F.col("last_gap") < F.col("t")) | (F.col("t") - F.col("prev") > F.col("interval_seconds") * multiplier * MICROS)
+    seen = seen.withColumn("last_gap", F.greatest("last_gap", "gap_before")).withColumn("prev", F.coalesce("prev", "point_before"))
+    cut = (F.col("last_gap") > F.col("prev")) | (F.col("t") - F.col("prev") > F.col("interval_seconds") * multiplier * MICROS)
     placed = seen.select("app_id", "block", "t", "capture_id", F.when(cut, 1).otherwise(0).alias("cut"))
     within = placed.withColumn("k", F.sum("cut").over(Window.partitionBy("app_id", "block").orderBy("t", "capture_id")))
     pieces = within.groupBy("app_id", "block", "k").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("points"), F.sum("cut").alias("cuts"))
