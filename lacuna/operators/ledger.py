@@ -67,22 +67,23 @@ def outcome_rollup(outcomes: DataFrame) -> DataFrame:
 
 
 def quota_usage(attempts: DataFrame, day: int, block: int, quotas: dict[str, int]) -> DataFrame:
-    """attempt_id, host_group, dispatched, used: attempts of the host in the 24 h before (both bounds exclusive of the attempt's own instant's end); over: at or over the host's quota, null without one.
+    """attempt_id, host_group, dispatched, used: other attempts of the host in the 24 h up to this one, all those of its own instant with them; over: at or over the host's quota, null without one.
 
     Exact in two levels, so no host is one task: each attempt counts +1 from its time on and -1 from 24 h later; sums
-    run within a block of time, and what earlier blocks add is a running total over blocks.
+    run within a block of time, and what earlier blocks add is a running total over blocks. Attempts without a time count among themselves alone.
     """
     plus = attempts.select("attempt_id", "host_group", F.col("dispatched").alias("at"), F.lit(1).alias("d"))
-    minus = attempts.select(F.lit(None).cast("bigint").alias("attempt_id"), "host_group", (F.col("dispatched") + day).alias("at"), F.lit(-1).alias("d"))
+    minus = attempts.where("dispatched IS NOT NULL").select(F.lit(None).cast("bigint").alias("attempt_id"), "host_group", (F.col("dispatched") + day).alias("at"), F.lit(-1).alias("d"))
     marks = plus.unionByName(minus).withColumn("block", F.expr(f"at div {block}"))
-    totals = marks.groupBy("host_group", "block").agg(F.sum("d").alias("sum"))
+    totals = marks.where("block IS NOT NULL").groupBy("host_group", "block").agg(F.sum("d").alias("sum"))
     earlier = F.sum("sum").over(Window.partitionBy("host_group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select("host_group", "block", F.coalesce(earlier, F.lit(0)).alias("before"))
-    within = F.sum("d").over(Window.partitionBy("host_group", "block").orderBy("at", "d", "attempt_id").rowsBetween(Window.unboundedPreceding, 0))
-    used = F.col("before") + F.col("own") - 1
+    totals = totals.select(F.col("host_group").alias("_host"), F.col("block").alias("_block"), earlier.alias("before"))
+    within = F.sum("d").over(Window.partitionBy("host_group", "block").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    used = F.coalesce("before", F.lit(0).cast("bigint")) + F.col("own") - 1
     most = F.coalesce(*(F.when(F.col("host_group") == h, F.lit(n)) for h, n in quotas.items()), F.lit(None).cast("int"))
-    summed = marks.withColumn("own", within).where("attempt_id is not null")
-    return summed.join(totals, ["host_group", "block"]).select("attempt_id", "host_group", F.col("at").alias("dispatched"), used.alias("used"), (used >= most).alias("over"))
+    summed = marks.withColumn("own", within).where("d > 0")
+    same = F.col("host_group").eqNullSafe(F.col("_host")) & (F.col("block") == F.col("_block"))
+    return summed.join(totals, same, "left").select("attempt_id", "host_group", F.col("at").alias("dispatched"), used.alias("used"), (used >= most).alias("over"))
 
 
 def pacing_violations(attempts: DataFrame, spacing: dict[str, int], block: int) -> DataFrame:

@@ -40,3 +40,13 @@ def test_segments_of_samples_within_a_gap(spark, tmp_path):
     app, segment, points = (sorted(columns).index(c) for c in ("app_id", "segment", "points"))
     sizes = {a: [r[points] for r in sorted(found, key=lambda r: r[segment]) if r[app] == a] for a in (2, 3, 4)}
     assert sizes == {2: [1] * 7 + [2, 2], 3: [1] * 3, 4: [2]}
+
+
+def test_attempts_of_one_instant_count_together(spark, tmp_path):
+    tied = [(0, 1, "view")] * 40 + [(0, 2, "click"), (9, 1, "signup"), (9, 2, "purchase"), (9, 2, "signup")]
+    later = [(24, 1, "view"), (24, 3, "error"), (33, 1, "signup"), (33, 1, "signup"), (33 + 1e-9 * 3600, 4, "signup"), (47.99, 1, "view"), (48, 1, "view")]
+    columns, found = same(spark, tmp_path, "g01_quota_usage", events=events(*tied, *later, (None, 1, "view"), (None, 2, "click"), (None, 3, "signup")))
+    at = [sorted(columns).index(c) for c in ("attempt_id", "used", "over")]
+    got = {r[at[0]]: (r[at[1]], r[at[2]]) for r in found}
+    assert len(got) == 54 and {got[k] for k in range(41)} == {(40, True)} and {got[k] for k in (41, 42, 43)} == {(2, False)}
+    assert got[44] == got[45] == (1, False) and got[51] == got[52] == (1, False) and got[53] == (0, False)
