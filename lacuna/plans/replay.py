@@ -35,7 +35,7 @@ def landing_folder(spark: SparkSession, d: str) -> str:
     )
     line = "CASE WHEN doc_id % 37 = 7 THEN left(j, 40) ELSE j END"
     lines = docs.withColumn("j", F.to_json(F.struct(*[c for c in docs.columns if c != "doc_id"]))).selectExpr("doc_id", f"{line} AS value")
-    lines.unionByName(lines.where("doc_id % 10 = 0")).select("value").write.text(path)
+    lines.unionByName(lines.where("doc_id % 10 = 0")).select("value").write.text(path, compression="gzip")
     return path
 
 

@@ -86,20 +86,24 @@ def ingest_captures(landed: DataFrame, path: str, batch: str) -> DataFrame:
     """
     spark = landed.sparkSession
     valid = as_captures(landed).withColumn("received_days", F.expr(_FOLDER.format("received_day")))
-    order = F.struct("received", "checksum", *[c for c in valid.columns if c not in ("received", "checksum", "capture_id", "payload", "parameters", "received_days")])
-    rows = valid.groupBy("capture_id").agg(F.min_by(F.struct(*valid.columns), order).alias("r")).select("r.*")
-    parts = valid.groupBy("received_days", "source").agg((F.expr(f"sum(n_bytes) div {PIECE}") + 1).alias("pieces"))  # a row for each folder, never more than days and sources
+    order = lambda r: F.struct(*(f"{r}{c}" for c in ("received", "checksum", *(c for c in valid.columns if c not in ("received", "checksum", "capture_id", "payload", "parameters", "received_days")))))
+    folder = ["received_days", "source"]
+    parts = valid.groupBy(*folder).agg((F.expr(f"sum(n_bytes) div {PIECE}") + 1).alias("pieces"))  # a row for each folder, never more than days and sources
+    kept = valid.groupBy("capture_id").agg(F.min_by(F.struct(*folder, "received_day"), order("")).alias("r")).select("capture_id", "r.*")
     try:
-        known = _folders(spark, path).where(F.col("batch") != batch).select("capture_id", "source", "received_day", "received_days")
+        known = _folders(spark, path).where(F.col("batch") != batch).select("capture_id", "received_day", *folder)
     except Exception as e:  # no ledger yet
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         known = None
     if known is not None:
-        known = known.join(F.broadcast(parts), ["received_days", "source"], "left_semi").drop("received_days")
-        rows = rows.join(known, ["capture_id", "source", "received_day"], "left_anti")
-    out = rows.withColumn("batch", F.lit(batch)).join(F.broadcast(parts), ["received_days", "source"], "left")
-    out = out.repartition("received_days", "source", F.pmod(F.xxhash64("capture_id"), F.coalesce("pieces", F.lit(1)))).drop("pieces")
+        known = known.join(F.broadcast(parts), folder, "left_semi").drop("received_days")
+        kept = kept.join(known, ["capture_id", "source", "received_day"], "left_anti")
+    # What stays is told without payloads, which are shuffled once, to their folders; there a capture's rows meet the mark that it stays.
+    marked = valid.select(*folder, "capture_id", F.struct(*valid.columns).alias("r")).unionByName(kept.select(*folder, "capture_id", F.lit(True).alias("kept")), allowMissingColumns=True)
+    marked = marked.join(F.broadcast(parts), folder, "left").withColumn("piece", F.pmod(F.xxhash64("capture_id"), F.coalesce("pieces", F.lit(1)))).repartition(*folder, "piece")
+    first = F.min_by("r", F.when(F.col("r").isNotNull(), order("r.")))
+    out = marked.groupBy(*folder, "piece", "capture_id").agg(first.alias("r"), F.bool_or("kept").alias("kept")).where("kept").select("r.*").withColumn("batch", F.lit(batch))
     out = out.sortWithinPartitions("received_days", "source", "batch", "received_day", "capture_id")  # so that row groups hold few days
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("received_days", "source", "batch").option("maxRecordsPerFile", 1_000_000).parquet(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("received_days", "source", "batch").option("maxRecordsPerFile", 1_000_000).option("compression", "zstd").parquet(path)
     return read_ledger(spark, path).where(F.col("batch") == batch)

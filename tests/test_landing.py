@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +132,23 @@ def test_a_large_folder_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
     files = [str(f) for f in (tmp_path / "ledger").rglob("*.parquet")]
     assert sum("source=a" in f for f in files) > 1 and sum("source=b" in f for f in files) == 1
     assert landing.read_ledger(spark, f"{tmp_path}/ledger").count() == 201
+
+
+def test_repeats_across_folders_and_batches_against_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    some = lambda: [(rng.randrange(40), rng.choice("ab"), rng.choice((-1, 0, 5, 127, 128, 300)), rng.choice(("p", "q"))) for _ in range(120)]
+    ledger, want = f"{tmp_path}/ledger", {}
+    batches = {b: some() for b in ("one", "two")}
+    batches["two"] += batches["one"][:30]
+    read = {b: landed(spark, tmp_path / b, [line(*x) for x in rows]) for b, rows in batches.items()}
+    for batch in ("one", "two", "one"):
+        first = {}
+        for k, source, day, payload in batches[batch]:
+            at = (day * DAY + k + 3, hashlib.sha256(payload.encode()).hexdigest(), source, day)
+            first[k] = min(first.get(k, at), at)
+        others = {(k, source, day) for b, rows in want.items() if b != batch for k, (_, _, source, day) in rows.items()}
+        want[batch] = {k: x for k, x in first.items() if (k, x[2], x[3]) not in others}
+        landing.ingest_captures(read[batch], ledger, batch)
+    got = landing.read_ledger(spark, ledger).collect()
+    assert sorted((r.batch, int(r.capture_id[1:]), r.received, r.checksum, r.source, (r.received_day - datetime.date(1970, 1, 1)).days) for r in got) == sorted((b, k, *x) for b, rows in want.items() for k, x in rows.items())
+    assert all(hashlib.sha256(r.payload.encode()).hexdigest() == r.checksum for r in got) and 0 < len(want["two"]) < 40
